@@ -68,9 +68,9 @@ def score_severity(c: str) -> str:
 
 def percent_text(c: str) -> str:
     """No decimals from ten percent, one from one percent, two below."""
-    return (f"case when {c} >= 0.1 then format_string('%.0f%%', {c} * 100) "
-            f"when {c} >= 0.01 then format_string('%.1f%%', {c} * 100) "
-            f"else format_string('%.2f%%', {c} * 100) end")
+    return (f"case when {c} >= 0.1 then format_string('%.0f%%', bround({c} * 100, 0)) "
+            f"when {c} >= 0.01 then format_string('%.1f%%', bround({c} * 100, 1)) "
+            f"else format_string('%.2f%%', bround({c} * 100, 2)) end")
 
 
 def ioc_values(c: str) -> str:

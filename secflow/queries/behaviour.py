@@ -97,9 +97,14 @@ def features(spark, sf):
     return ft.features(events, train_rows(events), W)
 
 
-_R4 = ", ".join(f"round({n}, 4) AS {n}" for n in ft.FEATURES)
+def _r(x: str, digits: int) -> str:
+    """Rounded, with a plain zero instead of a negative one."""
+    return f"CASE WHEN round({x}, {digits}) = 0 THEN cast(0 AS double) ELSE round({x}, {digits}) END"
+
+
+_R4 = ", ".join(f"{_r(n, 4)} AS {n}" for n in ft.FEATURES)
 section.add("ml_features", lambda spark, sf: features(spark, sf).selectExpr(
-    "event_id", *[f"round({n}, 4) as {n}" for n in ft.FEATURES]), f"{_FEAT} SELECT event_id, {_R4} FROM feat")
+    "event_id", *[f"{_r(n, 4)} as {n}" for n in ft.FEATURES]), f"{_FEAT} SELECT event_id, {_R4} FROM feat")
 
 
 def standardized(spark, sf):
@@ -112,8 +117,8 @@ _NORM = ", ".join(f"(f.{n} - m_{n}) / CASE WHEN s_{n} < 1e-5 THEN 1 ELSE s_{n} E
 NORMED = f"""st AS (SELECT {_STATS} FROM feat WHERE label = 0 AND event_id % 2 = 0),
 normed AS MATERIALIZED (SELECT event_id, ts, label, attack_cat, {_NORM} FROM feat f CROSS JOIN st)"""
 section.add("ml_standardize", lambda spark, sf: standardized(spark, sf).selectExpr(
-    "event_id", *[f"round({n}, 3) as {n}" for n in ft.FEATURES]),
-    f"{t.with_(t.TEL, t.features_sql(), NORMED)} SELECT event_id, {', '.join(f'round({n}, 3) AS {n}' for n in ft.FEATURES)} FROM normed")
+    "event_id", *[f"{_r(n, 3)} as {n}" for n in ft.FEATURES]),
+    f"{t.with_(t.TEL, t.features_sql(), NORMED)} SELECT event_id, {', '.join(f'{_r(n, 3)} AS {n}' for n in ft.FEATURES)} FROM normed")
 _PAIRS = ", ".join(f"{{'d': round(abs({n}), 6), 'n': '{n}'}}" for n in ft.FEATURES)
 
 
@@ -160,9 +165,9 @@ _SCALARS = {
                        "round(CASE WHEN coalesce(bytes_out, 0) + coalesce(bytes_in, 0) = 0 THEN 0.5 ELSE coalesce(bytes_out, 0) / (coalesce(bytes_out, 0) + coalesce(bytes_in, 0)) END::DOUBLE, 6) AS ratio"),
     "fn_special_chars": ([], [f"cast({s.special_chars('command_line')} as bigint) as special"],
                          "length(coalesce(command_line, '')) - length(regexp_replace(coalesce(command_line, ''), '[^\\p{L}\\p{N}\\s]', '', 'g')) AS special"),
-    "fn_cyclic_hour": ([], [f"round(sin({s.hour_angle()}), 6) as hour_sin", f"round(cos({s.hour_angle()}), 6) as hour_cos",
+    "fn_cyclic_hour": ([], [f"{_r(f'sin({s.hour_angle()})', 6)} as hour_sin", f"{_r(f'cos({s.hour_angle()})', 6)} as hour_cos",
                             f"{s.is_night()} as night"],
-                       "round(sin(hour(ts) * pi() / 12), 6) AS hour_sin, round(cos(hour(ts) * pi() / 12), 6) AS hour_cos, hour(ts) NOT BETWEEN 6 AND 22 AS night"),
+                       f"{_r('sin(hour(ts) * pi() / 12)', 6)} AS hour_sin, {_r('cos(hour(ts) * pi() / 12)', 6)} AS hour_cos, hour(ts) NOT BETWEEN 6 AND 22 AS night"),
     "fn_rare_port": ([], ["dst_port", f"{s.rare_port()} as rare"],
                      "dst_port, coalesce(dst_port NOT IN (80, 443, 22, 53, 25, 3389, 445, 139, 21, 23, 3306, 8080), FALSE) AS rare"),
     "fn_log_volume": ([], [f"round({s.log_volume('bytes_out')}, 6) as out_log", f"round({s.log_volume('bytes_in')}, 6) as in_log"],

@@ -251,3 +251,33 @@ ev AS MATERIALIZED (SELECT *, CASE WHEN n_rules > 0 AND anomaly_score >= 0.602 T
 def evidence_base(*more: str) -> str:
     return with_(TEL, all_hits_sql(), sequences_sql(), USERS, HOSTS, DEVIATIONS, IOC, POINTS, REPUTATION, EVIDENCE, *more,
                  recursive=True)
+
+
+LIGHT = """light AS MATERIALIZED (SELECT tel.*, coalesce(host, "user", src_ip, 'unknown') AS entity, coalesce(n_rules, 0) AS n_rules, coalesce(rules, '') AS rules, coalesce(techniques, '') AS techniques,
+  coalesce(tactics, '') AS tactics, coalesce(n_cti, 0) AS n_cti, coalesce(cti_campaign, FALSE) AS cti_confirmed,
+  least(100, (CASE WHEN n_rules > 0 THEN 50 ELSE 0 END + greatest(0, (anomaly_score - 0.602) * 40) + coalesce(cti_points, 0))::DOUBLE)::DOUBLE AS hybrid_score
+  FROM tel LEFT JOIN (SELECT event_id, count(*) AS n_rules, array_to_string(list_sort(list_distinct(list(rule_id))), ',') AS rules, array_to_string(list_sort(list_distinct(list(technique))), ',') AS techniques,
+    array_to_string(list_sort(list_distinct(list(tactic))), ',') AS tactics FROM single GROUP BY 1) USING (event_id) LEFT JOIN cti USING (event_id))"""
+
+
+def light_base(*more: str, recursive: bool = False) -> str:
+    from secflow.plans import catalogue as cat
+    return with_(TEL, f"single AS MATERIALIZED ({hits_sql(cat.PER_EVENT)})", IOC, POINTS, LIGHT, *more, recursive=recursive)
+
+
+RISK = """rk_m AS MATERIALIZED (SELECT event_id, ts, entity, greatest(hybrid_score / 3, CASE WHEN cti_confirmed THEN 60 ELSE 0 END)::DOUBLE AS inc,
+  row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS rn FROM light),
+rk AS (SELECT entity, rn, event_id, ts, 0::DOUBLE AS previous, least(100, inc)::DOUBLE AS score FROM rk_m WHERE rn = 1
+  UNION ALL SELECT m.entity, m.rn, m.event_id, m.ts, r.score, least(100, greatest(0, r.score - 5 * greatest(0, (epoch_us(m.ts) - epoch_us(r.ts)) / 3.6e9)) + m.inc)::DOUBLE
+  FROM rk r JOIN rk_m m ON m.entity = r.entity AND m.rn = r.rn + 1)"""
+SEQ_STEPS = f"""steps AS (SELECT l_orderkey AS seq_id, {_TACTIC_LIST}[least(l_linenumber * 2 - 2 + l_suppkey % 4, 14) + 1] AS tactic, min(l_linenumber) AS pos FROM lineitem GROUP BY ALL),
+lst AS MATERIALIZED (SELECT seq_id, list(tactic ORDER BY pos, tactic) AS tactics FROM steps GROUP BY 1)"""
+
+
+def markov_sql(lists: str = "lst") -> str:
+    """Counts and probabilities from window functions over unnested lists."""
+    return f"""stp AS (SELECT seq_id, unnest(tactics) AS tactic, generate_subscripts(tactics, 1) AS i FROM {lists}),
+cnt AS MATERIALIZED (SELECT origin, target, count(*) AS n FROM (SELECT tactic AS origin, coalesce(lead(tactic) OVER (PARTITION BY seq_id ORDER BY i), '<END>') AS target FROM stp) GROUP BY ALL),
+names AS (SELECT unnest({_TACTIC_LIST}) AS t), ends AS (SELECT t FROM names UNION ALL SELECT '<END>'),
+prob AS MATERIALIZED (SELECT o.t AS origin, e.t AS target, coalesce(n, 0) AS n, (coalesce(n, 0) + 0.5::DOUBLE) / (coalesce(tot, 0) + 0.5::DOUBLE * 16) AS p
+  FROM names o CROSS JOIN ends e LEFT JOIN cnt ON cnt.origin = o.t AND cnt.target = e.t LEFT JOIN (SELECT origin AS oo, sum(n) AS tot FROM cnt GROUP BY 1) ON oo = o.t)"""

@@ -6,6 +6,7 @@ Every setting has a default that suits a laptop; a cluster sets its own.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = _conf(spark, "spark.checkpoint.dir", "")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="secflow-checkpoint-"))
     return df.checkpoint()
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a written table: in the shared folder where one is set, else a local one."""
+    base = _conf(spark, "spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="secflow-work-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
