@@ -21,18 +21,53 @@ from secflow.settings import block_rows, checkpointed
 ENTRY = "_entry"
 
 
-def block_scan(df: DataFrame, keys: Sequence[str], *,
-               describe: Callable[[pd.DataFrame], list],
-               advance: Callable[[object, list], object],
-               replay: Callable[[pd.DataFrame, object], pd.DataFrame],
-               start: object, state_type: str, out_schema: str,
+def fold_rows(df: DataFrame, groups: Sequence[str], order: Sequence[str], inputs: Sequence[str],
+              step: Callable, start: object, keep: Sequence[str], outputs: dict[str, str],
+              entry: str | None = None) -> DataFrame:
+    """Pass a state through the ordered rows of each group, streaming Arrow batches.
+
+    ``step(state, *inputs)`` returns (state, values) or (state, None) to leave the row out. Rows are
+    placed by group and sorted inside the partitions, so a task holds one batch at a time and small
+    groups cost nothing extra.
+    """
+    groups, inputs, keep, names = list(groups), list(inputs), list(keep), list(outputs)
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    ddl = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"`{n}` {d}" for n, d in outputs.items()])
+
+    def run(batches):
+        last, state = None, start
+        for pdf in batches:
+            ids = list(zip(*[pdf[c].tolist() for c in groups]))
+            entries = pdf[entry].tolist() if entry else None
+            kept, made = [], []
+            for i, values in enumerate(zip(*[pdf[c].tolist() for c in inputs])):
+                if ids[i] != last:
+                    last, state = ids[i], start
+                    if entries is not None and entries[i] is not None and entries[i] == entries[i]:
+                        state = entries[i]
+                state, out = step(state, *values)
+                if out is not None:
+                    kept.append(i)
+                    made.append(out)
+            result = pdf.iloc[kept][keep].reset_index(drop=True)
+            for j, name in enumerate(names):
+                result[name] = [m[j] for m in made]
+            yield result
+
+    placed = df.repartition(*groups).sortWithinPartitions(*groups, *order)
+    return placed.mapInPandas(run, ddl)
+
+
+def block_scan(df: DataFrame, keys: Sequence[str], *, inputs: Sequence[str], step: Callable, start: float,
+               keep: Sequence[str], outputs: dict[str, str],
+               describe: Callable[[pd.DataFrame], list], advance: Callable[[float, list], float],
                index: str = INDEX, block: int | None = None,
                widen: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Run a state machine over ``df`` (which carries the position column ``index``).
 
+    step:     (state, *inputs) -> (state after the row, output values or None)
     describe: rows of a block -> list of doubles that describes the block's effect
     advance:  (state, description) -> state after the block
-    replay:   (rows of a block, state before it) -> output rows
     widen:    adds columns that only ``describe`` reads
     """
     keys = list(keys)
@@ -40,16 +75,12 @@ def block_scan(df: DataFrame, keys: Sequence[str], *,
     # Read up to three times below, so it is computed once and kept in the shared folder.
     rows = checkpointed(df.withColumn(BLOCK, F.expr(f"{index} div {size}")))
     key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-
-    def replay_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index).reset_index(drop=True)
-        entry = pdf[ENTRY].iloc[0]
-        return replay(pdf, start if entry is None or pd.isna(entry) else entry)
+    scan = dict(groups=[*keys, BLOCK], order=[index], inputs=inputs, step=step, start=start, keep=keep,
+                outputs=outputs)
 
     spanning_keys = rows.where(F.col(BLOCK) > 0).select(*keys)
     if spanning_keys.isEmpty():
-        plain = rows.withColumn(ENTRY, F.lit(None).cast(state_type))
-        return plain.groupBy(*keys, BLOCK).applyInPandas(replay_block, out_schema)
+        return fold_rows(rows, **scan)
 
     spanning = rows.join(spanning_keys.distinct(), keys, "left_semi")
     if widen is not None:
@@ -63,21 +94,9 @@ def block_scan(df: DataFrame, keys: Sequence[str], *,
 
     effects = (spanning.groupBy(*keys, BLOCK)
                .applyInPandas(describe_block, f"{key_ddl}, {BLOCK} bigint, _effect array<double>"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLOCK)
-        state, states = start, []
-        for effect in pdf["_effect"]:
-            states.append(state)
-            state = advance(state, effect)
-        out = pdf[keys + [BLOCK]].copy()
-        out[ENTRY] = states
-        return out
-
-    entries = effects.groupBy(*keys).applyInPandas(walk, f"{key_ddl}, {BLOCK} bigint, {ENTRY} {state_type}")
-
-    return (rows.join(entries, [*keys, BLOCK], "left").groupBy(*keys, BLOCK)
-            .applyInPandas(replay_block, out_schema))
+    entries = fold_rows(effects, keys, [BLOCK], ["_effect"], lambda state, effect: (advance(state, effect), (state,)),
+                        start, [*keys, BLOCK], {ENTRY: "double"})
+    return fold_rows(rows.join(entries, [*keys, BLOCK], "left"), entry=ENTRY, **scan)
 
 
 def greedy_select(df: DataFrame, keys: Sequence[str], position: str, resume: str,
@@ -88,43 +107,32 @@ def greedy_select(df: DataFrame, keys: Sequence[str], position: str, resume: str
     next row, and so on. Rows are those that could be picked; ``resume`` is greater than
     ``position``. The result holds ``keys``, ``position`` and ``carry`` of the picked rows.
     """
-    kept = [*keys, position, *carry]
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in kept)
-    order = [f.name for f in df.schema if f.name in kept]
-
-    def exits(pos: np.ndarray, res: np.ndarray) -> np.ndarray:
-        nxt = np.searchsorted(pos, res, side="left")
-        out = res.copy()
-        for i in range(len(pos) - 1, -1, -1):
-            if nxt[i] < len(pos):
-                out[i] = out[nxt[i]]
-        return out
 
     def with_reach(rows: DataFrame, size: int) -> DataFrame:
         return prefix(rows, keys, [F.col(position)], F.expr(f"{position} div {size}"),
                       {"_reach": ("max", F.col(resume))})
 
     def describe(pdf: pd.DataFrame) -> list:
-        pos, res = pdf[position].to_numpy(), pdf[resume].to_numpy()
+        pos, res = pdf[position].to_numpy(), pdf[resume].to_numpy().astype(float)
+        nxt = np.searchsorted(pos, res, side="left")
+        out = res.copy()
+        for i in range(len(pos) - 1, -1, -1):
+            if nxt[i] < len(pos):
+                out[i] = out[nxt[i]]
         # An earlier block can send the scan no further than its largest resume position, so
         # only the rows up to there, and the first one after it, can be entry points.
         reach = pdf["_reach"].iloc[0]
         last = 0 if pd.isna(reach) else int(np.searchsorted(pos, reach, side="left"))
-        out = exits(pos, res)[: last + 1]
-        return [float(v) for pair in zip(pos, out) for v in pair]
+        return [float(v) for pair in zip(pos[: last + 1], out[: last + 1]) for v in pair]
 
     def advance(state: float, effect: list) -> float:
         pairs = np.asarray(effect, dtype=float).reshape(-1, 2)
         at = np.searchsorted(pairs[:, 0], state, side="left")
         return float(pairs[at, 1]) if at < len(pairs) else state
 
-    def replay(pdf: pd.DataFrame, entry: float) -> pd.DataFrame:
-        pos, res = pdf[position].to_numpy(), pdf[resume].to_numpy()
-        picked, at = [], int(np.searchsorted(pos, entry, side="left"))
-        while at < len(pos):
-            picked.append(at)
-            at = int(np.searchsorted(pos, res[at], side="left"))
-        return pdf.iloc[picked][order]
+    def step(state: float, pos: int, res: int):
+        return (float(res), ()) if pos >= state else (state, None)
 
-    return block_scan(df, keys, describe=describe, advance=advance, replay=replay, start=-1.0,
-                      state_type="double", out_schema=ddl, index=position, block=block, widen=with_reach)
+    return block_scan(df, keys, inputs=[position, resume], step=step, start=-1.0,
+                      keep=[*keys, position, *[c for c in carry if c not in keys]], outputs={},
+                      describe=describe, advance=advance, index=position, block=block, widen=with_reach)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from secflow.operators.blocks import fold_rows
 from secflow.operators.timeline import over_rows
 
 GENESIS = "0" * 64
@@ -24,19 +24,14 @@ def build_chain(rows: DataFrame, segment_rows: int = 100_000) -> DataFrame:
     """
     cut = rows.withColumn("segment", F.expr(f"idx div {segment_rows}"))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        prev, befores, hashes = GENESIS, [], []
-        for action, actor, detail, idx, at in zip(pdf["action"], pdf["actor"], pdf["detail"], pdf["idx"], pdf["at"]):
-            body = (f'{{"action":"{action}","actor":"{actor}","detail":"{detail}","index":{idx},'
-                    f'"prev_hash":"{prev}","timestamp":"{at}"}}')
-            befores.append(prev)
-            prev = hashlib.sha256(body.encode()).hexdigest()
-            hashes.append(prev)
-        return pdf.assign(prev_hash=befores, entry_hash=hashes)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return cut.groupBy("run", "segment").applyInPandas(chain, f"{fields}, prev_hash string, entry_hash string")
+    def step(prev: str, action: str, actor: str, detail: str, idx: int, at: str):
+        body = (f'{{"action":"{action}","actor":"{actor}","detail":"{detail}","index":{idx},'
+                f'"prev_hash":"{prev}","timestamp":"{at}"}}')
+        digest = hashlib.sha256(body.encode()).hexdigest()
+        return digest, (prev, digest)
+
+    return fold_rows(cut, ["run", "segment"], ["idx"], ["action", "actor", "detail", "idx", "at"], step, GENESIS,
+                     cut.columns, {"prev_hash": "string", "entry_hash": "string"})
 
 
 def anchors(chained: DataFrame) -> DataFrame:

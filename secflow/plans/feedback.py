@@ -38,4 +38,4 @@ def line_decisions(spark: SparkSession, sf: str) -> DataFrame:
         "cast(trunc(l_shipdate, 'MM') as timestamp) as ts",
         "case l_returnflag when 'A' then 'TRUE_POSITIVE' when 'R' then 'FALSE_POSITIVE' else 'UNCERTAIN' end as decision",
         "if(l_quantity > 48, 1.5D, l_discount * 10D) as confidence", "concat('A', l_suppkey % 3) as analyst_id",
-        "cast(l_receiptdate as timestamp) as created_at")
+        "cast(l_shipdate as timestamp) as created_at")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,24 +29,22 @@ def lifecycle(changes: DataFrame, block: int | None = None) -> DataFrame:
     The lifecycle is an automaton over six states, so the effect of a block of requests is a table
     of six end states. ``seq`` counts from 1 without holes.
     """
-    allowed = np.zeros((6, 6), dtype=bool)
-    for origin, targets in ALLOWED.items():
-        for target in targets:
-            allowed[STATES.index(origin), STATES.index(target)] = True
+    allowed = [[target in ALLOWED[origin] for target in STATES] for origin in STATES]
     closed = STATES.index("resolved")
     coded = changes.selectExpr(
-        "incident_id", "seq", "seq - 1 as _idx", "state", "resolution", "owner", "severity",
+        "incident_id", "seq", "cast(seq - 1 as bigint) as _idx", "owner", "severity",
+        "resolution as asked_resolution",
         f"case when state is null then -1 when state in ({literals(STATES)}) "
         f"then cast(array_position(array({literals(STATES)}), state) - 1 as int) else -2 end as target",
         f"coalesce(resolution in ({literals(RESOLUTIONS)}), false) as resolvable",
         f"severity is not null and severity not in ({literals(SEVERITIES)}) as bad_severity",
     )
 
-    def step(state: int, target: int, resolvable: bool, bad: bool) -> tuple[int, str]:
+    def move(state: int, target: int, resolvable: bool, bad: bool) -> tuple[int, str]:
         if target == -2:
             return state, "unknown state"
         if target >= 0 and target != state:
-            if not allowed[state, target]:
+            if not allowed[state][target]:
                 return state, "transition not allowed"
             if target == closed and not resolvable:
                 return state, "resolution needed"
@@ -55,31 +52,23 @@ def lifecycle(changes: DataFrame, block: int | None = None) -> DataFrame:
             return state, "unknown severity"
         return (state, "") if target < 0 else (int(target), "")
 
-    def rows_of(pdf: pd.DataFrame):
-        return zip(pdf["target"], pdf["resolvable"], pdf["bad_severity"])
-
     def describe(pdf: pd.DataFrame) -> list:
         ends = list(range(6))
-        for row in rows_of(pdf):
-            ends = [step(s, *row)[0] for s in ends]
+        for row in zip(pdf["target"], pdf["resolvable"], pdf["bad_severity"]):
+            ends = [move(s, *row)[0] for s in ends]
         return ends
 
-    def replay(pdf: pd.DataFrame, entry: float) -> pd.DataFrame:
-        state, before, after, errors = int(entry), [], [], []
-        for row in rows_of(pdf):
-            before.append(STATES[state])
-            state, error = step(state, *row)
-            after.append(STATES[state])
-            errors.append(error)
-        return pdf[["incident_id", "seq", "owner", "severity"]].assign(
-            state_before=before, state_after=after, error=errors,
-            resolution=[r if a == "resolved" and not e else None
-                        for r, a, e in zip(pdf["resolution"], after, errors)])
+    def step(state: float, target: int, resolvable: bool, bad: bool, resolution: str | None):
+        before = int(state)
+        after, error = move(before, target, resolvable, bad)
+        kept = resolution if after == closed and not error else None
+        return float(after), (STATES[before], STATES[after], error, kept)
 
-    return block_scan(coded, ["incident_id"], describe=describe, advance=lambda s, e: e[int(s)], replay=replay,
-                      start=0.0, state_type="double", block=block,
-                      out_schema="incident_id bigint, seq int, owner string, severity string, state_before string, "
-                                 "state_after string, error string, resolution string")
+    return block_scan(
+        coded, ["incident_id"], inputs=["target", "resolvable", "bad_severity", "asked_resolution"], step=step,
+        start=0.0, keep=["incident_id", "seq", "owner", "severity"],
+        outputs={"state_before": "string", "state_after": "string", "error": "string", "resolution": "string"},
+        describe=describe, advance=lambda s, e: e[int(s)], block=block)
 
 
 def final_states(replayed: DataFrame) -> DataFrame:
@@ -91,7 +80,7 @@ def final_states(replayed: DataFrame) -> DataFrame:
         F.expr(f"max_by(owner, seq) filter (where {good} and owner is not null)").alias("owner"),
         F.expr(f"max_by(severity, seq) filter (where {good} and severity is not null)").alias("severity"),
         F.expr(f"max_by(resolution, seq) filter (where {closing})").alias("last_resolution"),
-        F.count_if("error <> ''").alias("rejected"),
+        F.count_if(F.expr("error <> ''")).alias("rejected"),
     ).withColumn("resolution", F.expr("if(state = 'resolved', last_resolution, null)")).drop("last_resolution")
 
 
@@ -163,7 +152,7 @@ def line_changes(spark: SparkSession, sf: str) -> DataFrame:
     ranked = row_index(lines, ["l_orderkey"], order, F.expr("l_linenumber div 1000"))
     return ranked.selectExpr(
         "l_orderkey as incident_id", "cast(_idx + 1 as int) as seq", f"case l_suppkey % 8 {arms} end as state",
-        "case l_shipmode when 'AIR' then 'true_positive' when 'RAIL' then 'benign' when 'SHIP' then 'duplicate' "
-        "when 'TRUCK' then 'because' end as resolution",
+        "case l_partkey div 3 % 5 when 0 then 'true_positive' when 1 then 'benign' when 2 then 'duplicate' "
+        "when 3 then 'because' end as resolution",
         "if(l_partkey % 4 = 0, concat('analyst', l_partkey % 7), null) as owner",
         "case l_partkey % 10 when 0 then 'high' when 5 then 'low' when 7 then 'urgent' end as severity")

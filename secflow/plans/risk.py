@@ -32,12 +32,9 @@ def risk_history(scored: DataFrame, block: int | None = None) -> DataFrame:
         "hours": lambda w: F.coalesce(F.greatest(F.lit(0.0), (
             F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 3.6e9), F.lit(0.0))}, block=block)
 
-    def steps(pdf: pd.DataFrame):
-        return zip(pdf["increment"].to_numpy(), pdf["hours"].to_numpy())
-
     def describe(pdf: pd.DataFrame) -> list:
         shift, low, high = 0.0, 0.0, CEILING
-        for add, hours in steps(pdf):
+        for add, hours in zip(pdf["increment"], pdf["hours"]):
             move = add - DECAY_PER_HOUR * hours
             shift, low, high = shift + move, _clamp(low + move, add, CEILING), _clamp(high + move, add, CEILING)
         return [shift, low, high]
@@ -45,17 +42,13 @@ def risk_history(scored: DataFrame, block: int | None = None) -> DataFrame:
     def advance(state: float, effect: list) -> float:
         return _clamp(state + effect[0], effect[1], effect[2])
 
-    def replay(pdf: pd.DataFrame, entry: float) -> pd.DataFrame:
-        before, after, score = [], [], entry
-        for add, hours in steps(pdf):
-            before.append(score)
-            score = min(CEILING, max(0.0, score - DECAY_PER_HOUR * hours) + add)
-            after.append(score)
-        return pdf[["event_id", "ts", "entity"]].assign(previous=before, score=after)
-
-    return block_scan(spaced, ["entity"], describe=describe, advance=advance, replay=replay, start=0.0,
-                      state_type="double", block=block,
-                      out_schema="event_id bigint, ts timestamp, entity string, previous double, score double")
+    def step(score: float, add: float, hours: float):
+        after = min(CEILING, max(0.0, score - DECAY_PER_HOUR * hours) + add)
+        return after, (score, after)
+
+    return block_scan(spaced, ["entity"], inputs=["increment", "hours"], step=step, start=0.0,
+                      keep=["event_id", "ts", "entity"], outputs={"previous": "double", "score": "double"},
+                      describe=describe, advance=advance, block=block)
 
 
 def alerts(history: DataFrame) -> DataFrame:

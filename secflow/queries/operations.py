@@ -20,8 +20,8 @@ _TEL = t.with_(t.TEL)
 
 # --- aggregations -----------------------------------------------------------------------------------
 section.add("agg_store_summary", lambda spark, sf: light(spark, sf).groupBy("outcome").agg(
-    F.count("*").alias("total"), F.count_if("hybrid_score >= 50").alias("incidents"),
-    F.count_if("n_rules > 0").alias("with_rule"), F.round(F.max("hybrid_score"), 3).alias("max_score")),
+    F.count("*").alias("total"), F.count_if(F.expr("hybrid_score >= 50")).alias("incidents"),
+    F.count_if(F.expr("n_rules > 0")).alias("with_rule"), F.round(F.max("hybrid_score"), 3).alias("max_score")),
     f"""{t.light_base()} SELECT outcome, count(*) AS total, count(*) FILTER (WHERE hybrid_score >= 50) AS incidents,
 count(*) FILTER (WHERE n_rules > 0) AS with_rule, round(max(hybrid_score), 3) AS max_score FROM light GROUP BY 1""")
 
@@ -30,9 +30,9 @@ def agg_incident_stats(spark, sf):
     store = ops.order_store(spark, sf)
     grouped = store.groupingSets([["state"], ["severity"], ["resolution"], []], "state", "severity", "resolution").agg(
         F.expr("case grouping_id() when 3 then 'state' when 5 then 'severity' when 6 then 'resolution' else 'all' end").alias("part"),
-        F.count("*").alias("total"), F.count_if("owner is null").alias("unassigned"),
-        F.count_if("state <> 'resolved'").alias("open"),
-        F.count_if("state <> 'resolved' and severity = 'critical'").alias("critical_open"))
+        F.count("*").alias("total"), F.count_if(F.expr("owner is null")).alias("unassigned"),
+        F.count_if(F.expr("state <> 'resolved'")).alias("open"),
+        F.count_if(F.expr("state <> 'resolved' and severity = 'critical'")).alias("critical_open"))
     stats = grouped.selectExpr("part", "coalesce(state, severity, resolution, '-') as name", "total", "unassigned", "open", "critical_open")
     top = (store.select(F.explode("techniques").alias("name")).groupBy("name").agg(F.count("*").alias("total"))
            .orderBy(F.col("total").desc(), "name").limit(10)
@@ -91,7 +91,7 @@ round(count(*) / 90, 6) AS achieved, count(*) / 90 < 0.95 AS saturated FROM tel
 
 def agg_attribution(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    phases = lines.groupBy(F.col("l_shipmode").alias("phase")).agg(F.avg("l_quantity").alias("mean_ms"))
+    phases = lines.groupBy(F.expr("concat('phase', l_suppkey % 5)").alias("phase")).agg(F.avg("l_quantity").alias("mean_ms"))
     total = lines.agg((F.avg("l_quantity") * 8).alias("service_ms"))
     known = phases.agg(F.sum("mean_ms").alias("known_ms"))
     rest = det.with_scalar(known, total).selectExpr("'unattributed' as phase", "greatest(service_ms - known_ms, 0D) as mean_ms")
@@ -99,7 +99,7 @@ def agg_attribution(spark, sf):
         "phase", "round(mean_ms, 6) as mean_ms", "round(mean_ms / service_ms, 6) as share")
 
 
-section.add("agg_attribution", agg_attribution, """WITH p AS (SELECT l_shipmode AS phase, avg(l_quantity) AS m FROM lineitem GROUP BY 1), tt AS (SELECT avg(l_quantity) * 8 AS s FROM lineitem)
+section.add("agg_attribution", agg_attribution, """WITH p AS (SELECT 'phase' || (l_suppkey % 5) AS phase, avg(l_quantity) AS m FROM lineitem GROUP BY 1), tt AS (SELECT avg(l_quantity) * 8 AS s FROM lineitem)
 SELECT phase, round(m, 6) AS mean_ms, round(m / s, 6) AS share FROM (SELECT * FROM p UNION ALL SELECT 'unattributed', greatest((SELECT s FROM tt) - sum(m), 0) FROM p), tt""")
 
 _STAGES = {"rules": "if(n_rules > 0, 'OK', 'NO_DATA')", "anomaly": "if(k % 29 = 0, 'UNAVAILABLE', 'OK')",
@@ -119,7 +119,7 @@ section.add("agg_trace_status", agg_trace_status, f"""{t.light_base()} SELECT st
 
 _SPLIT = "case event_id % 5 when 0 then 'test' when 1 then 'validation' else 'train' end"
 section.add("agg_class_distribution", lambda spark, sf: telemetry(spark, sf).groupBy(F.expr(_SPLIT).alias("split")).agg(
-    F.count_if("label = 0").alias("benign"), F.count_if("label = 1").alias("attack"), F.count("*").alias("total")),
+    F.count_if(F.expr("label = 0")).alias("benign"), F.count_if(F.expr("label = 1")).alias("attack"), F.count("*").alias("total")),
     f"{_TEL} SELECT {_SPLIT} AS split, count(*) FILTER (WHERE label = 0) AS benign, count(*) FILTER (WHERE label = 1) AS attack, count(*) AS total FROM tel GROUP BY 1")
 
 _PROFILE = ["ts_hour", "user", "src_ip", "dst_port", "command_line", "outcome"]
@@ -192,7 +192,7 @@ UNION ALL SELECT source, 'sequences', a > 0 FROM h UNION ALL SELECT source, 'beh
 
 DECISIONS = """dcs AS MATERIALIZED (SELECT l_orderkey || '-' || l_linenumber AS decision_id, CASE WHEN l_partkey % 50 = 0 THEN '' ELSE 'D' || l_orderkey END AS detection_id, l_orderkey // 3 AS event_id, date_trunc('month', l_shipdate)::TIMESTAMP AS ts,
   CASE l_returnflag WHEN 'A' THEN 'TRUE_POSITIVE' WHEN 'R' THEN 'FALSE_POSITIVE' ELSE 'UNCERTAIN' END AS decision, CASE WHEN l_quantity > 48 THEN 1.5 ELSE l_discount * 10 END::DOUBLE AS confidence,
-  'A' || (l_suppkey % 3) AS analyst_id, l_receiptdate::TIMESTAMP AS created_at FROM lineitem),
+  'A' || (l_suppkey % 3) AS analyst_id, l_shipdate::TIMESTAMP AS created_at FROM lineitem),
 dl AS (SELECT detection_id, analyst_id, max(struct_pack(a := created_at, b := decision_id, c := decision, d := event_id, e := ts)) AS x FROM dcs WHERE detection_id <> '' AND confidence BETWEEN 0 AND 1 GROUP BY ALL),
 cons AS MATERIALIZED (SELECT detection_id, count(*) AS n_analysts, max(x.d) AS event_id, max(x.e) AS ts,
   CASE WHEN count(*) FILTER (WHERE x.c <> 'UNCERTAIN') = 0 THEN 'UNCERTAIN' WHEN count(DISTINCT CASE WHEN x.c <> 'UNCERTAIN' THEN x.c END) > 1 THEN 'CONFLICT' ELSE max(CASE WHEN x.c <> 'UNCERTAIN' THEN x.c END) END AS label FROM dl GROUP BY 1)"""
@@ -242,7 +242,7 @@ section.add("topk_incidents", lambda spark, sf: light(spark, sf).where("hybrid_s
 
 CHANGES = """chg AS MATERIALIZED (SELECT l_orderkey AS incident_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS seq,
   CASE WHEN l_suppkey % 8 < 6 THEN ['new', 'triaged', 'confirmed', 'false_positive', 'uncertain', 'resolved'][l_suppkey % 8 + 1] WHEN l_suppkey % 8 = 7 THEN 'archived' END AS state,
-  CASE l_shipmode WHEN 'AIR' THEN 'true_positive' WHEN 'RAIL' THEN 'benign' WHEN 'SHIP' THEN 'duplicate' WHEN 'TRUCK' THEN 'because' END AS resolution,
+  CASE l_partkey // 3 % 5 WHEN 0 THEN 'true_positive' WHEN 1 THEN 'benign' WHEN 2 THEN 'duplicate' WHEN 3 THEN 'because' END AS resolution,
   CASE WHEN l_partkey % 4 = 0 THEN 'analyst' || (l_partkey % 7) END AS owner, CASE l_partkey % 10 WHEN 0 THEN 'high' WHEN 5 THEN 'low' WHEN 7 THEN 'urgent' END AS severity FROM lineitem)"""
 _OK = """list_contains(CASE r.st WHEN 'new' THEN ['triaged', 'confirmed', 'false_positive', 'uncertain', 'resolved'] WHEN 'triaged' THEN ['confirmed', 'false_positive', 'uncertain', 'resolved', 'new']
   WHEN 'resolved' THEN ['triaged'] ELSE ['resolved', 'triaged'] END, c.state)"""
@@ -266,12 +266,12 @@ count(*) FILTER (WHERE error <> '') AS rejected FROM lif WHERE seq > 0 GROUP BY
 
 def triage_decisions(spark, sf):
     acts = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
-        "l_orderkey", "l_linenumber", "case l_shipmode when 'AIR' then 'CONFIRM' when 'RAIL' then 'REJECT' when 'SHIP' then 'UNCERTAIN' when 'TRUCK' then 'COMMENT' else 'DELETE' end as action")
+        "l_orderkey", "l_linenumber", "case l_partkey % 5 when 0 then 'CONFIRM' when 1 then 'REJECT' when 2 then 'UNCERTAIN' when 3 then 'COMMENT' else 'DELETE' end as action")
     return ops.triage(acts).groupBy("action", "decision", "target_state", "note_only", "rejected").agg(F.count("*").alias("n"))
 
 
 section.add("triage_decisions", triage_decisions, """SELECT action, d.decision, d.target_state, action = 'COMMENT' AS note_only, action = 'DELETE' AS rejected, count(*) AS n FROM (
-SELECT CASE l_shipmode WHEN 'AIR' THEN 'CONFIRM' WHEN 'RAIL' THEN 'REJECT' WHEN 'SHIP' THEN 'UNCERTAIN' WHEN 'TRUCK' THEN 'COMMENT' ELSE 'DELETE' END AS action FROM lineitem)
+SELECT CASE l_partkey % 5 WHEN 0 THEN 'CONFIRM' WHEN 1 THEN 'REJECT' WHEN 2 THEN 'UNCERTAIN' WHEN 3 THEN 'COMMENT' ELSE 'DELETE' END AS action FROM lineitem)
 LEFT JOIN (VALUES ('CONFIRM', 'TRUE_POSITIVE', 'confirmed'), ('REJECT', 'FALSE_POSITIVE', 'false_positive'), ('UNCERTAIN', 'UNCERTAIN', 'uncertain')) d(a, decision, target_state) ON a = action GROUP BY ALL""")
 
 # --- audit --------------------------------------------------------------------------------------------
@@ -280,14 +280,14 @@ from secflow.operators.timeline import row_index  # noqa: E402
 
 def audit_rows(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
-        "o_custkey as run", "o_orderkey", "date_format(o_orderdate, 'yyyy-MM-dd') as at", "o_clerk as actor",
+        "o_custkey as run", "o_orderkey", "date_format(o_orderdate, 'yyyy-MM-dd') as at", "concat('Clerk', o_custkey % 10) as actor",
         "concat('set_', lower(o_orderstatus)) as action", "o_orderpriority as detail")
     return row_index(orders, ["run"], [F.col("o_orderkey")], F.expr("o_orderkey div 1000000"), "idx")
 
 
-AUDIT = f"""ar AS MATERIALIZED (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx, strftime(o_orderdate, '%Y-%m-%d') AS at, o_clerk AS actor, 'set_' || lower(o_orderstatus) AS action, o_orderpriority AS detail FROM orders),
-ch AS (SELECT run, idx, '{au.GENESIS}' AS prev_hash, sha256('{{"action":"' || action || '","actor":"' || actor || '","detail":"' || detail || '","index":' || idx || ',"prev_hash":"{au.GENESIS}","timestamp":"' || at || '"}}') AS entry_hash FROM ar WHERE idx = 0
- UNION ALL SELECT ar.run, ar.idx, ch.entry_hash, sha256('{{"action":"' || ar.action || '","actor":"' || ar.actor || '","detail":"' || ar.detail || '","index":' || ar.idx || ',"prev_hash":"' || ch.entry_hash || '","timestamp":"' || ar.at || '"}}') FROM ch JOIN ar ON ar.run = ch.run AND ar.idx = ch.idx + 1)"""
+AUDIT = f"""ar AS MATERIALIZED (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx, strftime(o_orderdate, '%Y-%m-%d') AS stamp, 'Clerk' || (o_custkey % 10) AS actor, 'set_' || lower(o_orderstatus) AS action, o_orderpriority AS detail FROM orders),
+ch AS (SELECT run, idx, '{au.GENESIS}' AS prev_hash, sha256('{{"action":"' || action || '","actor":"' || actor || '","detail":"' || detail || '","index":' || idx || ',"prev_hash":"{au.GENESIS}","timestamp":"' || stamp || '"}}') AS entry_hash FROM ar WHERE idx = 0
+ UNION ALL SELECT ar.run, ar.idx, ch.entry_hash, sha256('{{"action":"' || ar.action || '","actor":"' || ar.actor || '","detail":"' || ar.detail || '","index":' || ar.idx || ',"prev_hash":"' || ch.entry_hash || '","timestamp":"' || ar.stamp || '"}}') FROM ch JOIN ar ON ar.run = ch.run AND ar.idx = ch.idx + 1)"""
 _AUD = t.with_(AUDIT, recursive=True)
 section.add("win_hash_chain_build", lambda spark, sf: au.build_chain(audit_rows(spark, sf)).select("run", "idx", "prev_hash", "entry_hash"),
             f"{_AUD} SELECT run, idx, prev_hash, entry_hash FROM ch")
