@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secflow.plans.detection import first_rows, with_scalar
-from secflow.settings import small_side
+from secflow.settings import checkpointed, small_side
 
 # Fixed values.
 CHUNK, OVERLAP = 500, 50
@@ -120,7 +120,7 @@ def latent_vectors(docs: DataFrame, dims: int = 128, limit: int = TERMS) -> Data
     counted = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=limit).fit(tokens).transform(tokens)
     weighted = IDF(inputCol="tf", outputCol="w").fit(counted).transform(counted)
     unit = Normalizer(inputCol="w", outputCol="unit").transform(weighted).select("doc_id", "unit")
-    rows = unit.rdd.map(lambda r: IndexedRow(r[0], RowVector(r[1].size, r[1].indices, r[1].values)))
+    rows = checkpointed(unit).rdd.map(lambda r: IndexedRow(r[0], RowVector(r[1].size, r[1].indices, r[1].values)))
     matrix = IndexedRowMatrix(rows)
     svd = matrix.computeSVD(min(dims, matrix.numCols() - 1), computeU=True)
     scale = svd.s.toArray()

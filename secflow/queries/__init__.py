@@ -6,7 +6,7 @@ from importlib import import_module
 
 from secflow.queries.registry import Section
 
-MODULES = ["detection", "behaviour", "scoring", "campaigns", "operations", "sources", "models", "retrieval"]
+MODULES = ["detection", "behaviour", "scoring", "campaigns", "operations", "sources", "models", "retrieval", "streams"]
 
 
 def all_sections() -> list[Section]:

@@ -33,10 +33,10 @@ wt AS MATERIALIZED (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY
 def rag_tfidf(spark, sf):
     weights, _ = rt.tfidf(docs(spark, sf))
     top = det.first_rows(weights.withColumn("w", F.round("w", 6)), ["doc_id"], [F.col("w").desc(), F.col("term")], 5)
-    return top.selectExpr("doc_id", "rank", "term", "round(w, 4) as w")
+    return top.selectExpr("doc_id", "rank", "term", "w")
 
 
-section.add("rag_tfidf", rag_tfidf, f"""{t.with_(UNIQUE, TFIDF)} SELECT doc_id, rank, term, round(w, 4) AS w FROM
+section.add("rag_tfidf", rag_tfidf, f"""{t.with_(UNIQUE, TFIDF)} SELECT doc_id, rank, term, round(w, 6) AS w FROM
 (SELECT doc_id, term, w, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 6) DESC, term) AS rank FROM wt) WHERE rank <= 5""")
 
 
