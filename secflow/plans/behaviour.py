@@ -40,7 +40,7 @@ def confidence(n: str) -> str:
 
 def user_history(events: DataFrame) -> DataFrame:
     """Per event of a known user: events before it, and how many of those fell in the same hour."""
-    rows = events.where("user is not null").select("event_id", "ts", "user", "src_ip",
+    rows = events.where("user is not null").select("event_id", "ts", "user",
                                                    F.hour("ts").cast("bigint").alias("hour"))
     counted = timed_prefix(rows, ["user"], {"n_prior": ("count", F.lit(1))})
     hours = timed_prefix(counted, ["user", "hour"], {"n_hour": ("count", F.lit(1))})
@@ -48,7 +48,7 @@ def user_history(events: DataFrame) -> DataFrame:
 
 
 def host_history(events: DataFrame) -> DataFrame:
-    rows = events.where("host is not null").select("event_id", "ts", "host", "process_name", "bytes_out")
+    rows = events.where("host is not null").select("event_id", "ts", "host")
     return timed_prefix(rows, ["host"], {"n_prior": ("count", F.lit(1))})
 
 
@@ -59,9 +59,10 @@ def first_seen(rows: DataFrame, entity: str, value: str) -> DataFrame:
             .select(F.col("_f.event_id").alias("event_id"), value))
 
 
-def volume_z(history: DataFrame) -> DataFrame:
+def volume_z(events: DataFrame) -> DataFrame:
     """z-score of ``bytes_out`` against the last 500 non-null samples of the host."""
-    sampled = timed_index(history.where("bytes_out is not null"), ["host"])
+    sampled = timed_index(events.where("bytes_out is not null and host is not null").select(
+        "event_id", "ts", "host", "bytes_out"), ["host"])
 
     def past(w):
         return w.rowsBetween(-VOLUME_HISTORY, -1)
@@ -71,40 +72,53 @@ def volume_z(history: DataFrame) -> DataFrame:
         "_mean": lambda w: F.avg("bytes_out").over(past(w)),
         "_std": lambda w: F.stddev_pop("bytes_out").over(past(w)),
     })
-    return out.withColumn("z", F.expr(f"case when _n >= {MIN_SAMPLES} and _std > 0 then (bytes_out - _mean) / _std end"))
+    return out.selectExpr("event_id", "host", f"case when _n >= {MIN_SAMPLES} and _std > 0 then (bytes_out - _mean) / _std end as z")
 
 
-def unusual_hour(users: DataFrame) -> DataFrame:
-    return users.where(f"n_prior >= {MIN_EVENTS} and not typical").selectExpr(
-        "event_id", "'unusual_hour' as kind", "user as entity", "70D as score",
-        f"{confidence('n_prior')} as confidence", "'T1078' as technique")
+def _kinds(rows: DataFrame, entity: str, arms: list[tuple[str, str, str, str]]) -> DataFrame:
+    """One row per deviation that applies; (condition, kind, score, technique) per arm."""
+    built = ", ".join(f"case when {test} then named_struct('kind', '{kind}', 'score', {score}, 'technique', {technique}) end"
+                      for test, kind, score, technique in arms)
+    return rows.where(f"n_prior >= {MIN_EVENTS}").selectExpr(
+        "event_id", f"{entity} as entity", f"{confidence('n_prior')} as confidence",
+        f"explode(array_compact(array({built}))) as d").selectExpr(
+        "event_id", "d.kind as kind", "entity", "d.score as score", "confidence", "d.technique as technique")
 
 
-def unknown_ip(users: DataFrame) -> DataFrame:
-    first = first_seen(users, "user", "src_ip").select("event_id")
-    return users.where(f"n_prior >= {MIN_EVENTS}").join(first, "event_id", "left_semi").selectExpr(
-        "event_id", "'unknown_ip' as kind", "user as entity", "65D as score",
-        f"{confidence('n_prior')} as confidence", "'T1078' as technique")
+UNUSUAL_HOUR = ("not typical", "unusual_hour", "70D", "'T1078'")
+UNKNOWN_IP = ("fresh", "unknown_ip", "65D", "'T1078'")
+UNKNOWN_PROCESS = ("fresh", "unknown_process", "55D", "cast(null as string)")
+UNUSUAL_VOLUME = ("z >= 3", "unusual_volume", "least(50D + 10D * (z - 3D), 100D)", "cast(null as string)")
 
 
-def unknown_process(hosts: DataFrame) -> DataFrame:
-    first = first_seen(hosts, "host", "process_name").select("event_id")
-    return hosts.where(f"n_prior >= {MIN_EVENTS}").join(first, "event_id", "left_semi").selectExpr(
-        "event_id", "'unknown_process' as kind", "host as entity", "55D as score",
-        f"{confidence('n_prior')} as confidence", "cast(null as string) as technique")
+def _marked(rows: DataFrame, events: DataFrame, entity: str, value: str) -> DataFrame:
+    first = first_seen(events.where(f"{entity} is not null"), entity, value).select("event_id", F.lit(True).alias("fresh"))
+    return rows.join(first, "event_id", "left")
 
 
-def unusual_volume(hosts: DataFrame) -> DataFrame:
-    return volume_z(hosts).where(f"n_prior >= {MIN_EVENTS} and z >= 3").selectExpr(
-        "event_id", "'unusual_volume' as kind", "host as entity", "least(50D + 10D * (z - 3D), 100D) as score",
-        f"{confidence('n_prior')} as confidence", "cast(null as string) as technique")
+def unusual_hour(events: DataFrame) -> DataFrame:
+    return _kinds(user_history(events), "user", [UNUSUAL_HOUR])
+
+
+def unknown_ip(events: DataFrame) -> DataFrame:
+    return _kinds(_marked(user_history(events), events, "user", "src_ip"), "user", [UNKNOWN_IP])
+
+
+def unknown_process(events: DataFrame) -> DataFrame:
+    return _kinds(_marked(host_history(events), events, "host", "process_name"), "host", [UNKNOWN_PROCESS])
+
+
+def unusual_volume(events: DataFrame) -> DataFrame:
+    return _kinds(host_history(events).join(volume_z(events).drop("host"), "event_id"), "host", [UNUSUAL_VOLUME])
 
 
 def deviations(events: DataFrame) -> DataFrame:
-    """One row per (event, kind of deviation)."""
-    users, hosts = user_history(events), host_history(events)
-    return (unusual_hour(users).unionByName(unknown_ip(users))
-            .unionByName(unknown_process(hosts)).unionByName(unusual_volume(hosts)))
+    """One row per (event, kind of deviation). Each history is built once for both of its kinds."""
+    users = _marked(user_history(events), events, "user", "src_ip")
+    hosts = _marked(host_history(events), events, "host", "process_name").join(
+        volume_z(events).drop("host"), "event_id", "left")
+    return _kinds(users, "user", [UNUSUAL_HOUR, UNKNOWN_IP]).unionByName(
+        _kinds(hosts, "host", [UNKNOWN_PROCESS, UNUSUAL_VOLUME]))
 
 
 def behaviour_scores(events: DataFrame) -> DataFrame:

@@ -131,30 +131,36 @@ def sequence_hits(hits: DataFrame, patterns: dict[str, tuple[Sequence[str], int]
         "*", f"unix_micros(ts) div {width} as _own", "unix_micros(ts) as _micros",
         f"explode(sequence((unix_micros(ts) - {longest}) div {width}, unix_micros(ts) div {width})) as _chunk")
 
+    columns = ["sequence", "_key", "_idx", "_resume", "complete", "members", "start_ts", "end_ts", "mean_confidence"]
+
     def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_idx").reset_index(drop=True)
         name = pdf["sequence"].iat[0]
         micros, tech = pdf["_micros"].to_numpy(), pdf["technique"].to_numpy()
+        index, ids, ts = pdf["_idx"].to_numpy(), pdf["event_id"].to_numpy(), pdf["ts"].to_numpy()
+        sure, here = pdf["confidence"].to_numpy(), (pdf["_own"] == pdf["_chunk"]).to_numpy()
         places = [np.flatnonzero(tech == s) for s in steps[name]]
-        out = []
-        for at in places[0]:
-            if pdf["_own"].iat[at] != pdf["_chunk"].iat[at]:
-                continue
-            limit = micros[at] + spans[name]
-            chain = [int(at)]
-            for place in places[1:]:
-                nxt = int(np.searchsorted(place, chain[-1] + 1))
-                if nxt >= len(place) or micros[place[nxt]] > limit:
-                    chain = []
-                    break
-                chain.append(int(place[nxt]))
-            last = chain[-1] if chain else int(np.searchsorted(micros, limit, side="right")) - 1
-            out.append((name, pdf["_key"].iat[at], int(pdf["_idx"].iat[at]), int(pdf["_idx"].iat[last]) + 1,
-                        bool(chain), [int(pdf["event_id"].iat[c]) for c in chain],
-                        pdf["ts"].iat[at], pdf["ts"].iat[last],
-                        float(np.mean(pdf["confidence"].to_numpy()[chain])) if chain else 0.0))
-        return pd.DataFrame(out, columns=["sequence", "_key", "_idx", "_resume", "complete", "members", "start_ts",
-                                          "end_ts", "mean_confidence"])
+        starts = places[0][here[places[0]]]
+        if len(starts) == 0:
+            return pd.DataFrame(columns=columns)
+        limits = micros[starts] + spans[name]
+        # The chains of all starts advance together, one pattern step at a time; -1 means lapsed.
+        chains = [starts]
+        for place in places[1:]:
+            nxt = np.searchsorted(place, chains[-1] + 1)
+            found = np.append(place, -1)[np.minimum(nxt, len(place))]
+            good = (chains[-1] >= 0) & (found >= 0) & (micros[np.maximum(found, 0)] <= limits)
+            chains.append(np.where(good, found, -1))
+        done = chains[-1] >= 0
+        last = np.where(done, chains[-1], np.searchsorted(micros, limits, side="right") - 1)
+        grid = np.stack(chains, axis=1)
+        return pd.DataFrame({
+            "sequence": pd.Series([name] * len(starts), dtype=object),
+            "_key": pd.Series([pdf["_key"].iat[0]] * len(starts), dtype=object), "_idx": index[starts],
+            "_resume": index[last] + 1,
+            "complete": done, "members": pd.Series([ids[c].tolist() if ok else [] for c, ok in zip(grid, done)], dtype=object),
+            "start_ts": ts[starts], "end_ts": ts[last],
+            "mean_confidence": np.where(done, sure[np.maximum(grid, 0)].mean(axis=1), 0.0)})
 
     starts = spread.groupBy("sequence", "_key", "_chunk").applyInPandas(
         outcomes, "sequence string, _key string, _idx bigint, _resume bigint, complete boolean, "

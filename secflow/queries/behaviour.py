@@ -40,7 +40,7 @@ def win_first_seen(spark, sf):
 section.add("win_first_seen", win_first_seen, f"""{t.with_(t.TEL, t.USERS, t.HOSTS)}
 SELECT event_id, 'ip' AS kind, src_ip AS value FROM usr WHERE ip_no = 1 AND src_ip IS NOT NULL
 UNION ALL SELECT event_id, 'process', process_name FROM hst WHERE proc_no = 1 AND process_name IS NOT NULL""")
-section.add("win_volume_z", lambda spark, sf: b.volume_z(b.host_history(telemetry(spark, sf))).selectExpr(
+section.add("win_volume_z", lambda spark, sf: b.volume_z(telemetry(spark, sf)).selectExpr(
     "event_id", "host", "round(z, 4) as z"),
     f"{t.with_(t.TEL, t.HOSTS)} SELECT event_id, host, round(z, 4) AS z FROM hst WHERE bytes_out IS NOT NULL")
 section.add("win_baseline_conf", lambda spark, sf: b.host_history(telemetry(spark, sf)).selectExpr(
@@ -48,10 +48,10 @@ section.add("win_baseline_conf", lambda spark, sf: b.host_history(telemetry(spar
     f"{t.with_(t.TEL, t.HOSTS)} SELECT event_id, host, n_prior, round(least(n_prior / 50, 1)::DOUBLE, 4) AS confidence, n_prior >= 10 AS may_alert FROM hst")
 
 _DEV = t.with_(t.TEL, t.USERS, t.HOSTS, t.DEVIATIONS)
-_KINDS = {"dev_unusual_hour": ("unusual_hour", lambda e: b.unusual_hour(b.user_history(e))),
-          "dev_unknown_ip": ("unknown_ip", lambda e: b.unknown_ip(b.user_history(e))),
-          "dev_unknown_process": ("unknown_process", lambda e: b.unknown_process(b.host_history(e))),
-          "dev_unusual_volume": ("unusual_volume", lambda e: b.unusual_volume(b.host_history(e)))}
+_KINDS = {"dev_unusual_hour": ("unusual_hour", b.unusual_hour),
+          "dev_unknown_ip": ("unknown_ip", b.unknown_ip),
+          "dev_unknown_process": ("unknown_process", b.unknown_process),
+          "dev_unusual_volume": ("unusual_volume", b.unusual_volume)}
 for _key, (_kind, _plan) in _KINDS.items():
     section.add(_key, lambda spark, sf, plan=_plan: plan(telemetry(spark, sf)).selectExpr(
         "event_id", "entity", "kind", "round(score, 3) as score", "round(confidence, 4) as confidence"),

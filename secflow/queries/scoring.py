@@ -185,3 +185,11 @@ def fn_reputation_score(spark, sf):
 section.add("fn_reputation_score", fn_reputation_score, """SELECT c_custkey, c_custkey * 7 % 101 >= 25 AS reported,
 CASE WHEN c_custkey * 7 % 101 >= 75 THEN 'c2' WHEN c_custkey * 7 % 101 >= 25 THEN 'suspicious' END AS category,
 c_custkey % 13 > 0 AS pulsed, least(c_custkey % 13 * 10, 100)::DOUBLE AS pulse_score FROM customer""")
+
+section.add("dim_attack_from_stix", lambda spark, sf: intel.techniques(intel.part_objects(spark, sf)).selectExpr(
+    "technique", "name", "array_join(tactics, ',') as tactics", "is_subtechnique", "parent"),
+    """SELECT 'T' || (1000 + p_partkey) || CASE WHEN p_partkey % 4 = 0 THEN '.001' ELSE '' END AS technique, p_name AS name, 'phase-' || (p_size % 15) AS tactics, p_partkey % 4 = 0 AS is_subtechnique,
+CASE WHEN p_partkey % 4 = 0 THEN 'T' || (1000 + p_partkey) END AS parent FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0""")
+section.add("dim_attack_from_docs", lambda spark, sf: intel.technique_pages(intel.part_pages(spark, sf)).selectExpr(
+    "technique", "name", "array_join(tactics, '|') as tactics", "array_join(platforms, '|') as platforms"),
+    """SELECT 'T' || (1000 + p_partkey) AS technique, trim(p_name) AS name, trim(p_brand) || '|phase-' || (p_size % 15) AS tactics, 'Linux|' || trim(p_type) AS platforms FROM part WHERE p_partkey % 10 <> 0""")

@@ -55,10 +55,9 @@ def tactic_order(objects: DataFrame) -> DataFrame:
         "id", "x_mitre_shortname as tactic", "name"), "id").select("position", "tactic", "name")
 
 
-def technique_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Knowledge pages (``# T1001: Name`` and ``- Label: a, b`` lines) as a technique dimension."""
-    docs = spark.read.text(path, wholetext=True)
-    return docs.selectExpr(
+def technique_pages(texts: DataFrame) -> DataFrame:
+    """Knowledge pages (``# T1001: Name`` and ``- Label: a, b`` lines) in ``value`` as a dimension."""
+    return texts.selectExpr(
         "regexp_extract(value, '(?m)^# (T[0-9.]+): (.*)$', 1) as technique",
         "trim(regexp_extract(value, '(?m)^# (T[0-9.]+): (.*)$', 2)) as name",
         "split(trim(regexp_extract(value, '(?m)^- Tacticas: (.*)$', 1)), ', *') as tactics",
@@ -66,6 +65,10 @@ def technique_documents(spark: SparkSession, path: str) -> DataFrame:
     ).where("technique <> ''")
 
 
+def technique_documents(spark: SparkSession, path: str) -> DataFrame:
+    return technique_pages(spark.read.text(path, wholetext=True))
+
+
 # --- views of the star-schema tables in the same shapes ---------------------------------------------
 def supplier_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as indicators, nations as actors, and the relationships between them, as raw JSON."""
@@ -110,3 +113,22 @@ def executions(spark: SparkSession, sf: str) -> DataFrame:
         "concat('T', 1000 + c_custkey % 40) as technique",
         "if(c_custkey % 9 = 0, '', concat(element_at(array('SRV-', 'DB-', 'WKS-', 'PC-'), "
         "cast(c_custkey % 4 + 1 as int)), c_custkey % 20)) as host")
+
+
+def part_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as technique objects, some revoked, deprecated or sub-techniques; raw JSON parsed back."""
+    raw = spark.read.parquet(f"{sf}/part.parquet").selectExpr(
+        "to_json(named_struct('type', 'attack-pattern', 'id', concat('attack-pattern--', p_partkey), 'name', p_name, "
+        "'revoked', p_partkey % 9 = 0, 'x_mitre_deprecated', p_partkey % 11 = 0, 'x_mitre_is_subtechnique', p_partkey % 4 = 0, "
+        "'kill_chain_phases', array(named_struct('kill_chain_name', 'mitre-attack', 'phase_name', concat('phase-', p_size % 15)), "
+        "named_struct('kill_chain_name', 'other', 'phase_name', 'x')), "
+        "'external_references', array(named_struct('source_name', 'web', 'external_id', 'W1'), named_struct('source_name', 'mitre-attack', "
+        "'external_id', if(p_partkey % 13 = 0, null, concat('T', 1000 + p_partkey, if(p_partkey % 4 = 0, '.001', ''))))))) as value")
+    return raw.select(F.from_json("value", OBJECT).alias("o")).select("o.*")
+
+
+def part_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as knowledge pages; every tenth text is no technique page."""
+    return spark.read.parquet(f"{sf}/part.parquet").selectExpr(
+        "if(p_partkey % 10 = 0, concat('Notes on ', p_name), concat('# T', 1000 + p_partkey, ': ', p_name, '\\n\\n- Tacticas: ', p_brand, "
+        "', phase-', p_size % 15, '\\n- Plataformas: Linux, ', p_type, '\\n\\ntext')) as value")
