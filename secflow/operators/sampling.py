@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from secflow.operators.timeline import timed_index
 from secflow.plans.detection import with_scalar
+from secflow.settings import small_side
 
 
 def time_split(rows: DataFrame, train: float = 0.6, validation: float = 0.2) -> DataFrame:
@@ -23,7 +24,7 @@ def systematic_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """Every k-th row of each file, k = max(1, rows / limit)."""
     ranked = timed_index(rows, [key])
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    return ranked.join(sizes, key).where(f"_idx % greatest(1, _n div {limit}) = 0").drop("_n")
+    return ranked.join(small_side(sizes), key).where(f"_idx % greatest(1, _n div {limit}) = 0").drop("_n")
 
 
 def evaluable_window(rows: DataFrame) -> DataFrame:

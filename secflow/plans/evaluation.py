@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from secflow.operators.timeline import prefix, row_index
 from secflow.plans.detection import with_scalar
 from secflow.schema import ALERT_THRESHOLD, ANOMALY_THRESHOLD
+from secflow.settings import small_side
 
 
 def metrics(counts: DataFrame, undefined: str = "0D", digits: int = 4) -> DataFrame:
@@ -142,7 +143,7 @@ def stratified_split(rows: DataFrame, key: str = "event_id", label: str = "label
     hashed = rows.withColumn("_h", F.expr(f"md5(cast(cast({key} as string) as binary))"))
     ranked = row_index(hashed, [label], [F.col("_h"), F.col(key)], F.expr("cast(conv(substr(_h, 1, 2), 16, 10) as bigint)"))
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    return ranked.join(F.broadcast(sizes), label).withColumn("split", F.expr(
+    return ranked.join(small_side(sizes), label).withColumn("split", F.expr(
         "case when _idx < cast(_n * 0.5D as bigint) then 'train' when _idx < cast(_n * 0.5D as bigint) + cast(_n * 0.25D as bigint) "
         "then 'validation' else 'test' end")).drop("_h", "_n", "_idx")
 

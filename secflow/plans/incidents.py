@@ -28,26 +28,25 @@ def clustered(found: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     return sessions(found, ["entity"], gap_seconds, tie=("event_id", "rule_id"))
 
 
-def ordered_distinct(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Values in order of first appearance; one row per value is left before anything is collected."""
-    return (rows.where(f"{value} not in ('unknown', '')").groupBy(*keys, value)
-            .agg(F.min(F.struct("ts", "event_id", "rule_id")).alias("_at"))
-            .groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", value))),
-                                            lambda x: x[value]).alias(name)))
-
-
 def rollup(clusters: DataFrame) -> DataFrame:
-    """One row per incident."""
+    """One row per incident.
+
+    Findings are first reduced to one row per (incident, technique, tactic), on the map side too, so
+    the arrays below hold at most one entry per kind of rule, however many findings an incident has.
+    """
     keys = ["entity", "session"]
-    base = clusters.groupBy(*keys).agg(
-        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n_findings"),
-        F.max(severity_score("severity")).alias("max_severity"), F.avg("confidence").alias("mean_confidence"))
-    lists = (base.join(ordered_distinct(clusters, keys, "technique", "techniques"), keys, "left")
-             .join(ordered_distinct(clusters, keys, "tactic", "tactics"), keys, "left"))
+    kinds = clusters.groupBy(*keys, "technique", "tactic").agg(
+        F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"),
+        F.max(severity_score("severity")).alias("sev"), F.sum("confidence").alias("conf"),
+        F.min(F.struct("ts", "event_id", "rule_id")).alias("at"))
+    ordered = "filter(array_distinct(transform(sort_array(collect_list(struct(at, {0}))), x -> x.{0})), v -> v not in ('unknown', ''))"
+    lists = kinds.groupBy(*keys).agg(
+        F.min("a").alias("start_ts"), F.max("b").alias("end_ts"), F.sum("n").alias("n_findings"),
+        F.max("sev").alias("max_severity"), (F.sum("conf") / F.sum("n")).alias("mean_confidence"),
+        F.expr(ordered.format("technique")).alias("techniques"), F.expr(ordered.format("tactic")).alias("tactics"))
     deepest = F.array_max(F.transform("tactics", lambda x: tactic_index(x)))
     ready = lists.withColumns({
         "incident_id": F.expr("concat(entity, '#', session)"),
-        "techniques": F.expr("coalesce(techniques, array())"), "tactics": F.expr("coalesce(tactics, array())"),
         "deepest": F.coalesce(deepest, F.lit(-1)).cast("bigint"),
     }).withColumn("progress", F.expr(f"if(deepest >= 0, cast(deepest / {len(TACTICS)} * 100 as int), 0)"))
     return ready.withColumns({

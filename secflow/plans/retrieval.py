@@ -53,7 +53,8 @@ def weigh(counts: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame
 
 
 def tfidf(docs: DataFrame, limit: int = TERMS) -> tuple[DataFrame, DataFrame]:
-    counts = term_counts(docs)
+    # Used for the vocabulary and for the weights, so the texts are cut into terms once.
+    counts = checkpointed(term_counts(docs))
     terms = idf(vocabulary(counts, limit), docs)
     return weigh(counts, terms), terms
 
