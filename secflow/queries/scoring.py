@@ -38,7 +38,7 @@ def public_view(events):
 def parts(spark, sf):
     """Signals of every kind, each aggregated by event."""
     events = telemetry(spark, sf)
-    found = checkpointed(hits(spark, sf))
+    found = checkpointed(det.all_hits(events, t.VOLUME_WINDOWS))
     behaviour = checkpointed(b.behaviour_scores(events))
     signals = (found.select("event_id").unionByName(behaviour.select("event_id"))
                .unionByName(events.where("anomaly_score >= 0.602").select("event_id")))

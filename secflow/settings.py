@@ -70,3 +70,4 @@ def work_path(spark: SparkSession, name: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="secflow-work-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
