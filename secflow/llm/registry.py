@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secflow.llm import sharding, url_rules
-from secflow.llm.common import documents
+from secflow.llm import quality_model, quality_rules, sharding, simhash, url_rules
+from secflow.llm.common import documents, held_out, labels
 from secflow.queries.registry import Section
 
 section = Section()
@@ -52,3 +52,26 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 section.add("op8_histogram_shards", op8_histogram_shards)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules.judge(docs, quality_rules.fit(docs, labels(spark, sf_dir)))
+
+
+section.add("op6_quality_rules", op6_quality_rules)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_model.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+section.add("op2_quality_classifier", op2_quality_classifier)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+section.add("op10_simhash", op10_simhash)
