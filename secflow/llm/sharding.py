@@ -62,39 +62,43 @@ def _between(low: int, high: int, n: int) -> list[int]:
     return sorted({low + (high - low) * i // (n + 1) for i in range(1, n + 1)} - {low, high})
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float) -> tuple[list[Key], Histogram]:
-    """``shards - 1`` keys that cut the bytes evenly, and all that was counted on the way."""
+def _finer(a: Key, b: Key, ties: tuple[int, int]) -> list[Key]:
+    """Fresh candidates strictly between two counted keys; none if there is nothing between them."""
+    if a[0] == b[0] or b == (a[0] + 1, LOW):  # between two ids of one text
+        bottom, top = max(a[1], ties[0]), b[1] if a[0] == b[0] else ties[1] + 1
+        fresh = [(a[0], t) for t in {bottom, top, *_between(bottom, top, FINER)}]
+    else:
+        fresh = [(k, LOW) for k in {*_between(a[0], b[0], FINER), a[0] + 1, b[0]}]
+    return [p for p in fresh if a < p < b]
+
+
+def splitters(rows: DataFrame, shards: int, ranges: int, tolerance: float) -> tuple[list[Key], Histogram]:
+    """``shards - 1`` keys that cut the bytes evenly, and all that was counted on the way.
+
+    Between two counted keys there are at most twice the rows of an even range, unless they are one row or
+    rows that cannot be told apart.
+    """
     total, count, low_tie, high_tie = rows.agg(
         F.coalesce(F.sum("_size"), F.lit(0)), F.count("*"), F.coalesce(F.min("_tie"), F.lit(0)),
         F.coalesce(F.max("_tie"), F.lit(0))).first()
-    first, last = (LOW, LOW), (HIGH, HIGH)
-    hist = Histogram({first: (0, 0), last: (count, total)})
-    hist.count(rows, [(k, LOW) for k in _between(LOW, HIGH, FIRST)])
+    hist = Histogram({(LOW, LOW): (0, 0), (HIGH, HIGH): (count, total)})
+    hist.count(rows, [(k, LOW) for k in _between(LOW, HIGH, max(FIRST, 4 * ranges))])
     slack = tolerance * total / shards
     goals = [total * i / shards for i in range(1, shards)]
     while True:
         known = sorted(hist.below)
         sizes = [hist.below[k][1] for k in known]
-        probes: list[Key] = []
+        probes: set[Key] = set()
         for goal in goals:
             at = min(max(1, bisect_left(sizes, goal)), len(known) - 1)
-            a, b = known[at - 1], known[at]
-            if min(abs(sizes[at - 1] - goal), abs(sizes[at] - goal)) <= slack:
-                continue
-            if a[0] == b[0] or b == (a[0] + 1, LOW):  # between two ids of one text
-                top = b[1] if a[0] == b[0] else high_tie + 1
-                bottom = max(a[1], low_tie)
-                fresh = [(a[0], t) for t in {bottom, top, *_between(bottom, top, FINER)}]
-            else:
-                fresh = [(k, LOW) for k in {*_between(a[0], b[0], FINER), a[0] + 1}]
-                if b[1] != LOW:
-                    fresh.append((b[0], LOW))
-            probes += [p for p in fresh if a < p < b]
-        probes = [p for p in set(probes) if p not in hist.below]
+            if min(abs(sizes[at - 1] - goal), abs(sizes[at] - goal)) > slack:
+                probes.update(_finer(known[at - 1], known[at], (low_tie, high_tie)))
+        for a, b in zip(known, known[1:], strict=False):
+            if hist.below[b][0] - hist.below[a][0] > max(1, 2 * count // ranges):
+                probes.update(_finer(a, b, (low_tie, high_tie)))
         if not probes:
             break
-        hist.count(rows, probes)
-    known = sorted(hist.below)
+        hist.count(rows, list(probes))
     chosen = [min(known, key=lambda k, g=g: (abs(hist.below[k][1] - g), k[1] != LOW)) for g in goals]
     return sorted(chosen), hist
 
@@ -115,9 +119,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", key: st
                          F.coalesce(F.col(key).cast("long"), F.lit(LOW + 1)).alias("_tie"))
     keyed = keyed.withColumn("_size", F.col("_o") + 1).drop("_o")
     narrow = checkpointed(keyed.select("_key", "_tie", "_size"))
-    cuts, hist = splitters(narrow, shards, tolerance)
-
     ranges = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts, hist = splitters(narrow, shards, ranges, tolerance)
     known = sorted(hist.below)[1:-1]
     total = hist.below[(HIGH, HIGH)][0]
     finer, want = [], 1
