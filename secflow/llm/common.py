@@ -31,6 +31,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
+ROW_KEY = "struct<id:bigint,text:bigint>"
+
+
+def row_key() -> Column:
+    """What tells documents apart: the id, null as the largest, and a hash of the text for ids that repeat."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"),
+                    F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+
+
 def text_slices(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of rows of about ``limit`` characters; a longer text is a run of its own."""
     start, held = 0, 0

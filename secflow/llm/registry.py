@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secflow.llm import quality_model, quality_rules, sharding, simhash, url_rules
+from secflow.llm import (byte_bpe, minhash, packing, quality_model, quality_rules, secret_scan, sharding, simhash,
+                         toxicity, url_rules)
 from secflow.llm.common import documents, held_out, labels
 from secflow.queries.registry import Section
 
@@ -75,3 +77,40 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 section.add("op10_simhash", op10_simhash)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabularies.path("byte_bpe_50k.json"),
+                        vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+
+
+section.add("op9_packing", op9_packing)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(documents(spark, sf_dir), vocabularies.path("byte_bpe_multi_50k.tiktoken"), digest=True)
+
+
+section.add("op3_byte_bpe", op3_byte_bpe)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(documents(spark, sf_dir))
+
+
+section.add("op7_secret_scan", op7_secret_scan)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.rate(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
+section.add("op1_toxicity", op1_toxicity)
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_twins(documents(spark, sf_dir))
+
+
+section.add("op4_minhash", op4_minhash)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from secflow.llm.common import attach, components, map_text
+from secflow.llm.common import ROW_KEY, attach, components, map_text, row_key
 from secflow.settings import checkpointed
 
 WORDS, SEED, BITS, MOST = 4, 42, 64, 4
@@ -258,10 +258,8 @@ def deduplicate(docs: DataFrame, most: int = MOST) -> DataFrame:
 
     Among equal ids the smaller text hash stays, of wholly repeated rows one; null ids come last.
     """
-    row = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"),
-                   F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
-    rows = checkpointed(fingerprints(docs.select(row.alias("row"), "text"), {"row": "struct<id:bigint,text:bigint>"}))
-    heads = (grouped(rows, most).where("row = head").select(F.col("row.id").alias("_id"), F.col("row.text").alias("_h"))
-             .distinct())
-    keyed = docs.withColumn("_id", row["id"]).withColumn("_h", row["text"])
-    return keyed.join(heads, ["_id", "_h"]).dropDuplicates(["_id", "_h"]).select(*docs.columns)
+    row = row_key()
+    rows = checkpointed(fingerprints(docs.select(row.alias("row"), "text"), {"row": ROW_KEY}))
+    heads = grouped(rows, most).where("row = head").select("row").distinct()
+    whole = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return whole.join(heads, "row").dropDuplicates(["row"]).select("doc.*")
