@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secflow.llm.common import held_out, map_text
@@ -34,6 +34,8 @@ SEEDS = {"insult": {"idiot", "moron", "stupid", "clown", "loser"},
          "contempt": {"trash", "scum", "worthless", "pathetic", "disgusting"}}
 CATEGORIES = [*SEEDS, "toxic"]
 FOLDS, CHOSEN, LEAST = 3, 256, 2
+#: A tenth of the labels are toxic, so a document may be called toxic somewhat below even odds.
+THRESHOLD = 0.35
 #: Lengths of word beginnings that are features beside the whole word.
 BEGINNINGS = (3, 4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -85,7 +87,7 @@ class Chain:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 200) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by accelerated gradient steps; a constant where only one class is seen."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     w, base = np.zeros(x.shape[1], np.float32), float(np.log(share / (1 - share)))
@@ -111,7 +113,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 200
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(feature, fold, clean, toxic) counts of one partition, sent on when there are many."""
-    held: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(2 * FOLDS, np.int64))
+    held: dict[str, list[int]] = defaultdict(lambda: [0] * (2 * FOLDS))
 
     def emit() -> pd.DataFrame:
         frame = pd.DataFrame(np.array(list(held.values())).reshape(-1, 2 * FOLDS), columns=_COUNTS)
@@ -133,23 +135,37 @@ _COUNTS = [f"{kind}{fold}" for fold in range(FOLDS) for kind in ("clean", "toxic
 
 
 def _choose(rows: DataFrame) -> dict[str, list[bool]]:
-    """feature -> which of the fits (without fold 0, 1, ..., on all) may use it: the best by chi-square in each."""
+    """feature -> which of the fits (without fold 0, 1, ..., on all) may use it: the best by chi-square in each.
+
+    A longer beginning or a whole word is left out where its own beginning is at least as sure a sign, since
+    that one covers more texts; so a few frequent words do not fill the list with their parts.
+    """
     sizes = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
     counts = checkpointed(rows.mapInPandas(_counted, "feature string, " + ", ".join(f"{c} long" for c in _COUNTS))
                           .groupBy("feature").agg(*[F.sum(c).alias(c) for c in _COUNTS])
                           .where(sum(F.col(f"toxic{f}") for f in range(FOLDS)) >= LEAST))
+    word = F.col("feature").startswith("=")
+    shorter = F.when(word, F.concat(F.lit("^"), F.substring("feature", 2, BEGINNINGS[-1]))).otherwise(
+        F.substr("feature", F.lit(1), F.length("feature") - 1))
+    parents = counts.select(F.col("feature").alias("shorter"), *[F.col(c).alias(f"{c}_of_shorter") for c in _COUNTS])
+    pairs = checkpointed(counts.withColumn("shorter", shorter).join(parents, "shorter", "left"))
     best = []
     for left_out in range(FOLDS + 1):
         folds = [f for f in range(FOLDS) if f != left_out]
         toxic, clean = (float(sum(sizes.get((f, y), 0) for f in folds)) for y in (1, 0))
-        a = sum((F.col(f"toxic{f}") for f in folds), F.lit(0)).cast("double")
-        b = sum((F.col(f"clean{f}") for f in folds), F.lit(0)).cast("double")
+
+        def total(name: str, folds: list[int] = folds) -> Column:
+            return sum((F.col(name.format(f)) for f in folds), F.lit(0)).cast("double")
+
+        a, b = total("toxic{}"), total("clean{}")
+        above_a, above_b = total("toxic{}_of_shorter"), total("clean{}_of_shorter")
         n = toxic + clean
         spread = (a + b) * (F.lit(n) - a - b)
         gain = F.when((spread > 0) & (a * clean > b * toxic), (a * clean - b * toxic) ** 2 * n / spread)
-        best.append(counts.select("feature", F.lit(left_out).alias("fit"), gain.alias("gain"), a.alias("a"))
-                    .where(F.col("gain").isNotNull() & (F.col("a") >= LEAST))
-                    .orderBy(F.desc("gain"), "feature").limit(CHOSEN).select("feature", "fit"))
+        surer = above_a.isNull() | (a * (above_a + above_b) > above_a * (a + b))
+        best.append(pairs.where((a >= LEAST) & surer).select("feature", F.lit(left_out).alias("fit"), gain.alias("gain"))
+                    .where("gain is not null").orderBy(F.desc("gain"), "feature").limit(CHOSEN)
+                    .select("feature", "fit"))
     chosen: dict[str, list[bool]] = {}
     for feature, fit_ in reduce(DataFrame.union, best).collect():  # at most CHOSEN for each fit
         chosen.setdefault(feature, [False] * (FOLDS + 1))[fit_] = True
@@ -192,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 8000) -> Chain:
     return Chain(names, weights, base)
 
 
-def rate(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
+def rate(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, p_<category> for each category but the last, toxic_score, toxic_predicted per row.
 
     toxic_predicted: toxic_score >= threshold. Null and empty texts are scored as texts without words. Without
@@ -212,7 +228,7 @@ def rate(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     return rated.select("doc_id", held_out().alias("held_out"), *rated.columns[1:])
 
 
-def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
+def without_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose toxic_score is below ``threshold``."""
 
     @F.pandas_udf("boolean")
