@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from secflow.operators.timeline import over_time, prefix, time_bucket
-from secflow.settings import chunk_seconds
+from secflow.operators.timeline import prefix, time_bucket
+from secflow.settings import block_rows, chunk_seconds, small_side
 
 
 def as_of(events: DataFrame, snapshots: DataFrame, key: str, at: str, kinds: Sequence[str], kind: str,
@@ -35,8 +35,10 @@ def first_in_window(events: DataFrame, marks: DataFrame, seconds: int, host: str
                     payload: str = "technique", mark_id: str = "exec_no") -> DataFrame:
     """Label each event with the earliest mark of the preceding ``seconds``.
 
-    A mark applies when hosts are equal or when either side has none. Marks and events are merged
-    per host; host-less marks go to a lane of their own, and so do host-less events.
+    A mark applies when hosts are equal or when either side has none. Marks and events meet in lanes: one per
+    host, one for marks without a host and all events with one, one for events without a host and all marks.
+    A lane is cut into time buckets as wide as the window, so a mark reaches its own bucket and the next one,
+    and a bucket with many events is cut further by a hash of the event; marks, the short side, go to each cut.
     """
     no_mark_host = F.coalesce(F.col(host), F.lit("")) == ""
     mark_rows = marks.select(
@@ -46,8 +48,16 @@ def first_in_window(events: DataFrame, marks: DataFrame, seconds: int, host: str
     event_rows = events.select(
         F.explode(F.when(no_mark_host, F.array(F.lit("*any"))).otherwise(F.array(F.col(host), F.lit("*shared"))))
         .alias("_lane"), F.col("ts"), F.col("event_id").cast("bigint").alias("event_id"), F.lit(None).alias("_mark"))
-    span = seconds * 1_000_000
-    seen = over_time(mark_rows.unionByName(event_rows), ["_lane"], seconds, {
-        "_first": lambda rows, ranged: F.min("_mark").over(ranged.rangeBetween(-span, 0))})
+    width = seconds * 1_000_000
+    events_in = event_rows.withColumn("_bucket", F.expr(f"unix_micros(ts) div {width}"))
+    cuts = events_in.groupBy("_lane", "_bucket").agg(F.count("*").alias("_n")).select(
+        "_lane", "_bucket", F.expr(f"_n div {block_rows(events.sparkSession)} + 1").alias("_cuts"))
+    cuts = small_side(cuts)
+    dealt = events_in.join(cuts, ["_lane", "_bucket"]).withColumn("_cut", F.expr("pmod(xxhash64(event_id), _cuts)"))
+    reach = mark_rows.withColumn("_bucket", F.explode(F.expr(
+        f"array(unix_micros(ts) div {width}, unix_micros(ts) div {width} + 1)")))
+    spread = reach.join(cuts, ["_lane", "_bucket"]).withColumn("_cut", F.explode(F.expr("sequence(0L, _cuts - 1)")))
+    window = Window.partitionBy("_lane", "_bucket", "_cut").orderBy(F.unix_micros("ts")).rangeBetween(-width, 0)
+    seen = dealt.unionByName(spread).withColumn("_first", F.min("_mark").over(window))
     return (seen.where("event_id >= 0").groupBy("event_id")
             .agg(F.min("_first").alias("_first")).select("event_id", F.col(f"_first.{payload}").alias(payload)))

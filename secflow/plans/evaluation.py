@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from secflow.operators.timeline import prefix, row_index
 from secflow.plans.detection import with_scalar
 from secflow.schema import ALERT_THRESHOLD, ANOMALY_THRESHOLD
-from secflow.settings import small_side
+from secflow.settings import block_rows, small_side
 
 
 def metrics(counts: DataFrame, undefined: str = "0D", digits: int = 4) -> DataFrame:
@@ -139,9 +139,13 @@ def category_recall(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, key: str = "event_id", label: str = "label") -> DataFrame:
-    """50/25/25 per class, ordered by a portable hash; ranks come from per-bucket counts."""
+    """50/25/25 per class, ordered by a portable hash; ranks come from per-bucket counts.
+
+    The hash is even, so as many buckets as blocks of rows keep every bucket small.
+    """
+    buckets = max(1, min(1 << 22, -(-rows.count() // block_rows(rows.sparkSession))))
     hashed = rows.withColumn("_h", F.expr(f"md5(cast(cast({key} as string) as binary))"))
-    ranked = row_index(hashed, [label], [F.col("_h"), F.col(key)], F.expr("cast(conv(substr(_h, 1, 2), 16, 10) as bigint)"))
+    ranked = row_index(hashed, [label], [F.col("_h"), F.col(key)], F.expr(f"(cast(conv(substr(_h, 1, 10), 16, 10) as bigint) * {buckets}) div {1 << 40}"))
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
     return ranked.join(small_side(sizes), label).withColumn("split", F.expr(
         "case when _idx < cast(_n * 0.5D as bigint) then 'train' when _idx < cast(_n * 0.5D as bigint) + cast(_n * 0.25D as bigint) "

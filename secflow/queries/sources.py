@@ -82,20 +82,35 @@ _AS_OF = "2024-01-15 00:00:00"
 _LINE = f"concat(if(k % 2 = 0, '<34>', ''), date_format(ts, 'MMM'), ' ', lpad(cast(day(ts) as string), 2, ' '), ' ', date_format(ts, 'HH:mm:ss'), ' ', host, ' ', {_PROG}, if(k % 3 = 0, concat('[', k, ']'), ''), ': ', {_MSG})"
 
 
+def with_rejects(shown_rows, rejects):
+    """Rejected lines beside the events: category is 'rejected', outcome the reason, the rest is null."""
+    given = {"event_id": "_keep_id", "category": "'rejected'", "outcome": "reason"}
+    return shown_rows.unionByName(rejects.selectExpr(*[
+        f"cast({given.get(c, 'null')} as {t}) as `{c}`" for c, t in shown_rows.dtypes]))
+
+
 def norm_syslog(spark, sf):
     lines = telemetry(spark, sf).where("source = 'auth'").selectExpr("event_id as _keep_id", f"if(k = 99, 'garbage', {_LINE}) as value")
-    return n.syslog(lines, _AS_OF).selectExpr("_keep_id as event_id", "event_id as pid", "ts", "category", "outcome", "src_ip", "host", "user", "process_name", "properties['priority'] as pri")
+    events, rejects = n.syslog(lines, _AS_OF)
+    return with_rejects(events.selectExpr("_keep_id as event_id", "event_id as pid", "ts", "category", "outcome", "src_ip", "host", "user", "process_name", "properties['priority'] as pri"), rejects)
 
 
 section.add("norm_syslog", norm_syslog, f"""{_TEL} SELECT event_id, CASE WHEN k % 3 = 0 THEN k::VARCHAR ELSE 'syslog' END AS pid,
 CASE WHEN date_trunc('second', ts) <= TIMESTAMP '2024-01-16' THEN date_trunc('second', ts) ELSE date_trunc('second', ts) - INTERVAL 1 YEAR END AS ts, {_SQL_CLASS}, host, CASE WHEN k % 5 < 2 THEN "user" END AS "user", {_SQL_PROG} AS process_name, CASE WHEN k % 2 = 0 THEN '34' END AS pri
-FROM tel WHERE source = 'auth' AND k <> 99""")
+FROM tel WHERE source = 'auth' AND k <> 99 UNION ALL SELECT event_id, NULL, NULL, 'rejected', 'unrecognised line', NULL, NULL, NULL, NULL, NULL FROM tel WHERE source = 'auth' AND k = 99""")
 _AUD = ("concat('type=', element_at(array('USER_AUTH', 'EXECVE', 'PATH', 'SOCKADDR', 'CONFIG'), cast(k % 5 + 1 as int)), ' msg=audit(', cast(unix_micros(ts) / 1000000 as decimal(20, 3)), ':', event_id, "
         "'): acct=\"', coalesce(user, 'none'), '\" exe=\"/usr/bin/my app\" addr=', src_ip, if(k % 4 < 3, concat(' res=', element_at(array('yes', 'no', 'failed'), cast(k % 4 + 1 as int))), ''), ' exit=-', k)")
-section.add("norm_auditd", lambda spark, sf: n.auditd(telemetry(spark, sf).where("source in ('auth', 'netflow')").selectExpr("event_id as _keep_id", f"{_AUD} as value")).selectExpr(
-    "_keep_id as event_id", "event_id as serial", "unix_millis(ts) as millis", "category", "action", "user", "process_name", "src_ip", "outcome", "properties['return_code'] as code"),
-    f"""{_TEL} SELECT event_id, event_id::VARCHAR AS serial, round(epoch_us(ts) / 1000)::BIGINT AS millis, ['authentication', 'process', 'file', 'network', 'audit'][k % 5 + 1] AS category, ['user_login', 'process_create', 'file_access', 'network_connection', 'auditd_config'][k % 5 + 1] AS action,
-coalesce("user", 'none') AS "user", '/usr/bin/my app' AS process_name, src_ip, ['success', 'failure', 'failure', 'unknown'][k % 4 + 1] AS outcome, (-k)::VARCHAR AS code FROM tel WHERE source IN ('auth', 'netflow')""")
+
+
+def norm_auditd(spark, sf):
+    lines = telemetry(spark, sf).where("source in ('auth', 'netflow')").selectExpr("event_id as _keep_id", f"if(k = 7, concat('audit: ', {_AUD}), {_AUD}) as value")
+    events, rejects = n.auditd(lines)
+    return with_rejects(events.selectExpr("_keep_id as event_id", "event_id as serial", "unix_millis(ts) as millis", "category", "action", "user", "process_name", "src_ip", "outcome", "properties['return_code'] as code"), rejects)
+
+
+section.add("norm_auditd", norm_auditd, f"""{_TEL} SELECT event_id, event_id::VARCHAR AS serial, round(epoch_us(ts) / 1000)::BIGINT AS millis, ['authentication', 'process', 'file', 'network', 'audit'][k % 5 + 1] AS category, ['user_login', 'process_create', 'file_access', 'network_connection', 'auditd_config'][k % 5 + 1] AS action,
+coalesce("user", 'none') AS "user", '/usr/bin/my app' AS process_name, src_ip, ['success', 'failure', 'failure', 'unknown'][k % 4 + 1] AS outcome, (-k)::VARCHAR AS code FROM tel WHERE source IN ('auth', 'netflow') AND k <> 7
+UNION ALL SELECT event_id, NULL, NULL, 'rejected', NULL, NULL, NULL, NULL, 'unrecognised line', NULL FROM tel WHERE source IN ('auth', 'netflow') AND k = 7""")
 _ACT = "element_at(array('ALLOW', 'Deny', 'drop', 'accept', 'Rejected'), cast(k % 5 + 1 as int))"
 _FWL = (f"concat('date=', date_format(ts, 'yyyy-MM-dd'), ' time=', date_format(ts, 'HH:mm:ss'), ' devname=\"', host, '\" SrcIP=', src_ip, ' dstip=', dst_ip, ' dport=', dst_port, ' sentbyte=', bytes_out, ' rcvdbyte=', bytes_in, if(k % 6 = 0, '', concat(' disposition=', {_ACT})), ' policyid=', k)")
 _FWJ = {"timestamp": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')", "fw": "host", "saddr": "src_ip", "daddr": "dst_ip", "dpt": "dst_port", "bytes_sent": "bytes_out", "in": "bytes_in", "act": f"if(k % 6 = 0, null, {_ACT})", "ruleid": "k"}
@@ -103,13 +118,15 @@ _FWJ = {"timestamp": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')", "fw": "host", "sa
 
 def norm_firewall(spark, sf):
     body = ", ".join(f"'{k}', {v}" for k, v in _FWJ.items())
-    rows = telemetry(spark, sf).where("source = 'firewall'").selectExpr("event_id as _keep_id", f"if(k % 2 = 0, {_FWL}, to_json(named_struct({body}))) as value")
-    return n.firewall(rows).selectExpr("_keep_id as event_id", "ts", "action", "host", "src_ip", "dst_ip", "dst_port", "bytes_out", "bytes_in", "outcome", "properties['rule'] as rule")
+    rows = telemetry(spark, sf).where("source = 'firewall'").selectExpr("event_id as _keep_id", f"case when k = 8 then 'link is down' when k % 2 = 0 then {_FWL} else to_json(named_struct({body})) end as value")
+    events, rejects = n.firewall_lines(rows)
+    return with_rejects(events.selectExpr("_keep_id as event_id", "ts", "category", "action", "host", "src_ip", "dst_ip", "dst_port", "bytes_out", "bytes_in", "outcome", "properties['rule'] as rule"), rejects)
 
 
 _SQL_ACT = "CASE WHEN k % 6 <> 0 THEN lower(['ALLOW', 'Deny', 'drop', 'accept', 'Rejected'][k % 5 + 1]) END"
-section.add("norm_firewall", norm_firewall, f"""{_TEL} SELECT event_id, date_trunc('second', ts) AS ts, coalesce({_SQL_ACT}, 'connection') AS action, host, src_ip, dst_ip, dst_port, bytes_out, bytes_in,
-CASE WHEN k % 6 = 0 THEN 'unknown' WHEN k % 5 IN (1, 2, 4) THEN 'failure' ELSE 'success' END AS outcome, k::VARCHAR AS rule FROM tel WHERE source = 'firewall'""")
+section.add("norm_firewall", norm_firewall, f"""{_TEL} SELECT event_id, date_trunc('second', ts) AS ts, 'network' AS category, coalesce({_SQL_ACT}, 'connection') AS action, host, src_ip, dst_ip, dst_port, bytes_out, bytes_in,
+CASE WHEN k % 6 = 0 THEN 'unknown' WHEN k % 5 IN (1, 2, 4) THEN 'failure' ELSE 'success' END AS outcome, k::VARCHAR AS rule FROM tel WHERE source = 'firewall' AND k <> 8
+UNION ALL SELECT event_id, NULL, 'rejected', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'unrecognised line', NULL FROM tel WHERE source = 'firewall' AND k = 8""")
 _EVE = {"timestamp": ISO, "flow_id": "event_id", "event_type": "element_at(array('alert', 'flow', 'DNS'), cast(k % 3 + 1 as int))", "src_ip": "src_ip", "dest_ip": "dst_ip", "dest_port": "dst_port", "proto": "'TCP'",
         "alert": "if(k % 3 = 0, named_struct('signature', concat('ET SCAN ', k), 'severity', k % 5, 'signature_id', k), null)", "flow": "if(k % 3 = 1, named_struct('bytes_toserver', bytes_out, 'bytes_toclient', bytes_in, 'state', 'closed'), null)"}
 section.add("norm_ids", lambda spark, sf: shown(n.ids(raw_json(spark, sf, "category = 'network'", _EVE)), "category", "action", "src_ip", "dst_ip", "dst_port", "bytes_out", "command_line", "properties['severity_label'] as level", "properties['state'] as state"),

@@ -105,7 +105,7 @@ section.add("stream_risk", stream_risk, f"{t.light_base(t.RISK, recursive=True)}
 
 def stream_volume_rule(spark, sf):
     rule = cat.VOLUME[0]
-    rows = telemetry(spark, sf).where(cat.predicate(rule)).selectExpr("event_id", "ts", "concat_ws('|', src_ip, user) as group")
+    rows = telemetry(spark, sf).where(cat.predicate(rule)).selectExpr("event_id", "ts", "to_json(struct(src_ip, user), map('ignoreNullFields', 'false')) as group")
     out, mark = work_path(spark, "volume"), work_path(spark, "mark")
     jobs.run_to_table(jobs.volume_rule(stream_of(spark, rows, "matches"), *t.VOLUME_WINDOWS[rule.rule_id]), out, mark)
     return spark.read.parquet(out).select("event_id", "kind", "related")

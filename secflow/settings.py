@@ -5,6 +5,7 @@ Every setting has a default that suits a laptop; a cluster sets its own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -54,20 +55,25 @@ def small_side(df: DataFrame) -> DataFrame:
     return df
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where driver and executors are one process."""
+    folder = _conf(spark, "spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="secflow-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder of the cluster."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = _conf(spark, "spark.checkpoint.dir", "")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="secflow-checkpoint-"))
+        context.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a written table: in the shared folder where one is set, else a local one."""
-    base = _conf(spark, "spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="secflow-work-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh place for a written table in the shared folder."""
+    return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -6,6 +6,7 @@ what one key can bring into a task at a time.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -47,15 +48,24 @@ def written(batch: DataFrame, path: str, number: int) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def guarded(handle: Callable[[DataFrame, int], None], dead_letters: str) -> Callable[[DataFrame, int], None]:
-    """A batch that keeps failing goes to the dead letters with its reason; the stream goes on."""
+def guarded(handle: Callable[[DataFrame, int], None], dead_letters: str, attempts: int = 3,
+            pause: float = 1.0) -> Callable[[DataFrame, int], None]:
+    """A batch that keeps failing goes to the dead letters with its reason; the stream goes on.
+
+    A handler is tried ``attempts`` times with a growing pause, so a passing fault, a lost executor among
+    them, does not cost the batch. Handlers write under the batch's number, so a repeat replaces its own rows.
+    """
     def run(batch: DataFrame, number: int) -> None:
-        try:
-            handle(batch, number)
-        except Exception as error:  # noqa: BLE001 - the reason is recorded, whatever it is
-            reason = str(error).splitlines()[0][:500]
-            written(batch.select(F.to_json(F.struct("*")).alias("record"), F.lit(reason).alias("reason")),
-                    dead_letters, number)
+        for attempt in range(attempts):
+            try:
+                handle(batch, number)
+                return
+            except Exception as error:  # noqa: BLE001 - the reason is recorded, whatever it is
+                reason = (str(error).splitlines() or [type(error).__name__])[0][:500]
+            if attempt + 1 < attempts:
+                time.sleep(pause * 2 ** attempt)
+        written(batch.select(F.to_json(F.struct("*")).alias("record"), F.lit(reason).alias("reason")),
+                dead_letters, number)
     return run
 
 

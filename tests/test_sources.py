@@ -30,14 +30,14 @@ def test_times(spark, text, want):
 
 
 def test_syslog_year_before(spark):
-    rows = n.syslog(lines(spark, "<13>Dec 31 23:59:00 web1 sshd[99]: Failed password for invalid user bob from 203.0.113.9 port 1", "no log line"), "2025-01-01 00:10:00")
+    rows, rejects = n.syslog(lines(spark, "<13>Dec 31 23:59:00 web1 sshd[99]: Failed password for invalid user bob from 203.0.113.9 port 1", "no log line"), "2025-01-01 00:10:00")
     row = one(rows)
     assert (row.ts, row.user, row.src_ip, row.outcome, row.event_id) == (datetime(2024, 12, 31, 23, 59), "bob", "203.0.113.9", "failure", "99")
-    assert n.unreadable(lines(spark, "no log line"), n.SYSLOG).count() == 1
+    assert [tuple(r) for r in rejects.collect()] == [("no log line", "unrecognised line")]
 
 
 def test_auditd_quotes(spark):
-    row = one(n.auditd(lines(spark, 'type=SYSCALL msg=audit(1709287200.500:42): exe="/bin/my tool" auid=1000 success=no exit=-13 key=(null)')))
+    row = one(n.auditd(lines(spark, 'type=SYSCALL msg=audit(1709287200.500:42): exe="/bin/my tool" auid=1000 success=no exit=-13 key=(null)'))[0])
     assert (row.process_name, row.user, row.outcome, row.properties["return_code"]) == ("/bin/my tool", "1000", "failure", "-13")
 
 
