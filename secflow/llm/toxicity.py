@@ -89,7 +89,7 @@ class Chain:
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by accelerated gradient steps; a constant where only one class is seen."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    share = (y.sum() + 0.5) / (len(y) + 1) if y.any() else 0.5 / (len(y) + 100)
     w, base = np.zeros(x.shape[1], np.float32), float(np.log(share / (1 - share)))
     if len(y) == 0 or y.min() == y.max():
         return w, base
@@ -212,7 +212,7 @@ def rate(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFra
     """doc_id, held_out, p_<category> for each category but the last, toxic_score, toxic_predicted per row.
 
     toxic_predicted: toxic_score >= threshold. Null and empty texts are scored as texts without words. Without
-    labels every score is 0.5 or below it by the prior and no document is toxic. Null ids (never held out)
+    toxic labels every score is small and no document is toxic. Null ids (never held out)
     and repeated rows stay; an empty table gives an empty result; other columns are not looked at.
     """
 
