@@ -22,7 +22,7 @@ import heapq
 from functools import lru_cache
 
 import numpy as np
-import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,12 +64,15 @@ def _step(state: int, kind: int) -> tuple[int, bool]:
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, ...]:
     """(class of each code point, numbers of the class functions, composition, application, piece begins)."""
+    # The classes are asked of the library once, since Unicode tables differ between versions: an encoding whose
+    # pattern is one class, over single bytes, returns just the code points of that class.
     points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    one_byte = {bytes([b]): b for b in range(256)}
     raw = np.full(0x110000, OTHER, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for run in regex.finditer(pattern, points):
-            a, b = ord(points[run.start()]), ord(points[run.end() - 1])
-            raw[a:b + 1] = kind  # a run never crosses the gap of the surrogates
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        of_class = tiktoken.Encoding(f"class {kind}", pat_str=pattern, mergeable_ranks=one_byte, special_tokens={})
+        found = bytes(of_class.encode_ordinary(points)).decode("utf-8")
+        raw[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
 
     after = np.array([[_step(s, k)[0] for s in range(8)] for k in range(CLASSES)])
     begins = np.array([[_step(s, k)[1] for k in range(CLASSES)] for s in range(8)])
