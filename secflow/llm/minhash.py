@@ -4,7 +4,8 @@ Every five-word shingle is hashed once. The top bits of the hash name its bin, e
 An empty bin takes the value of another bin, chosen by hashes of (bin, attempt) until one is not empty, so
 two texts with the same filled bins choose alike and every empty bin chooses on its own (optimal
 densification). After ATTEMPTS tries the filled bin with the least priority for this bin is taken, which is
-what further tries would find on average. Only BITS low bits of each bin are stored.
+what further tries would find on average. Of each bin only BITS low bits are stored, taken after the value was
+mixed with the bin's number, so that a value which several bins borrow meets by chance in each bin separately.
 
 Likeness of two fingerprints: the share of equal bins, freed from the share that equal by chance (2^-BITS).
 
@@ -69,7 +70,10 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     least = F.col("_least")
     filled = F.filter(F.transform(least, lambda v, i: F.struct(v.alias("v"), i.alias("i"))),
                       lambda x: x["v"] != (1 << SHIFT) - 1)
-    digit = lambda v: F.substr(F.lit(DIGITS), F.pmod(v, F.lit(1 << BITS)).cast("int") + 1, F.lit(1))
+
+    def digit(v: Column, i: Column) -> Column:
+        return F.substr(F.lit(DIGITS), F.pmod(F.xxhash64(v, i), F.lit(1 << BITS)).cast("int") + 1, F.lit(1))
+
     steps = {"_words": F.transform(words, lambda w: F.xxhash64(w)),
              "_hashes": _shingle_hashes(F.col("_words")),
              "_ranked": F.sort_array(F.concat(F.col("_hashes"), marks)),
