@@ -109,6 +109,15 @@ NOT_PUBLIC = (r"^(0|10|127|22[4-9]|2[3-5][0-9])\.|^100\.(6[4-9]|[7-9][0-9]|1[01]
 IPV4 = r"^((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 
 
+# Written forms of IPv6: eight groups, or fewer with one gap. Public are those of 2000::/3 outside protocol
+# assignments (2001::/23) and documentation (2001:db8::/32).
+IPV6 = (r"^(([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=([^:]*:){2,7}[^:]*$)(?!.*::.*::)(?!.*:::)"
+        r"[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*::([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?)$")
+PUBLIC_IPV6 = r"^[23][0-9A-Fa-f]{3}:"
+NOT_PUBLIC_IPV6 = r"^2001:(:|0{0,3}[0-9A-Fa-f]{1,2}:|0?1[0-9A-Fa-f]{2}:|0?[dD][bB]8:)"
+
+
 def public_ip(col: str) -> str:
-    """A valid IPv4 address outside the private, loopback, link-local and reserved ranges."""
-    return all_of([matches(col, IPV4), not_matches(col, NOT_PUBLIC)])
+    """A valid address outside the private, loopback, link-local and reserved ranges."""
+    return any_of([all_of([matches(col, IPV4), not_matches(col, NOT_PUBLIC)]),
+                   all_of([matches(col, IPV6), matches(col, PUBLIC_IPV6), not_matches(col, NOT_PUBLIC_IPV6)])])

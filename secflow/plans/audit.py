@@ -18,9 +18,9 @@ PAYLOAD = ("concat('{\"action\":\"', action, '\",\"actor\":\"', actor, '\",\"det
 def build_chain(rows: DataFrame, segment_rows: int = 100_000) -> DataFrame:
     """Chain the rows (run, idx, at, actor, action, detail) of each run.
 
-    A hash chain is sequential by nature, so its length is bounded: a run is sealed after
+    A hash chain is sequential by nature, so its length is bounded: a run is cut after
     ``segment_rows`` entries and the next segment starts from genesis again. Segments are the
-    parallel unit.
+    parallel unit; ``seal`` ties them together.
     """
     cut = rows.withColumn("segment", F.expr(f"idx div {segment_rows}"))
 
@@ -38,6 +38,29 @@ def anchors(chained: DataFrame) -> DataFrame:
     return chained.groupBy("run", "segment").agg(F.count("*").alias("rows"), F.max_by("entry_hash", "idx").alias("last_hash"))
 
 
+def seal(anchor: DataFrame) -> DataFrame:
+    """A second chain over the segments of each run: a link covers the link before it, the segment's last hash
+    and its length, so no segment can be left out, moved or replaced. One row per segment is walked."""
+    def step(prev: str, segment: int, rows: int, last_hash: str):
+        link = hashlib.sha256(f"{prev}|{segment}|{rows}|{last_hash}".encode()).hexdigest()
+        return link, (prev, link)
+
+    return fold_rows(anchor, ["run"], ["segment"], ["segment", "rows", "last_hash"], step, GENESIS, anchor.columns,
+                     {"prev_link": "string", "link": "string"})
+
+
+def verify_seal(sealed: DataFrame, ends: DataFrame) -> DataFrame:
+    """First bad segment per run, if any, against ``ends`` (run, segments, link): the number of segments and the
+    last link that were noted when the run was sealed."""
+    linked = over_rows(sealed, ["run"], 1, {"_before": lambda w: F.lag("link").over(w)}, index="segment")
+    bad = linked.withColumn("_bad", F.expr(
+        f"prev_link <> coalesce(_before, '{GENESIS}') or link <> sha2(concat_ws('|', prev_link, segment, rows, last_hash), 256)"))
+    per_run = bad.groupBy("run").agg(F.min(F.expr("if(_bad, segment, null)")).alias("bad_segment"),
+                                     F.count("*").alias("_n"), F.max_by("link", "segment").alias("_last"))
+    return ends.join(per_run, "run", "left").selectExpr(
+        "run", "bad_segment", "coalesce(bad_segment is null and _n = segments and _last = link, false) as valid")
+
+
 def verify_chain(chained: DataFrame, anchor: DataFrame) -> DataFrame:
     """First bad row and its reason per run, checked row by row in parallel, then the anchor."""
     linked = over_rows(chained.withColumn("_key", F.struct("run", "segment")), ["_key"], 1, {

@@ -17,8 +17,9 @@ FEEDS = ("report", "pulse")
 
 def observables(events: DataFrame) -> DataFrame:
     """Addresses and hashes of each event, lower-cased, one row each."""
-    return events.selectExpr(
-        "event_id", "explode(array_distinct(array_compact(array(lower(src_ip), lower(dst_ip), lower(md5))))) as observable")
+    hashes = "transform(coalesce(map_values(hashes), array()), h -> lower(h))" if "hashes" in events.columns else "array(lower(md5))"
+    return events.selectExpr("event_id", "explode(array_distinct(array_compact(concat("
+                             f"array(lower(src_ip), lower(dst_ip)), {hashes})))) as observable")
 
 
 def live_values(indicators: DataFrame, as_of_ts: str) -> DataFrame:

@@ -22,11 +22,25 @@ def _constants(values: list, name: str) -> str:
 
 
 def with_fields(events: DataFrame, rules: Sequence[cat.Rule]) -> DataFrame:
-    """Add the fields that rules need and this table does not have as nulls."""
+    """Add the fields that rules need: from the column, else the properties, else the raw record, else null.
+
+    Each field is looked up once and then used by all rules. Columns that are not text are left as they are.
+    """
+    kinds = dict(events.dtypes)
+    added = {}
     for name in sorted(set().union(*[cat.fields_of(r.when) for r in rules])):
-        if name not in events.columns:
-            events = events.withColumn(name, F.lit(None).cast("string"))
-    return events
+        if kinds.get(name, "string") != "string":
+            continue
+        places = [F.col(name)] if name in kinds else []
+        if "properties" in kinds:
+            places.append(F.col("properties")[name])
+        if kinds.get("raw") == "string":
+            places.append(F.get_json_object("raw", f"$.{name}"))
+        if places and len(places) + (name not in kinds) > 1:
+            added[name] = F.coalesce(*[F.nullif(x, F.lit("")) for x in places])
+        elif not places:
+            added[name] = F.lit(None).cast("string")
+    return events.withColumns(added) if added else events
 
 
 def rule_matches(events: DataFrame, rules: Sequence[cat.Rule] = tuple(cat.PER_EVENT),

@@ -35,15 +35,17 @@ def features(events: DataFrame, train: DataFrame, window_seconds: int = 300) ->
     timed = since_previous(burst(events, window_seconds), window_seconds)
     rare = with_rarity(timed.withColumnRenamed("events_in_window", "_burst"), train)
     flag = "cast({} as int) * 1D"
+    # Normalised events carry a map of hashes and the parent's command line; plain tables may have single columns.
+    has_hash = "coalesce(size(hashes) > 0, false)" if "hashes" in events.columns else "md5 is not null"
+    parent = "properties['parent_command_line']" if "properties" in events.columns else "parent_process"
     return rare.selectExpr(
-        "event_id", "ts", "label", "attack_cat",
+        "event_id", "ts", *[c for c in ("label", "attack_cat") if c in events.columns],
         f"{s.log_volume('bytes_out')} as bytes_out_log", f"{s.log_volume('bytes_in')} as bytes_in_log",
         f"{s.bytes_ratio()} as bytes_ratio", f"{flag.format(s.rare_port())} as is_rare_port", "port_rarity",
         "cast(length(coalesce(command_line, '')) as double) as cmd_len",
         f"cast({s.special_chars('command_line')} as double) as cmd_special_chars",
         f"{s.entropy('command_line')} as cmd_entropy", "user_rarity", "src_ip_rarity",
-        f"{flag.format('(md5 is not null)')} as has_hash",
-        f"{flag.format('(parent_process is not null)')} as has_parent_cmd",
+        f"{flag.format('(' + has_hash + ')')} as has_hash", f"{flag.format('(' + parent + ' is not null)')} as has_parent_cmd",
         "if(category = 'process', 1D, 0D) as is_process", "if(category = 'network', 1D, 0D) as is_network",
         f"sin({s.hour_angle()}) as hour_sin", f"cos({s.hour_angle()}) as hour_cos",
         f"{flag.format(s.is_night())} as is_night", "log1p(_burst) as events_in_window",

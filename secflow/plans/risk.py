@@ -24,10 +24,12 @@ def _clamp(value: float, low: float, high: float) -> float:
 def risk_history(scored: DataFrame, block: int | None = None) -> DataFrame:
     """Score of the entity after each event (columns event_id, ts, entity, hybrid_score, cti_confirmed).
 
+    Only events with a score above 0 are part of the history; the decay over the time between them is the same.
+
     One event turns a score s into ``clamp(s - decay + increment, increment, 100)``. Functions of
     that form compose into one of the same form, so a block is described by three numbers.
     """
-    ranked = timed_index(scored.selectExpr("event_id", "ts", "entity", f"{INCREMENT} as increment"), ["entity"])
+    ranked = timed_index(scored.where("hybrid_score > 0").selectExpr("event_id", "ts", "entity", f"{INCREMENT} as increment"), ["entity"])
     spaced = over_rows(ranked, ["entity"], 1, {
         "hours": lambda w: F.coalesce(F.greatest(F.lit(0.0), (
             F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 3.6e9), F.lit(0.0))}, block=block)

@@ -165,15 +165,14 @@ FROM ({_STACK}) GROUP BY feature""")
 
 
 def agg_feature_eligibility(spark, sf):
-    sample = telemetry(spark, sf).withColumn("_o", F.expr("md5(cast(cast(event_id as string) as binary))")).orderBy("_o", "event_id").limit(5000)
-    stds = sample.agg(*[F.stddev_pop(F.col(n).cast("double")).alias(n) for n in _NUM], F.stddev_pop(F.lit(1.0)).alias("constant"))
+    stds = telemetry(spark, sf).agg(*[F.stddev_pop(F.col(n).cast("double")).alias(n) for n in _NUM], F.stddev_pop(F.lit(1.0)).alias("constant"))
     return stds.selectExpr("stack(6, " + ", ".join(f"'{n}', {n}" for n in [*_NUM, "constant"]) + ") as (feature, std)").selectExpr(
         "feature", "round(std, 3) as std", "coalesce(std > 1e-9, false) as informative")
 
 
-section.add("agg_feature_eligibility", agg_feature_eligibility, f"""{t.with_(t.TEL, "sm AS (SELECT * FROM tel ORDER BY md5(event_id::VARCHAR), event_id LIMIT 5000)")}
+section.add("agg_feature_eligibility", agg_feature_eligibility, f"""{_TEL}
 SELECT feature, round(stddev_pop(x), 3) AS std, coalesce(stddev_pop(x) > 1e-9, FALSE) AS informative FROM (
-{' UNION ALL '.join(f"SELECT '{n}' AS feature, {n}::DOUBLE AS x FROM sm" for n in _NUM)} UNION ALL SELECT 'constant', 1 FROM sm) GROUP BY 1""")
+{' UNION ALL '.join(f"SELECT '{n}' AS feature, {n}::DOUBLE AS x FROM tel" for n in _NUM)} UNION ALL SELECT 'constant', 1 FROM tel) GROUP BY 1""")
 
 
 def agg_component_eligibility(spark, sf):
@@ -307,6 +306,17 @@ ev AS (SELECT run, n, CASE WHEN run % 7 = 0 AND n > 2 THEN 2 END AS e, CASE WHEN
 SELECT run, least(e, l, g)::BIGINT AS bad_index, CASE WHEN least(e, l, g) IS NOT NULL THEN CASE WHEN least(e, l, g) = e THEN 'changed entry' ELSE 'broken link' END WHEN cut THEN 'truncated' END AS reason,
 least(e, l, g) IS NULL AND NOT cut AS valid FROM ev""")
 
+def win_hash_chain_seal(spark, sf):
+    sealed = au.seal(au.anchors(au.build_chain(audit_rows(spark, sf), 3)))
+    ends = sealed.groupBy("run").agg(F.count("*").alias("segments"), F.max_by("link", "segment").alias("link"))
+    broken = sealed.where("not (run % 11 = 0 and segment = 1)").withColumn("last_hash", F.expr("if(run % 7 = 0 and segment = 0, repeat('0', 64), last_hash)"))
+    return sealed.select("run", "segment", "rows", "link").join(au.verify_seal(broken, ends), "run")
+
+
+section.add("win_hash_chain_seal", win_hash_chain_seal, f"""{t.with_(AUDIT.replace("|| ch.entry_hash ||", "|| CASE WHEN ar.idx % 3 = 0 THEN '" + au.GENESIS + "' ELSE ch.entry_hash END ||"), "anc AS MATERIALIZED (SELECT run, idx // 3 AS segment, count(*) AS rows, max_by(entry_hash, idx) AS last_hash FROM ch GROUP BY ALL)",
+ "sl AS (SELECT run, segment, rows, sha256('" + au.GENESIS + "|0|' || rows || '|' || last_hash) AS link FROM anc WHERE segment = 0 UNION ALL SELECT anc.run, anc.segment, anc.rows, sha256(sl.link || '|' || anc.segment || '|' || anc.rows || '|' || anc.last_hash) FROM sl JOIN anc ON anc.run = sl.run AND anc.segment = sl.segment + 1)", recursive=True)}
+SELECT run, segment, rows, link, CASE WHEN run % 7 = 0 THEN 0 WHEN run % 11 = 0 AND n > 2 THEN 2 END::BIGINT AS bad_segment, run % 7 <> 0 AND (run % 11 <> 0 OR n < 2) AS valid FROM sl JOIN (SELECT run, count(*) AS n FROM anc GROUP BY 1) USING (run)""")
+
 # --- splits and samples ---------------------------------------------------------------------------------
 section.add("win_time_split", lambda spark, sf: sm.time_split(telemetry(spark, sf)).select("event_id", "split"),
             f"""{_TEL} SELECT event_id, CASE WHEN i < trunc(n * 0.6::DOUBLE) THEN 'train' WHEN i < trunc(n * 0.8::DOUBLE) THEN 'validation' ELSE 'test' END AS split

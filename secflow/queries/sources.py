@@ -10,10 +10,14 @@ from secflow.queries.operations import STORE
 from secflow.queries.registry import Section
 from secflow.plans import operations as ops
 from secflow.plans import sequence as sq
+from secflow.plans import catalogue as cat
+from secflow.plans import cti
+from secflow.plans import detection as det
+from secflow.plans import scoring as sc
 from secflow.plans.behaviour import profiles
 from secflow.queries.campaigns import lists
 from secflow.settings import work_path
-from secflow.sources import flows, ocsf, sinks
+from secflow.sources import flows, ocsf, prepared, sinks
 from secflow.sources import normalize as n
 from secflow.sources.telemetry import telemetry
 
@@ -363,3 +367,28 @@ def snk_idempotent(spark, sf):
 
 
 section.add("snk_idempotent", snk_idempotent, f"{t.with_(STORE)} SELECT severity, state, count(*) AS n, count(DISTINCT incident_id) AS ids FROM sto GROUP BY ALL")
+
+
+# --- from raw records to scored hosts -----------------------------------------------------------------------
+_CHAIN = {"source": "source", "timestamp": ISO, "UtcTime": "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS')", "EventID": "if(source = 'sysmon', 1, null)", "event_id": "'same'",
+          "host": "host", "user": "user", "src_ip": "src_ip", "dst_ip": "dst_ip", "dst_port": "dst_port", "bytes_out": "bytes_out", "bytes_in": "bytes_in", "Image": "process_name",
+          "CommandLine": "if(source = 'sysmon', command_line, null)", "ParentImage": "parent_process", "Hashes": "if(md5 is null, null, concat('MD5=', md5))",
+          "url": "if(source = 'web', command_line, null)", "outcome": "if(source = 'web', null, outcome)", "status": "if(source = 'web', outcome, null)", "action": "action"}
+
+
+def from_raw(spark, sf):
+    """Telemetry as raw JSON of its sources, all with the same few ids, read back by the normalisers."""
+    return prepared.referenced(n.dispatch(raw_json(spark, sf, "true", _CHAIN)))
+
+
+def pipeline_end_to_end(spark, sf):
+    """Raw records to rule evidence per event, joined by the events' own references."""
+    events = from_raw(spark, sf)
+    evidence = sc.rule_evidence(det.rule_matches(events))
+    seen = cti.observables(events).groupBy("event_id").agg(F.count("*").alias("observables"))
+    return (events.join(evidence, "event_id", "left").join(seen, "event_id", "left")
+            .selectExpr("_keep_id as event_id", "host", "source", "coalesce(rules, '') as rules", "coalesce(n_rules, 0) as n_rules", "observables"))
+
+
+section.add("pipeline_end_to_end", pipeline_end_to_end, f"""{t.with_(t.TEL, f"h AS ({t.hits_sql(cat.PER_EVENT)})", "g AS (SELECT event_id, array_to_string(list_sort(list_distinct(list(rule_id))), ',') AS rules, count(*) AS n_rules FROM h GROUP BY 1)")}
+SELECT event_id, host, source, coalesce(rules, '') AS rules, coalesce(n_rules, 0) AS n_rules, len(list_distinct(list_filter([src_ip, CASE WHEN source IN ('netflow', 'firewall', 'sysmon') THEN dst_ip END, CASE WHEN source = 'sysmon' THEN md5 END], lambda x: x IS NOT NULL))) AS observables FROM tel LEFT JOIN g USING (event_id)""")

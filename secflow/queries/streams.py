@@ -94,7 +94,7 @@ section.add("stream_baseline", stream_baseline, f"""{t.with_(t.TEL, t.USERS, t.H
 
 
 def stream_risk(spark, sf):
-    rows = light(spark, sf).selectExpr("event_id", "ts", "entity", f"{INCREMENT} as increment")
+    rows = light(spark, sf).where("hybrid_score > 0").selectExpr("event_id", "ts", "entity", f"{INCREMENT} as increment")
     out, mark = work_path(spark, "risk"), work_path(spark, "mark")
     jobs.run_to_table(jobs.risk(stream_of(spark, rows, "scored")), out, mark)
     return spark.read.parquet(out).selectExpr("event_id", "entity", "round(previous, 3) as previous", "round(score, 3) as score")

@@ -266,7 +266,7 @@ def light_base(*more: str, recursive: bool = False) -> str:
 
 
 RISK = """rk_m AS MATERIALIZED (SELECT event_id, ts, entity, greatest(hybrid_score / 3, CASE WHEN cti_confirmed THEN 60 ELSE 0 END)::DOUBLE AS inc,
-  row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS rn FROM light),
+  row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS rn FROM light WHERE hybrid_score > 0),
 rk AS (SELECT entity, rn, event_id, ts, 0::DOUBLE AS previous, least(100, inc)::DOUBLE AS score FROM rk_m WHERE rn = 1
   UNION ALL SELECT m.entity, m.rn, m.event_id, m.ts, r.score, least(100, greatest(0, r.score - 5 * greatest(0, (epoch_us(m.ts) - epoch_us(r.ts)) / 3.6e9)) + m.inc)::DOUBLE
   FROM rk r JOIN rk_m m ON m.entity = r.entity AND m.rn = r.rn + 1)"""

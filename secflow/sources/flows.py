@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from secflow.settings import small_side
 from secflow.sources.normalize import as_events, first, integer, with_map
 
 # Column order of the headerless files.
@@ -15,6 +16,7 @@ RAW_COLUMNS = [
     "is_sm_ips_ports", "ct_state_ttl", "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd", "ct_srv_src", "ct_srv_dst",
     "ct_dst_ltm", "ct_src_ltm", "ct_src_dport_ltm", "ct_dst_sport_ltm", "ct_dst_src_ltm", "attack_cat", "label",
 ]
+# Names of the kept measures, and the columns that become event fields.
 RENAMED = {"dur": "duration_s", "spkts": "packets_out", "dpkts": "packets_in", "sttl": "ttl_out", "dttl": "ttl_in",
            "sloss": "loss_out", "dloss": "loss_in", "sload": "load_out", "dload": "load_in"}
 MAPPED = {"srcip", "sport", "dstip", "dsport", "proto", "service", "sbytes", "dbytes", "state", "stime", "ltime",
@@ -44,17 +46,26 @@ def finite(c: str, default: str = "0D") -> str:
 
 
 def read_flow_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Flow CSV as text columns plus provenance. The header row, where there is one, is recognised by
-    its words; the file's own first line decides, so files with and without header may be mixed only
-    across calls."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    head = [clean_name(n) for n in lines.limit(1).first()[0].split(",")]
-    names = head if {"label", "attack_cat", "dur"} & set(head) else RAW_COLUMNS
-    schema = ", ".join(f"`{n}` string" for n in names)
-    parsed = lines.select(F.from_csv(F.regexp_replace("value", "^﻿", ""), schema).alias("r"),
-                          F.input_file_name().alias("file"))
-    rows = parsed.select("r.*", "file")
-    return rows.where(f"lower(trim(coalesce(label, ''))) <> 'label'") if "label" in names else rows
+    """Flow CSV as text columns plus provenance. A file's header row, where it has one, is recognised by its
+    words and names the columns of that file only; files with other headers, or none, may be mixed. Rows of all
+    layouts are put together by name. An empty input has the columns of a file without header."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        F.regexp_replace("value", "^\ufeff", "").alias("value"), F.input_file_name().alias("file"))
+    names = f"transform(split(lower(value), ','), x -> regexp_replace(trim(x), '[^a-z0-9]+', '_'))"
+    header = F.expr(f"arrays_overlap({names}, array('label', 'attack_cat', 'dur'))")
+    heads = lines.where(header).groupBy("file").agg(F.min("value").alias("head"))
+    layouts = [r[0] for r in heads.select("head").distinct().collect()]  # one per kind of export
+    rows = lines.where(~header).join(small_side(heads), "file", "left")
+    out = None
+    for head in [None, *sorted(layouts)]:
+        names = RAW_COLUMNS if head is None else [clean_name(n) for n in head.split(",")]
+        schema = ", ".join(f"`{n}` string" for n in names)
+        part = rows.where(F.col("head").eqNullSafe(F.lit(head))).select(F.from_csv("value", schema).alias("r"), "file")
+        part = part.select("r.*", "file")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    used = {"file"} | ({c for h in layouts for c in map(clean_name, h.split(","))} if layouts else set())
+    plain = layouts and rows.where("head is null").isEmpty()
+    return out.select(*[c for c in out.columns if not plain or c in used])
 
 
 def flow_events(rows: DataFrame, row_id: str, line_no: str) -> DataFrame:
@@ -68,14 +79,14 @@ def flow_events(rows: DataFrame, row_id: str, line_no: str) -> DataFrame:
     kept = [f"named_struct('key', '{c}', 'value', {have[c]})" for c in names if c not in MAPPED]
     kept += [f"named_struct('key', '{out}', 'value', cast(try_cast({value(c)} as double) as string))" for c, out in RENAMED.items()]
     base = rows.selectExpr(
-        "*", f"{row_id} as _id", f"{value('stime')} as _stime",
+        "*", f"{row_id} as _id", f"{value('stime')} as _stime", f"{value('ltime')} as _ltime",
         f"coalesce({whole(value('label'))}, 0) as _label",
         f"case lower(coalesce({value('attack_cat')}, '')) when '' then 'Normal' when 'backdoors' then 'Backdoor' else {value('attack_cat')} end as _cat",
         f"cast(coalesce(unix_timestamp(timestamp'{SYNTHETIC_START}'), 0) + {line_no} as string) as _made")
     events = as_events(base.withColumnsRenamed({"_label": "_keep_label", "_cat": "_keep_cat"}).withColumn(
-        "_keep_unavailable", F.expr(f"array_compact(array(if(_stime is null, 'timestamp', null), "
+        "_keep_unavailable", F.expr(f"array_compact(array(if(coalesce(_stime, _ltime) is null, 'timestamp', null), "
                                     f"if({value('srcip')} is null and {value('dstip')} is null, 'ip_addresses', null)))")),
-        "coalesce(_stime, _made)", {
+        "coalesce(_stime, _ltime, _made)", {
             "event_id": "_id", "source": "'netflow'", "category": "'network'", "action": "'network_flow'",
             "src_ip": value("srcip"), "dst_ip": value("dstip"), "src_port": whole(value("sport")),
             "dst_port": whole(value("dsport")), "protocol": f"coalesce({value('proto')}, {value('service')})",

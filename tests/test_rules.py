@@ -79,7 +79,9 @@ def test_missing_source_counts_as_external(spark):
 
 
 @pytest.mark.parametrize("ip,public", [("8.8.8.8", True), ("10.1.2.3", False), ("172.31.0.1", False), ("172.32.0.1", True),
-                                       ("127.0.0.1", False), ("169.254.1.1", False), ("256.1.1.1", False), ("203.0.113.5", False), (None, False)])
+                                       ("127.0.0.1", False), ("169.254.1.1", False), ("256.1.1.1", False), ("203.0.113.5", False), (None, False),
+                                       ("2606:4700:4700::1111", True), ("2a00:1450:4001:82a:0:0:0:200e", True), ("::1", False), ("fe80::1", False),
+                                       ("fd00::1", False), ("2001:db8::1", False), ("2001::1", False), ("2606:4700", False), ("2606::1::2", False)])
 def test_public_ip(spark, ip, public):
     assert spark.createDataFrame([(ip,)], "ip string").where(p.public_ip("ip")).count() == int(public)
 
