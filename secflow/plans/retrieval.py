@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from secflow.plans.detection import first_rows, with_scalar
@@ -11,6 +15,8 @@ from secflow.settings import checkpointed, small_side
 # Fixed values.
 CHUNK, OVERLAP = 500, 50
 TERMS = 20_000
+#: Documents that are multiplied at a time, and terms per row of partial sums.
+DOCS_AT_ONCE, TERMS_AT_ONCE = 64, 1024
 TOKEN = "[\\\\p{L}\\\\p{N}_.-]{2,}"
 
 
@@ -111,19 +117,81 @@ def query_text(events: DataFrame, hits: DataFrame) -> DataFrame:
                     "if(coalesce(dst_port, 0) <> 0, concat('port ', dst_port), null)) as query")
 
 
-def latent_vectors(docs: DataFrame, dims: int = 128, limit: int = TERMS) -> DataFrame:
-    """Truncated SVD of the weighted term matrix (MLlib works on row matrices, so the rows go there)."""
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
-    from pyspark.mllib.linalg import SparseVector as RowVector
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    tokens = docs.selectExpr("doc_id", f"regexp_extract_all(lower(text), '{TOKEN}', 0) as tokens").where("size(tokens) > 0")
-    counted = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=limit).fit(tokens).transform(tokens)
-    weighted = IDF(inputCol="tf", outputCol="w").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="w", outputCol="unit").transform(weighted).select("doc_id", "unit")
-    rows = checkpointed(unit).rdd.map(lambda r: IndexedRow(r[0], RowVector(r[1].size, r[1].indices, r[1].values)))
-    matrix = IndexedRowMatrix(rows)
-    svd = matrix.computeSVD(min(dims, matrix.numCols() - 1), computeU=True)
-    scale = svd.s.toArray()
-    pairs = svd.U.rows.map(lambda r: (int(r.index), [float(a * b) for a, b in zip(r.vector.toArray(), scale)]))
-    return docs.sparkSession.createDataFrame(pairs, "doc_id bigint, vector array<double>")
+def _sparse(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry of each document, term numbers, weights) of rows with at least one term each."""
+    sizes = frame["terms"].map(len).to_numpy()
+    flat = [t for row in frame["terms"] for t in row]
+    return np.cumsum(np.r_[0, sizes[:-1]]), np.array([t["i"] for t in flat]), np.array([t["w"] for t in flat])
+
+
+def _times(frame: pd.DataFrame, basis: np.ndarray) -> np.ndarray:
+    """Documents times basis, block by block of documents."""
+    starts, at, w = _sparse(frame)
+    return np.add.reduceat(basis[at] * w[:, None], starts, axis=0)
+
+
+def _partial(basis: np.ndarray):
+    """Per partition and block of terms, the sum of A'(A basis)."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(basis.shape)
+        for frame in frames:
+            for a in range(0, len(frame), DOCS_AT_ONCE):
+                part = frame.iloc[a:a + DOCS_AT_ONCE]
+                starts, at, w = _sparse(part)
+                made = np.add.reduceat(basis[at] * w[:, None], starts, axis=0)
+                back = w[:, None] * np.repeat(made, np.diff(np.r_[starts, len(at)]), axis=0)
+                order = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
+                total[at[order][first]] += np.add.reduceat(back[order], first, axis=0)
+        blocks = range(0, len(basis), TERMS_AT_ONCE)
+        yield pd.DataFrame({"block": list(blocks), "sums": [total[b:b + TERMS_AT_ONCE].tobytes() for b in blocks]})
+
+    return run
+
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(x) for x in frame["sums"]], axis=0)
+    return pd.DataFrame({"block": [frame["block"].iloc[0]], "sums": [total.tobytes()]})
+
+
+def latent_vectors(docs: DataFrame, dims: int = 128, limit: int = TERMS, extra: int = 12, rounds: int = 3) -> DataFrame:
+    """Documents in the space of the ``dims`` strongest directions of the weighted term matrix A: U S of its SVD.
+
+    Subspace iteration: every round multiplies A'A onto a basis of the terms in one pass over the documents;
+    partitions send sums of fixed size (terms x (dims + extra)). At the end the small matrix (A Q)'(A Q) turns
+    the projections into U S. Documents without terms of the vocabulary get a zero vector.
+    """
+    weights, terms = tfidf(docs, limit)
+    index = checkpointed(terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i")))
+    rows = checkpointed(weights.join(F.broadcast(index), "term").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("i", "w"))).alias("terms")))
+    n, width = index.count(), min(dims + extra, index.count())
+    basis = np.random.default_rng(3).normal(size=(n, width))
+    for _ in range(rounds if n else 0):
+        sums = rows.mapInPandas(_partial(np.linalg.qr(basis)[0]), "block int, sums binary")
+        got = sums.groupBy("block").applyInPandas(_added, "block int, sums binary").collect()  # terms x width numbers
+        basis = np.zeros((n, width))
+        for block, raw in got:
+            part = np.frombuffer(raw).reshape(-1, width)
+            basis[block:block + len(part)] = part
+    q = np.linalg.qr(basis)[0] if n else basis
+
+    def gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for frame in frames:
+            for a in range(0, len(frame), DOCS_AT_ONCE):
+                y = _times(frame.iloc[a:a + DOCS_AT_ONCE], q)
+                total += y.T @ y
+        yield pd.DataFrame({"block": [0], "sums": [total.tobytes()]})
+
+    small = rows.mapInPandas(gram, "block int, sums binary").groupBy("block").applyInPandas(_added, "block int, sums binary").first()
+    turn = np.linalg.eigh(np.frombuffer(small[1]).reshape(width, width))[1][:, ::-1][:, :dims] if small and n else q[:0]
+    toward = q @ turn if n else q
+
+    @F.pandas_udf("array<double>")
+    def project(terms: pd.Series) -> pd.Series:
+        return pd.Series(list(_times(pd.DataFrame({"terms": terms}), toward)) if len(terms) else [], dtype=object)
+
+    zero = F.array_repeat(F.lit(0.0), toward.shape[1])
+    vectors = rows.select("doc_id", project("terms").alias("vector"))
+    return docs.select("doc_id").join(vectors, "doc_id", "left").select("doc_id", F.coalesce("vector", zero).alias("vector"))

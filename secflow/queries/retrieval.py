@@ -79,7 +79,7 @@ SELECT query_id, doc_id, min(p) AS p, arg_min(r, p) AS r FROM (SELECT query_id,
 
 
 def rag_lsa(spark, sf):
-    vectors = rt.latent_vectors(docs(spark, sf), 16, 500)
+    vectors = rt.latent_vectors(docs(spark, sf))
     return vectors.selectExpr("doc_id", "size(vector) as dims", "round(sqrt(aggregate(vector, 0D, (a, x) -> a + x * x)), 4) as length")
 
 

@@ -85,3 +85,20 @@ def test_query_equals_its_check(spark, name):
     got = sorted(repr([_plain(r[c]) for c in columns]) for r in df.collect())
     places = [check.columns.index(c) for c in columns]
     assert got == sorted(repr([_plain(r[i]) for i in places]) for r in check.fetchall())
+
+
+def test_latent_vectors_equal_the_svd(spark):
+    import numpy as np
+
+    from secflow.plans import retrieval as rt
+
+    rng = np.random.default_rng(4)
+    topics = [["alpha", "beta", "gamma"], ["delta", "eps", "zeta"], ["eta", "theta", "iota"]]
+    texts = [" ".join(rng.choice(topics[i % 3] + ["common"], 30)) for i in range(60)] + ["", "?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.array(r.vector) for r in rt.latent_vectors(docs, 3, extra=4).collect()}
+    weights = rt.tfidf(docs)[0].toPandas().pivot(index="doc_id", columns="term", values="w").fillna(0.0)
+    u, s, _ = np.linalg.svd(weights.to_numpy(), full_matrices=False)
+    want = u[:, :3] * s[:3]
+    mine = np.stack([got[i] for i in weights.index])
+    assert np.allclose(mine @ mine.T, want @ want.T, atol=1e-3) and not got[60].any() and not got[61].any()
