@@ -39,8 +39,8 @@ THRESHOLD = 0.35
 #: Lengths of word beginnings that are features beside the whole word.
 BEGINNINGS = (3, 4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Entries of a word cache or a partition's counts before it is emptied.
-MOST_HELD = 200_000
+#: Entries of a word cache before it is emptied, and of a task's counts before they are sent on.
+MOST_HELD, MOST_COUNTED = 100_000, 40_000
 
 
 def features(word: str) -> list[str]:
@@ -125,7 +125,7 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, y, fold in zip(frame["text"], frame["y"], frame["fold"], strict=True):
             for f in {f for w in words_of(text or "") for f in features(w)}:
                 held[f][2 * fold + y] += 1
-            if len(held) > MOST_HELD:
+            if len(held) > MOST_COUNTED:
                 yield emit()
     if held:
         yield emit()
