@@ -169,15 +169,14 @@ FROM tel WHERE source = 'sysmon' AND event_id % 50 <> 0 UNION ALL SELECT -1, cou
 
 
 def norm_stats(spark, sf):
-    raw = raw_json(spark, sf, "true", _ANY)
-    ok = n.dispatch(raw.where("_keep_id % 40 <> 0"))
-    bad = raw.where("_keep_id % 40 = 0").selectExpr("lower(get_json_object(value, '$.source')) as source")
-    return n.stats(ok, bad)
+    raw = raw_json(spark, sf, "true", _ANY).selectExpr("_keep_id", "case when _keep_id % 40 = 0 then concat(value, repeat(' ', 20000)) when _keep_id % 40 = 1 then left(value, 20) else value end as value")
+    good, rejects = n.accepted(raw, 20000)
+    return n.stats(n.dispatch(good), rejects)
 
 
-section.add("norm_stats", norm_stats, f"""{_TEL} SELECT source, coalesce(p, 0) AS processed, coalesce(i, 0) AS invalid_time, coalesce(c, 0) AS trimmed, coalesce(r, 0) AS rejected FROM
-(SELECT CASE WHEN k % 25 = 0 THEN 'sysmon' ELSE source END AS source, count(*) AS p, count(*) FILTER (WHERE k % 20 = 1) AS i, count(*) FILTER (WHERE category = 'process' AND k % 10 = 3) AS c FROM tel WHERE event_id % 40 <> 0 GROUP BY 1)
-FULL JOIN (SELECT CASE WHEN k % 25 = 0 THEN 'mainframe' ELSE source END AS source, count(*) AS r FROM tel WHERE event_id % 40 = 0 GROUP BY 1) USING (source)""")
+section.add("norm_stats", norm_stats, f"""{_TEL} SELECT source, coalesce(p, 0) AS processed, coalesce(i, 0) AS invalid_time, coalesce(c, 0) AS trimmed, coalesce(o, 0) AS oversized, coalesce(f, 0) AS failed, coalesce(o, 0) + coalesce(f, 0) AS rejected FROM
+(SELECT CASE WHEN k % 25 = 0 THEN 'sysmon' ELSE source END AS source, count(*) AS p, count(*) FILTER (WHERE k % 20 = 1) AS i, count(*) FILTER (WHERE category = 'process' AND k % 10 = 3) AS c FROM tel WHERE event_id % 40 > 1 GROUP BY 1)
+FULL JOIN (SELECT source, count(*) FILTER (WHERE NOT bad) AS o, count(*) FILTER (WHERE bad) AS f FROM (SELECT CASE WHEN event_id % 40 = 1 THEN 'unknown' WHEN k % 25 = 0 THEN 'mainframe' ELSE source END AS source, event_id % 40 = 1 AS bad FROM tel WHERE event_id % 40 < 2) GROUP BY 1) USING (source)""")
 _SUB = {"source": "case when k % 13 = 0 then '  ' when k % 25 = 0 then 'mainframe' else source end", "timestamp": "case when k % 20 = 1 then 'soon' when k % 7 = 0 then null else " + ISO + " end", "event_id": "if(k % 4 = 0, null, cast(event_id as string))"}
 
 
