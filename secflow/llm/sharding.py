@@ -48,13 +48,13 @@ class Histogram:
             self.below[probe] = (n, size)
 
 
-def _place(bounds: list[Key]) -> Column:
-    pair = F.struct(F.col("_key").alias("k"), F.col("_tie").alias("t"))
+def _place(bounds: list[Key], key: str = "_key", tie: str = "_tie") -> Column:
+    pair = F.struct(F.col(key).alias("k"), F.col(tie).alias("t"))
     return bucket_of(pair, [{"k": k, "t": t} for k, t in bounds], "struct<k:bigint,t:bigint>")
 
 
-def _nth(values: list[int], kind: str) -> Column:
-    return F.element_at(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), F.col("_range") + 1)
+def _nth(values: list[int], kind: str, place: str) -> Column:
+    return F.element_at(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), F.col(place) + 1)
 
 
 def _between(low: int, high: int, n: int) -> list[int]:
@@ -113,28 +113,28 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", key: st
     Columns of ``docs`` named size, shard or slot are replaced.
     """
     spark = docs.sparkSession
-    clean = docs.drop("size", "shard", "slot", "_key", "_tie", "_size", "_range")
-    keyed = clean.select("*", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("_o"),
-                         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"),
-                         F.coalesce(F.col(key).cast("long"), F.lit(LOW + 1)).alias("_tie"))
-    keyed = keyed.withColumn("_size", F.col("_o") + 1).drop("_o")
-    narrow = checkpointed(keyed.select("_key", "_tie", "_size"))
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    k, t, z, r, n = (f"{own}{name}" for name in ("key", "tie", "size", "range", "row"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.withColumns({z: F.octet_length(body).cast("long") + 1, k: F.xxhash64(body),
+                              t: F.coalesce(F.col(key).cast("long"), F.lit(LOW + 1))})
+    narrow = checkpointed(keyed.select(F.col(k).alias("_key"), F.col(t).alias("_tie"), F.col(z).alias("_size")))
     ranges = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts, hist = splitters(narrow, shards, ranges, tolerance)
     known = sorted(hist.below)[1:-1]
     total = hist.below[(HIGH, HIGH)][0]
     finer, want = [], 1
-    for k in known:
-        if hist.below[k][0] >= want * total / ranges:
-            finer.append(k)
-            want = hist.below[k][0] * ranges // max(total, 1) + 1
+    for probe in known:
+        if hist.below[probe][0] >= want * total / ranges:
+            finer.append(probe)
+            want = hist.below[probe][0] * ranges // max(total, 1) + 1
     bounds = sorted({*cuts, *finer})
     start_rows = [0, *[hist.below[c][0] for c in cuts]]
     shard_of = [sum(c <= bound for c in cuts) for bound in [(LOW, LOW), *bounds]]
     offset_of = [hist.below[b][0] - start_rows[s] for b, s in zip([(LOW, LOW), *bounds], shard_of, strict=True)]
-    window = Window.partitionBy("_range").orderBy("_key", "_tie")
-    out = keyed.withColumn("_range", _place(bounds)).withColumn("_row", F.row_number().over(window))
-    return (out.withColumn("size", F.col("_size"))
-            .withColumn("shard", _nth(shard_of, "int"))
-            .withColumn("slot", F.col("_row") - 1 + _nth(offset_of, "bigint"))
-            .drop("_key", "_tie", "_size", "_range", "_row"))
+    window = Window.partitionBy(r).orderBy(k, t)
+    out = keyed.withColumn(r, _place(bounds, k, t)).withColumn(n, F.row_number().over(window))
+    return out.withColumns({"size": F.col(z), "shard": _nth(shard_of, "int", r),
+                            "slot": F.col(n) - 1 + _nth(offset_of, "bigint", r)}).drop(k, t, z, r, n)

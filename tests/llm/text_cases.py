@@ -6,7 +6,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that clash with names the operators use inside.
-CLASHING = ["row", "fp", "key", "size", "shard", "slot", "_text", "bucket", "score", "found", "tokens", "dealt", "y"]
+CLASHING = ["row", "fp", "key", "size", "shard", "slot", "_text", "bucket", "score", "found", "tokens", "dealt", "y", "_key", "_size", "_range", "_id", "doc", "cuts", "new"]
 WORDS = [a + b for a in ("the", "an", "ver", "ein", "zu", "é", "漢") for b in ("", "tion", "ing", "heit", "ó", "x")]
 
 
