@@ -74,6 +74,9 @@ def test_risk(spark, block):
     for group in by_key(rows).values():
         score, last = 0.0, None
         for row in group:
+            if row[3] == 0:  # no part of the history
+                assert row[0] not in got
+                continue
             before = score
             hours = 0 if last is None else (row[1] - last).total_seconds() / 3600
             score = min(100.0, max(0.0, score - 5 * hours) + max(row[3] / 3, 60.0 if row[4] else 0.0))
