@@ -106,18 +106,21 @@ def with_next(rows: DataFrame, key: str, columns: list[str], order: list[str]) -
     """
     ranges = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = rows.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))).alias("k"))
-    cuts = keys.approxQuantile("k", [i / ranges for i in range(ranges)], 0.2 / ranges)
-    bounds = sorted({int(c) for c in cuts})
-    first = keys.agg(F.min("k")).first()[0]
-    bounds = [b for b in bounds if first is not None and b > first]
+    cuts = keys.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
+    # Quantiles are rounded; the least key of each range is exact and bounds the same range.
+    rough = bucket_of(F.col("k"), sorted({int(c) for c in cuts}), "bigint")
+    least = sorted(r[1] for r in keys.groupBy(rough.alias("r")).agg(F.min("k")).collect())  # one row per range
+    first, bounds = (least[0], least[1:]) if least else (None, [])
     keyed = rows.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))))
     place = bucket_of(F.col("_k"), bounds, "bigint")
     at_cut = F.array_contains(F.from_json(F.lit(str(bounds)), "array<bigint>"), F.col("_k"))
-    copies = (F.when(F.col("_k") == F.lit(first), F.array(F.struct(place.alias("r"), F.lit(0).alias("late")),
-                                                         F.struct(F.lit(len(bounds)).alias("r"), F.lit(1).alias("late"))))
-              .when(at_cut, F.array(F.struct(place.alias("r"), F.lit(0).alias("late")),
-                                    F.struct((place - 1).alias("r"), F.lit(1).alias("late"))))
-              .otherwise(F.array(F.struct(place.alias("r"), F.lit(0).alias("late")))))
+
+    def in_range(r: Column, late: int) -> Column:
+        return F.struct(r.alias("r"), F.lit(late).alias("late"))
+
+    copies = (F.when(F.col("_k") == F.lit(first), F.array(in_range(place, 0), in_range(F.lit(len(bounds)), 1)))
+              .when(at_cut, F.array(in_range(place, 0), in_range(place - 1, 1)))
+              .otherwise(F.array(in_range(place, 0))))
     dealt = keyed.withColumn("_copy", F.explode(copies)).select("*", F.col("_copy.r").alias("_r"),
                                                                 F.col("_copy.late").alias("_late")).drop("_copy")
     window = Window.partitionBy("_r").orderBy("_late", "_k", *order)

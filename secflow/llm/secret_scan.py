@@ -32,9 +32,11 @@ BASE = {
 }
 #: Further kinds: private key blocks, signed web tokens, and tokens with a vendor's prefix.
 MORE = {
-    "key_block": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.{0,8192}?)-----END [A-Z ]*PRIVATE KEY-----"), 0, 0),
+    "key_block": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.{0,8192}?)-----END [A-Z ]*PRIVATE KEY-----"),
+                  0, 0),
     "web_token": (re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 0),
-    "vendor": (re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{12,}|sk_live_[A-Za-z0-9]{16,})"), 0, 0),
+    "vendor": (re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{12,}|sk_live_[A-Za-z0-9]{16,})"),
+               0, 0),
 }
 KINDS = BASE | MORE
 #: A value with at least so many owners and repositories is an example.

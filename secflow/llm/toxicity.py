@@ -163,7 +163,8 @@ def _choose(rows: DataFrame) -> dict[str, list[bool]]:
         spread = (a + b) * (F.lit(n) - a - b)
         gain = F.when((spread > 0) & (a * clean > b * toxic), (a * clean - b * toxic) ** 2 * n / spread)
         surer = above_a.isNull() | (a * (above_a + above_b) > above_a * (a + b))
-        best.append(pairs.where((a >= LEAST) & surer).select("feature", F.lit(left_out).alias("fit"), gain.alias("gain"))
+        best.append(pairs.where((a >= LEAST) & surer)
+                    .select("feature", F.lit(left_out).alias("fit"), gain.alias("gain"))
                     .where("gain is not null").orderBy(F.desc("gain"), "feature").limit(CHOSEN)
                     .select("feature", "fit"))
     chosen: dict[str, list[bool]] = {}

@@ -111,12 +111,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     low = _reversed(F.col("host"))
     behind = F.concat(F.array_join(F.reverse(F.split("host", r"\.")), CLOSE), F.lit(BEHIND))
     spans = (clean.withColumn("key", low)
-             .withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("key"), bounds, "string"), bucket_of(behind, bounds, "string")))))
+             .withColumn("bucket", F.explode(F.sequence(
+                 bucket_of(F.col("key"), bounds, "string"), bucket_of(behind, bounds, "string")))))
     rows = spans.select("bucket", "key", F.lit(False).alias("is_page"), F.lit(None).cast("long").alias("page_id"),
                         "host", "path", "verdict")
     rows = rows.unionByName(points.select(
-        bucket_of(F.col("key"), bounds, "string").alias("bucket"), "key", F.lit(True).alias("is_page"), "page_id", "host",
-        "path", F.lit(None).cast("string").alias("verdict")))
+        bucket_of(F.col("key"), bounds, "string").alias("bucket"), "key", F.lit(True).alias("is_page"), "page_id",
+        "host", "path", F.lit(None).cast("string").alias("verdict")))
     # The path orders rules of one host; every rule of a host stands before the host's pages.
     return (rows.repartition(ranges, "bucket").sortWithinPartitions("bucket", "key", "is_page", "path")
             .mapInArrow(_sweep(default), JUDGED))

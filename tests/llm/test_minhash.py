@@ -47,6 +47,15 @@ def test_edited_texts_and_likeness(spark):
     assert sum(errors) / len(errors) < 0.03 and max(errors) < 0.2
 
 
+def test_ids_beyond_the_precision_of_a_double_keep_their_order(spark):
+    rng = random.Random(11)
+    data = [((1 << 61) + 3 * i, text_cases.prose(rng, 12), "en", "s", 0) for i in range(300)] + [(-5, "a b", "en", "s", 0)]
+    got = {r["doc_id"]: r for r in minhash.edited_twins(text_cases.documents(spark, data, clashing=False)).collect()}
+    assert len(got) == len(data)
+    for doc_id, _, edited, _ in twins(data):
+        assert got[doc_id]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_equal_texts_repeats_nulls_and_empty_table(spark):
     docs = text_cases.documents(spark)
     got = minhash.edited_twins(docs).collect()
