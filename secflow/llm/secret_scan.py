@@ -30,10 +30,11 @@ BASE = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     "hex": (re.compile(r"[0-9a-f]{16,}"), 0, 16),  # the longest runs; shorter ones would be dropped anyway
 }
-#: Further kinds: private key blocks, signed web tokens, and tokens with a vendor's prefix.
+#: Marks of private key blocks; a block reaches from a BEGIN to the next END, however far that is.
+BEGIN, END = (re.compile(rf"-----{word} [A-Z ]*PRIVATE KEY(?: BLOCK)?-----") for word in ("BEGIN", "END"))
+#: Further kinds: signed web tokens and tokens with a vendor's prefix; private key blocks come from ``key_blocks``.
 MORE = {
-    "key_block": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.{0,8192}?)-----END [A-Z ]*PRIVATE KEY-----"),
-                  0, 0),
+    "key_block": None,
     "web_token": (re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 0),
     "vendor": (re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{12,}|sk_live_[A-Za-z0-9]{16,})"),
                0, 0),
@@ -43,10 +44,33 @@ KINDS = BASE | MORE
 OWNERS, REPOSITORIES = 8, 8
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of private key blocks, none inside another; both marks are looked for once.
+
+    A BEGIN inside a block opens no second one, and a BEGIN that no END follows opens none.
+    """
+    ends = [m.span() for m in END.finditer(text)]
+    out, at, nth = [], 0, 0
+    for m in BEGIN.finditer(text) if ends else ():
+        if m.start() < at:
+            continue
+        while nth < len(ends) and ends[nth][0] < m.end():
+            nth += 1
+        if nth == len(ends):
+            break
+        at = ends[nth][1]
+        out.append((m.start(), at))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, int, int]]:
     """(start, end, kind, start of the value, end of the value), by start and then kind as listed."""
     out = []
-    for place, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
+    for place, (kind, rule) in enumerate(KINDS.items()):
+        if rule is None:
+            out += [(a, place, b, kind, a, b) for a, b in key_blocks(text)]
+            continue
+        pattern, group, least = rule
         out += [(m.start(), place, m.end(), kind, *m.span(group)) for m in pattern.finditer(text)
                 if m.end(group) - m.start(group) >= least]
     return [(a, b, kind, va, vb) for a, _, b, kind, va, vb in sorted(out)]

@@ -69,3 +69,16 @@ def test_redaction_keeps_examples_and_all_rows(spark):
     assert got[None]["text"] == "é password=[secret]" and got[101]["text"] is None and got[101]["n_chars"] is None
     assert got[100]["key"] == "clash"
     assert secret_scan.redact(text_cases.documents(spark, [])).count() == 0
+
+
+def test_key_blocks_of_any_length_are_found_in_linear_time_and_redacted(spark):
+    long = "-----BEGIN RSA PRIVATE KEY-----\n" + "Qx+/" * 3200 + "\n-----END RSA PRIVATE KEY-----"
+    block = "-----BEGIN PGP PRIVATE KEY BLOCK-----\n\nabc\n-----END PGP PRIVATE KEY BLOCK-----"
+    text = f"a {long} b {block} c -----BEGIN PRIVATE KEY----- d"
+    at = text.index(block)
+    assert [f[:2] for f in secret_scan.find(text) if f[2] == "key_block"] == [(2, 2 + len(long)), (at, at + len(block))]
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    assert secret_scan.key_blocks(begin * 100_000) == [] == secret_scan.key_blocks(end + begin)
+    assert secret_scan.key_blocks(begin * 100_000 + end * 100_000) == [(0, 100_000 * len(begin) + len(end))]
+    docs = text_cases.documents(spark, [(1, text, "en", "own", len(text))])
+    assert secret_scan.redact(docs).first()["text"] == "a [secret] b [secret] c -----BEGIN PRIVATE KEY----- d"
