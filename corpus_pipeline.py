@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from secflow.llm import packing, quality_model, secret_scan, simhash, toxicity
+from secflow.llm import near_copies, packing, quality_model, secret_scan, toxicity
 from secflow.llm.common import documents, labels
 from secflow.queries.registry import Section
 from secflow.settings import work_path
@@ -29,8 +29,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return near_copies.deduplicate(docs)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

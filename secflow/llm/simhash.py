@@ -228,18 +228,25 @@ def links(classes: DataFrame, most: int = MOST) -> DataFrame:
             .mapInPandas(_search(most), "a long, b long"))
 
 
-def grouped(rows: DataFrame, most: int = MOST) -> DataFrame:
-    """The stored ``rows`` (row, fp, ...) plus ``head``: the smallest ``row`` among all linked ones."""
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("row").alias("least"), F.count("*").alias("n_rows")))
-    roots = components(links(classes, most))
+def heads(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The stored ``rows`` (row, fp, ...) plus ``head``: the smallest ``row`` among all whose fp has the same root.
+
+    ``classes`` is stored and has every fp with its smallest row (``least``) and its number of rows (``n_rows``).
+    """
     linked = checkpointed(classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least"))
-    heads = linked.groupBy("root").agg(F.min("least").alias("head"))
-    members = linked.join(heads, "root").select("fp", "head")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("head"))
+    members = linked.join(smallest, "root").select("fp", "head")
     table = checkpointed(classes.join(members, "fp", "left").select(
         "fp", F.coalesce("head", "least").alias("head"), "n_rows"))
     return attach(rows, table, "fp", ["head"], "row")
 
 
+def grouped(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """The stored ``rows`` (row, fp, ...) plus ``head``: the smallest ``row`` among all linked ones."""
+    classes = checkpointed(rows.groupBy("fp").agg(F.min("row").alias("least"), F.count("*").alias("n_rows")))
+    return heads(rows, classes, components(links(classes, most)))
+
+
 def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links) per row.
 
@@ -260,6 +267,6 @@ def deduplicate(docs: DataFrame, most: int = MOST) -> DataFrame:
     """
     row = row_key()
     rows = checkpointed(fingerprints(docs.select(row.alias("row"), "text"), {"row": ROW_KEY}))
-    heads = grouped(rows, most).where("row = head").select("row").distinct()
+    kept = grouped(rows, most).where("row = head").select("row").distinct()
     whole = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return whole.join(heads, "row").dropDuplicates(["row"]).select("doc.*")
+    return whole.join(kept, "row").dropDuplicates(["row"]).select("doc.*")
