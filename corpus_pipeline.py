@@ -39,9 +39,9 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens, with their ids."""
     return packing.pack(docs, vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"),
-                        vocabularies.PATTERN)
+                        vocabularies.PATTERN, with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [("toxicity", clean_language), ("quality", good_quality),
