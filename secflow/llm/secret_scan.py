@@ -118,7 +118,10 @@ def judged(docs: DataFrame, key: Column, kind: str, owner: str, repository: Colu
 
 
 def where_from(docs: DataFrame) -> Column:
-    """A repository of the corpus: a source's part in one language."""
+    """Stands for a repository, which the corpus does not name: a source's part in one language.
+
+    There are never fewer of these than sources, so with equal limits the sources alone decide.
+    """
     return F.concat_ws("/", F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?")))
 
 
