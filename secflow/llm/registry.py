@@ -6,8 +6,8 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secflow.llm import (byte_bpe, minhash, packing, quality_model, quality_rules, secret_scan, sharding, simhash,
-                         toxicity, url_rules)
+from secflow.llm import (byte_bpe, minhash, packing, piece_bpe, quality_model, quality_rules, secret_scan, sharding,
+                         simhash, toxicity, url_rules)
 from secflow.llm.common import documents, held_out, labels
 from secflow.queries.registry import Section
 
@@ -114,3 +114,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 section.add("op4_minhash", op4_minhash)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode(documents(spark, sf_dir), vocabularies.path("piece_bpe_32k.model"), digest=True)
+
+
+section.add("op12_sentencepiece", op12_sentencepiece)
