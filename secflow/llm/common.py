@@ -6,8 +6,9 @@ import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from secflow.settings import checkpointed
@@ -141,3 +142,46 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def first_of_each(df: DataFrame, by: list[str], order: list[Column], k: int, place: str) -> DataFrame:
+    """The first ``k`` rows of each group with their ``place``; Spark cuts groups to ``k`` rows before the shuffle, too."""
+    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(place, F.row_number().over(window)).where(F.col(place) <= k)
+
+
+def blocks(stored: DataFrame, key: str, weight: Column, most: int) -> list[DataFrame]:
+    """A stored query set in blocks whose ``weight`` is at most twice ``most``, or that are one row."""
+    n = max(1, -(-(stored.agg(F.sum(weight)).first()[0] or 0) // most))
+    place = F.xxhash64(key)
+    while n > 1:
+        sizes = stored.groupBy(F.pmod(place, F.lit(n))).agg(F.sum(weight).alias("held"), F.count("*").alias("rows"))
+        if not sizes.where((F.col("held") > 2 * most) & (F.col("rows") > 1)).limit(1).count():
+            break
+        n *= 2
+    return [stored.where(F.pmod(place, F.lit(n)) == b) for b in range(n)] if n > 1 else [stored]
+
+
+class Best:
+    """The ``k`` best rows of each slot so far: highest score, then smallest id, then row number.
+
+    ``held`` are their slots, scores, ids and rows; a score below ``least`` of its slot is of no use any more.
+    """
+
+    def __init__(self, k: int, least: np.ndarray) -> None:
+        self.k, self.held, self.least = k, np.empty((4, 0), np.int64), least
+        self.last = np.full(len(least), np.iinfo(np.int64).max)
+
+    def add(self, scores: np.ndarray, slots: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Offer rows with scores by (row, slot)."""
+        least = self.least[slots]
+        r, s = np.nonzero((scores > least) | ((scores == least) & (ids[:, None] <= self.last[slots])))
+        if not len(r):
+            return
+        slot, score, doc, row = held = np.concatenate(
+            [self.held, np.stack([slots[s], scores[r, s], ids[r], rows[r]])], 1)
+        held = held[:, np.lexsort((row, doc, -score, slot))]
+        opens = np.flatnonzero(np.r_[True, held[0, 1:] != held[0, :-1]])
+        place = np.arange(held.shape[1]) - np.repeat(opens, np.diff(np.r_[opens, held.shape[1]]))
+        self.held, last = held[:, place < self.k], held[:, place == self.k - 1]
+        self.least[last[0]], self.last[last[0]] = last[1], last[2]
