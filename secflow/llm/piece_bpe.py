@@ -37,7 +37,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2
 #: Most words and pairs kept, and characters of a word that is kept.
-MOST_CACHED, LONG = 400_000, 64
+MOST_CACHED, LONG = 600_000, 64
+#: Characters that are looked over one by one instead of by a heap; the score of a pair that is no piece.
+FEW, NEVER = 24, -float("inf")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -96,15 +98,22 @@ class PieceBpe:
         self.sizes = [len(p) for p in self.texts]
         self.shorter = [next((number[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in number), -1)
                         for p in self.texts]
+        self.letters = {c: number[c] for c in letters}
         self.found = ahocorasick.Automaton()
         for p, t in number.items():
-            self.found.add_word(p, (len(p) - 1, t))
+            if len(p) > 1:  # single letters are looked up where nothing longer starts
+                self.found.add_word(p, (len(p) - 1, t))
         self.found.make_automaton()
-        crossing = any(b == MARK != a for p in self.score for a, b in zip(p, p[1:], strict=False))
-        self.words = re.compile(".+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+", re.DOTALL)
+        self.crossing = any(b == MARK != a for p in self.score for a, b in zip(p, p[1:], strict=False))
         self.unknown = re.compile(f"([^{re.escape(''.join(sorted(letters)))}]+)")
         self.fits: dict[int, int] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.names = [str(i) for i in range(len(pieces))]
+        self.prefix = self.library.normalize("a").startswith(MARK)
+        # An unknown id is spelled as what no text holds.
+        spelled = {UNKNOWN: b"\xff", CONTROL: b""}
+        self.spelled = [bytes([int(p[3:5], 16)]) if kind == BYTE else spelled.get(kind, p.replace(MARK, " ").encode())
+                        for p, _, kind in pieces]
 
     def as_bytes(self, text: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in text.encode("utf-8", "replace"))
@@ -136,9 +145,26 @@ class PieceBpe:
         return [p for p in parts if p]
 
     def compatible(self, before: int, piece: int) -> bool:
-        """Whether merging the joint text of two pieces gives these two again."""
-        a, b = self.texts[before], self.texts[piece]
-        return self.merged(a + b) == [a, b]
+        """Whether merging the joint text of two pieces gives these two again: nothing joins over their border."""
+        first, text = self.texts[before], self.texts[before] + self.texts[piece]
+        if len(text) > FEW:
+            return self.merged(text) == [first, self.texts[piece]]
+        get, parts, border = self.score.get, list(text), len(first) - 1
+        scores = [get(text[i:i + 2], NEVER) for i in range(len(text) - 1)]
+        while True:
+            best = max(scores)
+            if best == NEVER:
+                return True
+            at = scores.index(best)
+            if at == border:
+                return False
+            border -= at < border
+            parts[at] += parts.pop(at + 1)
+            del scores[at]
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], NEVER)
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], NEVER)
 
     def fitting(self, before: int, piece: int) -> int:
         """The longest prefix of ``piece``, itself included, that is compatible with ``before``; -1 if there is none."""
@@ -152,15 +178,19 @@ class PieceBpe:
 
     def backtracked(self, run: str) -> list[int]:
         """Numbers of the pieces of a run of known characters."""
-        length = len(run)
-        longest = [-1] * (length + 1)
+        length, letters = len(run), self.letters
+        longest = [-1] * length
         for last, (back, piece) in self.found.iter(run):
             longest[last - back] = piece
-        failed = bytearray(length // 8 + 1)
+        failed = None
         out: list[int] = []
-        at, piece, before, dead = 0, longest[0], -1, False
+        at, piece, before = 0, -1, -1
         known, sizes, shorter, many = self.fits.get, self.sizes, self.shorter, len(self.texts)
         while at < length:
+            if piece == -1:
+                piece = longest[at]
+                if piece < 0:
+                    piece = letters[run[at]]
             while piece >= 0:
                 if before >= 0:
                     fit = known(before * many + piece)
@@ -168,45 +198,62 @@ class PieceBpe:
                     if piece < 0:
                         break
                 end = at + sizes[piece]
-                if not (dead and failed[end >> 3] >> (end & 7) & 1):
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
                     break
                 piece = shorter[piece]
             if piece >= 0:
                 out.append(piece)
-                at, before, piece = end, piece, longest[end]
+                at, before, piece = end, piece, -1
                 continue
+            if failed is None:
+                failed = bytearray(length // 8 + 1)
             failed[at >> 3] |= 1 << (at & 7)
-            dead = True
             piece = out.pop()
             at -= sizes[piece]
             before = out[-1] if out else -1
         return out
 
-    def _fresh(self, word: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        of = self.ids
-        for place, part in enumerate(self.unknown.split(word)):
-            if place % 2:
-                ids += self.as_bytes(part)
-                continue
-            for piece in self.backtracked(part):
-                ids += of[piece]
+    def _fresh(self, word: str, marked: bool = True) -> tuple[int, ...]:
+        """Ids of a word that is not kept yet; ``marked`` words come without their first mark."""
+        whole = MARK + word if marked else word
+        of, ids = self.ids, []
+        try:
+            for p in self.backtracked(whole):
+                ids += of[p]
+        except KeyError:  # a character that no piece has
+            for place, part in enumerate(self.unknown.split(whole)):
+                ids += self.as_bytes(part) if place % 2 else [i for p in self.backtracked(part) for i in of[p]]
         kept = tuple(ids)
-        if len(word) <= LONG:
+        if marked and len(word) <= LONG:
             if len(self.cache) >= MOST_CACHED:
                 self.cache.clear()
             self.cache[word] = kept
         return kept
 
     def encode(self, text: str) -> list[int]:
+        normal = self.library.normalize(text)
+        start = len(normal) if self.crossing else normal.find(MARK)
+        start = len(normal) if start < 0 else start
+        head = self._fresh(normal[:start], marked=False) if start else ()
+        return [*head, *self._words(normal[start:])] if start < len(normal) else list(head)
+
+    def _words(self, normal: str) -> list[int]:
+        """Ids of a text that starts with a mark; a word begins at each run of marks."""
+        words = normal[1:].split(MARK) if MARK + MARK not in normal else [
+            w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", normal)]
         ids: list[int] = []
         known, fresh = self.cache.get, self._fresh
-        for word in self.words.findall(self.library.normalize(text)):
+        for word in words:
             ids += known(word) or fresh(word)
         return ids
 
     def decode(self, ids: list[int]) -> str:
-        return self.library.decode(ids)
+        """The text of the ids as the library gives it; it is asked where bytes are no text."""
+        try:
+            text = b"".join(map(self.spelled.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            return self.library.decode(ids)
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
@@ -228,7 +275,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
         if not digest:
             return got | {"ids": ids}
         return got | {
-            "ids_sha256": [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
+            "ids_sha256": [hashlib.sha256(",".join(map(vocabulary(path).names.__getitem__, x)).encode()).hexdigest() for x in ids],
             "decoded_sha256": [hashlib.sha256(model.decode(x).encode("utf-8", "replace")).hexdigest() for x in ids]}
 
     schema = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
