@@ -22,10 +22,20 @@ BLOCK = "_block"
 Measures = dict[str, tuple[str, Column]]
 
 
+#: Chunks of rows without a time: behind all others, spread over lanes so that no key has one long lane.
+TIMELESS, LANES = 1 << 60, 4096
+
+
 def time_bucket(ts: str, seconds: int) -> Column:
     return F.expr(f"unix_micros({ts}) div {seconds * MICROS}")
 
 
+def timed_bucket(ts: str, tie: Sequence[str], seconds: int) -> Column:
+    """The time chunk of a row; one of the lanes behind all chunks where it has no time."""
+    lane = F.lit(TIMELESS) + F.pmod(F.xxhash64(*tie), F.lit(LANES))
+    return F.coalesce(time_bucket(ts, seconds), lane)
+
+
 def _fold(kind: str, value: Column) -> Column:
     return {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[kind](value)
 
@@ -73,7 +83,8 @@ def prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket:
 
 def timed_prefix(df: DataFrame, keys: Sequence[str], measures: Measures, ts: str = "ts",
                  tie: str = "event_id") -> DataFrame:
-    bucket = time_bucket(ts, chunk_seconds(df.sparkSession))
+    """``prefix`` along the time; rows without a time come after all others."""
+    bucket = timed_bucket(ts, [tie], chunk_seconds(df.sparkSession))
     return prefix(df, keys, [F.col(ts), F.col(tie)], bucket, measures)
 
 
@@ -85,7 +96,8 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucke
 
 def timed_index(df: DataFrame, keys: Sequence[str], ts: str = "ts", tie: Sequence[str] = ("event_id",),
                 name: str = INDEX) -> DataFrame:
-    bucket = time_bucket(ts, chunk_seconds(df.sparkSession))
+    """Position along the time; rows without a time come after all others."""
+    bucket = timed_bucket(ts, tie, chunk_seconds(df.sparkSession))
     return row_index(df, keys, [F.col(ts), *[F.col(t) for t in tie]], bucket, name)
 
 
@@ -111,12 +123,13 @@ def over_time(df: DataFrame, keys: Sequence[str], back_seconds: int, columns: di
     """Evaluate RANGE-frame expressions that look at most ``back_seconds`` behind.
 
     ``columns`` maps a name to ``(row window, range window) -> Column``. A row goes to its own time
-    chunk and to every chunk that its look-back window reaches into.
+    chunk and to every chunk that its look-back window reaches into. A row without a time is alone in a
+    chunk of its own, so that nothing is before it.
     """
     seconds = max(chunk_seconds(df.sparkSession), back_seconds)
-    own = time_bucket(ts, seconds)
-    spill = F.expr(f"(unix_micros({ts}) + {back_seconds * MICROS}) div {seconds * MICROS}")
-    rows = (df.withColumn("_own", own).withColumn(CHUNK, F.explode(F.sequence(own, spill)))
+    own = F.coalesce(time_bucket(ts, seconds), F.lit(TIMELESS) + F.monotonically_increasing_id())
+    spill = F.expr(f"coalesce((unix_micros({ts}) + {back_seconds * MICROS}) div {seconds * MICROS}, _own)")
+    rows = (df.withColumn("_own", own).withColumn(CHUNK, F.explode(F.sequence(F.col("_own"), spill)))
             .withColumn("_micros", F.unix_micros(F.col(ts))))
     ordered = Window.partitionBy(*keys, CHUNK).orderBy(ts, *tie)
     ranged = Window.partitionBy(*keys, CHUNK).orderBy("_micros")
@@ -133,7 +146,7 @@ def sessions(df: DataFrame, keys: Sequence[str], gap_seconds: int, ts: str = "ts
             F.lag(ts).over(rows).isNull()
             | (F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(rows)) > gap_seconds * MICROS), 1
         ).otherwise(0)}, ts, tie)
-    bucket = time_bucket(ts, chunk_seconds(df.sparkSession))
+    bucket = timed_bucket(ts, tie, chunk_seconds(df.sparkSession))
     counted = prefix(marked, keys, [F.col(ts), *[F.col(t) for t in tie]], bucket,
                      {"_opened": ("sum", F.col("_new"))})
     return (counted.withColumn(name, (F.coalesce("_opened", F.lit(0)) + F.col("_new")).cast("bigint"))

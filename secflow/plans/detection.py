@@ -79,10 +79,15 @@ def volume_hits(matches: DataFrame, keys: Sequence[str], count: int, seconds: in
     return picked.select(*carry, F.lit(count).cast("bigint").alias("match_count"))
 
 
+def volume_matches(events: DataFrame, rule: cat.Rule) -> DataFrame:
+    return (with_fields(events, [rule]).where(cat.predicate(rule))
+            .select("event_id", "ts", "host", *[g for g in rule.group_by if g != "host"]))
+
+
 def volume_rule_hits(events: DataFrame, rule: cat.Rule, count: int | None = None,
-                     seconds: int | None = None) -> DataFrame:
-    matches = (with_fields(events, [rule]).where(cat.predicate(rule))
-               .select("event_id", "ts", "host", *[g for g in rule.group_by if g != "host"]))
+                     seconds: int | None = None, matches: DataFrame | None = None) -> DataFrame:
+    """Hits of a volume rule; ``matches`` are its matching events where those are at hand already."""
+    matches = volume_matches(events, rule) if matches is None else matches
     hits = volume_hits(matches, rule.group_by, count or rule.count, seconds or rule.minutes * 60, ["host"])
     return hits.select(
         "event_id", "ts", "host", F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.title).alias("title"),
@@ -123,8 +128,30 @@ def resolve_technique(hits: DataFrame, column: str = "technique") -> DataFrame:
 
 def sequence_hits(hits: DataFrame, patterns: dict[str, tuple[Sequence[str], int]], key: str = "host",
                   block: int | None = None) -> DataFrame:
+    """The completed patterns of ``sequence_scan``."""
+    return completed(sequence_scan(sequence_parts(hits, patterns, key), patterns, block)[1], key)
+
+
+def sequence_parts(hits: DataFrame, patterns: dict[str, tuple[Sequence[str], int]], key: str = "host") -> DataFrame:
+    """The hits that play a part in a pattern, one row for each pattern."""
+    roles = hits.sparkSession.createDataFrame(
+        [(name, t) for name, (p, _) in patterns.items() for t in p], "sequence string, technique string")
+    return hits.join(F.broadcast(roles), "technique").selectExpr(
+        "sequence", f"coalesce({key}, '') as _key", "event_id", "rule_id", "ts", "technique", "confidence")
+
+
+def completed(picked: DataFrame, key: str = "host") -> DataFrame:
+    return picked.where("complete").selectExpr(
+        "sequence", f"_key as {key}", "members", "start_ts", "end_ts",
+        "least(1D, mean_confidence + 0.2D) as confidence")
+
+
+def sequence_scan(parts: DataFrame, patterns: dict[str, tuple[Sequence[str], int]],
+                  block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Techniques in this order on one entity, inside a window that starts at the first of them.
 
+    Takes ``sequence_parts`` and returns them with their position, and the starts that the scan picked, complete or not.
+
     ``patterns`` maps a name to (techniques, seconds); all of them run in one pass. Each hit of a
     pattern's first technique has a fixed outcome that depends only on the following ``seconds``: it
     completes, or it lapses. The outcome says where the scan resumes; a greedy selection over those
@@ -133,13 +160,8 @@ def sequence_hits(hits: DataFrame, patterns: dict[str, tuple[Sequence[str], int]
     steps = {name: list(p) for name, (p, _) in patterns.items()}
     spans = {name: seconds * MICROS for name, (_, seconds) in patterns.items()}
     longest = max(spans.values())
-    roles = hits.sparkSession.createDataFrame(
-        [(name, t) for name, p in steps.items() for t in p], "sequence string, technique string")
-    rows = timed_index(
-        hits.join(F.broadcast(roles), "technique").selectExpr(
-            "sequence", f"coalesce({key}, '') as _key", "event_id", "rule_id", "ts", "technique", "confidence"),
-        ["sequence", "_key"], tie=("event_id", "rule_id"))
-    width = max(chunk_seconds(hits.sparkSession) * MICROS, longest)
+    rows = timed_index(parts, ["sequence", "_key"], tie=("event_id", "rule_id"))
+    width = max(chunk_seconds(parts.sparkSession) * MICROS, longest)
     # A chunk also receives the rows that follow it by at most the longest window.
     spread = rows.selectExpr(
         "*", f"unix_micros(ts) div {width} as _own", "unix_micros(ts) as _micros",
@@ -181,15 +203,16 @@ def sequence_hits(hits: DataFrame, patterns: dict[str, tuple[Sequence[str], int]
                   "members array<bigint>, start_ts timestamp, end_ts timestamp, mean_confidence double")
     picked = greedy_select(starts, ["sequence", "_key"], "_idx", "_resume",
                            ["complete", "members", "start_ts", "end_ts", "mean_confidence"], block=block)
-    return picked.where("complete").selectExpr(
-        "sequence", f"_key as {key}", "members", "start_ts", "end_ts",
-        "least(1D, mean_confidence + 0.2D) as confidence")
+    return rows, picked
 
 
 def all_sequences(hits: DataFrame, windows: dict[str, int] | None = None) -> DataFrame:
     """Every sequence rule; ``windows`` overrides the window (seconds) per name."""
-    return sequence_hits(hits, {name: (pattern, (windows or {}).get(name, minutes * 60))
-                                for name, pattern, minutes in cat.SEQUENCES})
+    return sequence_hits(hits, sequence_patterns(windows))
+
+
+def sequence_patterns(windows: dict[str, int] | None = None) -> dict[str, tuple[Sequence[str], int]]:
+    return {name: (pattern, (windows or {}).get(name, minutes * 60)) for name, pattern, minutes in cat.SEQUENCES}
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int,

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secflow.functions import scalars as s
-from secflow.plans.behaviour import burst, since_previous
+from secflow.plans.behaviour import host_timeline
 from secflow.plans.detection import with_scalar
-from secflow.settings import small_side
+from secflow.settings import checkpointed, small_side
 
 FEATURES = [
     "bytes_out_log", "bytes_in_log", "bytes_ratio", "is_rare_port", "port_rarity", "cmd_len", "cmd_special_chars",
@@ -20,20 +20,35 @@ RARITY = {"user_rarity": "coalesce(user, '')", "src_ip_rarity": "coalesce(src_ip
           "port_rarity": "coalesce(cast(dst_port as string), '')"}
 
 
-def with_rarity(events: DataFrame, train: DataFrame) -> DataFrame:
-    """1 - share of the value among the training events; an unseen value has rarity 1."""
-    out = with_scalar(events, train.agg(F.count("*").alias("_total")))
+def rarity_counts(train: DataFrame) -> DataFrame:
+    """feature, value and n: how often each value occurs among the training events."""
+    pairs = ", ".join(f"named_struct('feature', '{name}', 'value', {value})" for name, value in RARITY.items())
+    return (train.select(F.explode(F.expr(f"array({pairs})")).alias("c")).groupBy("c.feature", "c.value")
+            .agg(F.count("*").alias("n")))
+
+
+def with_rarity(events: DataFrame, train: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """1 - share of the value among the training events; an unseen value has rarity 1.
+
+    ``counts`` are stored ``rarity_counts``; otherwise ``train`` is counted once for all features.
+    """
+    counts = checkpointed(rarity_counts(train)) if counts is None else counts
+    first = next(iter(RARITY))
+    out = with_scalar(events, counts.where(F.col("feature") == first).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("_total")))
     for name, value in RARITY.items():
-        counts = train.groupBy(F.expr(value).alias(f"_k_{name}")).agg(F.count("*").alias(f"_n_{name}"))
-        out = out.withColumn(f"_k_{name}", F.expr(value)).join(small_side(counts), f"_k_{name}", "left")
+        side = counts.where(F.col("feature") == name).select(F.col("value").alias(f"_k_{name}"), F.col("n").alias(f"_n_{name}"))
+        out = out.withColumn(f"_k_{name}", F.expr(value)).join(small_side(side), f"_k_{name}", "left")
         out = out.withColumn(name, F.expr(
             f"case when _total = 0 then 0D else 1D - coalesce(_n_{name}, 0) / _total end"))
     return out.drop("_total", *[f"_{p}_{n}" for n in RARITY for p in ("k", "n")])
 
 
-def features(events: DataFrame, train: DataFrame, window_seconds: int = 300) -> DataFrame:
-    timed = since_previous(burst(events, window_seconds), window_seconds)
-    rare = with_rarity(timed.withColumnRenamed("events_in_window", "_burst"), train)
+def features(events: DataFrame, train: DataFrame, window_seconds: int = 300,
+             counts: DataFrame | None = None) -> DataFrame:
+    """One row per event. An event without a time has no burst, the default gap and no hour (both parts 0)."""
+    timed = host_timeline(events, window_seconds)
+    rare = with_rarity(timed.withColumnRenamed("events_in_window", "_burst"), train, counts)
     flag = "cast({} as int) * 1D"
     # Normalised events carry a map of hashes and the parent's command line; plain tables may have single columns.
     has_hash = "coalesce(size(hashes) > 0, false)" if "hashes" in events.columns else "md5 is not null"
@@ -47,8 +62,8 @@ def features(events: DataFrame, train: DataFrame, window_seconds: int = 300) ->
         f"{s.entropy('command_line')} as cmd_entropy", "user_rarity", "src_ip_rarity",
         f"{flag.format('(' + has_hash + ')')} as has_hash", f"{flag.format('(' + parent + ' is not null)')} as has_parent_cmd",
         "if(category = 'process', 1D, 0D) as is_process", "if(category = 'network', 1D, 0D) as is_network",
-        f"sin({s.hour_angle()}) as hour_sin", f"cos({s.hour_angle()}) as hour_cos",
-        f"{flag.format(s.is_night())} as is_night", "log1p(_burst) as events_in_window",
+        f"coalesce(sin({s.hour_angle()}), 0D) as hour_sin", f"coalesce(cos({s.hour_angle()}), 0D) as hour_cos",
+        f"coalesce({flag.format(s.is_night())}, 0D) as is_night", "log1p(_burst) as events_in_window",
         "log1p(since_prev) as time_since_prev_log")
 
 

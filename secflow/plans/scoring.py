@@ -38,10 +38,12 @@ def evidence(events: DataFrame, rules: DataFrame, sequences: DataFrame, behaviou
               .join(behaviour, "event_id", "left").join(cti, "event_id", "left")
               .join(reputation, "event_id", "left"))
     filled = joined.fillna(0, ["n_rules", "n_cti"]).fillna("", ["rules", "sequences", "techniques", "tactics"])
-    return filled.withColumns({
-        "entity": F.expr("coalesce(host, user, src_ip, 'unknown')"),
-        "detection_status": F.expr(STATUS), "hybrid_score": F.expr(SCORE),
-    })
+    return rated(filled.withColumn("entity", F.expr("coalesce(host, user, src_ip, 'unknown')")))
+
+
+def rated(rows: DataFrame) -> DataFrame:
+    """Status and combined score from the signals of each row."""
+    return rows.withColumns({"detection_status": F.expr(STATUS), "hybrid_score": F.expr(SCORE)})
 
 
 def reported(rows: DataFrame, threshold: float = ALERT_THRESHOLD) -> DataFrame:

@@ -67,17 +67,25 @@ def _flat_profile(df):
     return df.selectExpr(
         "type", "entity", "n_events", "first_seen", "last_seen",
         "array_join(transform(map_entries(hours), x -> concat(x.key, ':', x.value)), ',') as hours",
-        "array_join(ips, ',') as ips", "array_join(coalesce(processes, array()), ',') as processes")
-
-
+        "n_ips", "n_processes", "array_join(coalesce(ips, array()), ',') as ips",
+        "array_join(coalesce(processes, array()), ',') as processes")
+
+
+_PROFILE = t.with_(
+    t.TEL, """e AS (SELECT 'user' AS type, "user" AS entity, ts, src_ip AS ip, process_name FROM tel WHERE "user" IS NOT NULL
+  UNION ALL SELECT 'host', host, ts, dst_ip, process_name FROM tel WHERE host IS NOT NULL)""",
+    "hrs AS (SELECT type, entity, hour(ts) AS h, count(*) AS n FROM e GROUP BY ALL)",
+    "hs AS (SELECT type, entity, string_agg(h || ':' || n, ',' ORDER BY h) AS hours FROM hrs GROUP BY ALL)",
+    """vals AS MATERIALIZED (SELECT type, entity, kind, value, min(ts) AS first_seen, count(*) AS n FROM (
+  SELECT type, entity, ts, 'ip' AS kind, ip AS value FROM e UNION ALL SELECT type, entity, ts, 'process', process_name FROM e) WHERE value IS NOT NULL GROUP BY ALL)""",
+    f"""lists AS MATERIALIZED (SELECT type, entity, kind, count(*) AS n_values, string_agg(value, ',' ORDER BY rn) FILTER (WHERE rn <= {b.PROFILE_LIST}) AS shown
+  FROM (SELECT *, row_number() OVER (PARTITION BY type, entity, kind ORDER BY first_seen, value) AS rn FROM vals) GROUP BY ALL)""")
 section.add("baseline_profile", lambda spark, sf: _flat_profile(b.profiles(telemetry(spark, sf))),
-            f"""{t.with_(t.TEL, '''e AS (SELECT 'user' AS type, "user" AS entity, ts, src_ip AS ip, process_name FROM tel WHERE "user" IS NOT NULL
-  UNION ALL SELECT 'host', host, ts, dst_ip, process_name FROM tel)''',
-  "hrs AS (SELECT type, entity, hour(ts) AS h, count(*) AS n FROM e GROUP BY ALL)",
-  "hs AS (SELECT type, entity, string_agg(h || ':' || n, ',' ORDER BY h) AS hours FROM hrs GROUP BY ALL)")}
-SELECT type, entity, count(*) AS n_events, min(ts) AS first_seen, max(ts) AS last_seen, any_value(hours) AS hours,
-  array_to_string(list_sort(list_distinct(list(ip))), ',') AS ips, coalesce(array_to_string(list_sort(list_distinct(list(process_name))), ','), '') AS processes
-FROM e JOIN hs USING (type, entity) GROUP BY type, entity""")
+            f"""{_PROFILE} SELECT s.*, coalesce(i.n_values, 0) AS n_ips, coalesce(p.n_values, 0) AS n_processes, coalesce(i.shown, '') AS ips, coalesce(p.shown, '') AS processes
+FROM (SELECT type, entity, count(*) AS n_events, min(ts) AS first_seen, max(ts) AS last_seen, any_value(hours) AS hours FROM e JOIN hs USING (type, entity) GROUP BY type, entity) s
+LEFT JOIN lists i ON i.type = s.type AND i.entity = s.entity AND i.kind = 'ip' LEFT JOIN lists p ON p.type = s.type AND p.entity = s.entity AND p.kind = 'process'""")
+section.add("baseline_values", lambda spark, sf: b.profile_values(telemetry(spark, sf)),
+            f"{_PROFILE} SELECT type, entity, kind, value, first_seen, n FROM vals")
 
 
 # --- features -----------------------------------------------------------------------------------

@@ -10,30 +10,41 @@ from secflow.plans.risk import INCREMENT
 from secflow.queries import tables as t
 from secflow.queries.campaigns import light
 from secflow.queries.registry import Section
-from secflow.queries.scoring import intel_tables
+from secflow.queries.scoring import context, intel_tables, public_view
 from secflow.queries.sources import _ANY, raw_json
-from secflow.settings import work_path
+from secflow.settings import checkpointed, work_path
+from secflow.sources import intel
 from secflow.sources.sinks import append_incidents
 from secflow.sources.telemetry import telemetry
 from secflow.streaming import jobs
+from secflow.streaming.scorer import Scorer, newest
 
 section = Section()
 _TEL = t.with_(t.TEL)
-WEEKS = ["2024-01-11", "2024-01-21", "9999-12-31"]
+#: Deliveries of the rows of a stream.
+PARTS = 3
+REFUSED = ("2024-01-11", "2024-01-21")
 
 
-def in_order(rows, path: str) -> str:
-    """Write a table as a few deliveries in time order, each in its own file."""
-    start = "0001-01-01"
-    for end in WEEKS:
-        part = rows.where(f"ts >= timestamp'{start}' and ts < timestamp'{end}'")
-        part.coalesce(1).write.mode("append").parquet(path)
-        start = end
-    return path
+def cuts_of(rows, parts: int = PARTS) -> list[str]:
+    """Times that cut the rows into parts of about the same size; any times give the same results."""
+    at = rows.agg(F.percentile_approx(F.unix_micros("ts"), [i / parts for i in range(1, parts)]).alias("at")).first()["at"]
+    return [f"timestamp_micros({x})" for x in sorted(set(at or []))]
 
 
-def stream_of(spark, rows, name: str):
-    return jobs.read_events(spark, in_order(rows, work_path(spark, name)), rows.schema)
+def delivered(spark, rows, name: str, start, cuts: list[str] | None = None) -> None:
+    """Deliver a table in time order and call ``start`` with the stream after each delivery.
+
+    A delivery is a folder that keeps its partitions; ``start`` drains what is there and goes on from its
+    checkpoint the next time, so each delivery is one micro-batch and a restart. Rows without a time come last.
+    """
+    rows, path = checkpointed(rows), work_path(spark, name)
+    bounds = cuts_of(rows) if cuts is None else cuts
+    for number, (low, high) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):
+        tests = [f"ts >= {low}" if low else "true", f"ts < {high}" if high else "true"]
+        missing = "" if high else " or ts is null"
+        rows.where(f"({' and '.join(tests)}){missing}").write.parquet(f"{path}/{number:03d}")
+        start(jobs.read_events(spark, path, rows.schema))
 
 
 def stream_normalise(spark, sf):
@@ -52,7 +63,7 @@ FROM tel WHERE event_id % 30 <> 0 GROUP BY ALL UNION ALL SELECT 'invalid JSON',
 def stream_microbatch(spark, sf):
     rows = telemetry(spark, sf)
     events, found, mark = (work_path(spark, n) for n in ("events", "incidents", "mark"))
-    jobs.run_batches(stream_of(spark, rows, "tel"), jobs.detect(events, found), mark)
+    delivered(spark, rows, "tel", lambda stream: jobs.run_batches(stream, jobs.detect(events, found), mark))
     return spark.read.parquet(events).join(spark.read.parquet(found).select("event_id", "confidence"), "event_id", "left").select(
         "event_id", "host", "n_rules", "confidence")
 
@@ -61,17 +72,34 @@ section.add("stream_microbatch", stream_microbatch, f"""{t.with_(t.TEL, f"h AS (
 SELECT event_id, tel.host, count(h.rule_id) AS n_rules, max(confidence) AS confidence FROM tel LEFT JOIN h USING (event_id) GROUP BY ALL""")
 
 
+def stream_scores(spark, sf):
+    """Every signal and the combined score, delivery by delivery against stored state."""
+    folder, mark = work_path(spark, "scores"), work_path(spark, "mark")
+    scorer = Scorer(folder, lambda: context(spark, sf), lambda: intel.reputation(spark, sf, t.REPUTATION_TTL), t.AS_OF,
+                    t.VOLUME_WINDOWS, t.SEQUENCE_WINDOWS, public_view)
+    delivered(spark, telemetry(spark, sf), "tel", lambda stream: jobs.run_batches(stream, scorer, mark))
+    reported = newest(spark, scorer.path("incidents")).select("event_id", F.lit(True).alias("reported"))
+    return newest(spark, scorer.path("events")).join(reported, "event_id", "left").selectExpr(
+        "event_id", "entity", "detection_status", "rules", "sequences", "n_cti", "round(behaviour_score, 3) as behaviour_score",
+        "round(hybrid_score, 3) as hybrid_score", "coalesce(reported, false) as reported")
+
+
+section.add("stream_scores", stream_scores, f"""{t.evidence_base()} SELECT event_id, entity, detection_status, rules, sequences, n_cti,
+round(behaviour_score, 3) AS behaviour_score, round(hybrid_score, 3) AS hybrid_score, hybrid_score >= 50 AS reported FROM ev""")
+
+
 def stream_dead_letter(spark, sf):
-    """The handler refuses every delivery that holds an event of the second third of the month."""
+    """The handler refuses every delivery that holds an event of the days REFUSED; deliveries are cut at those."""
     rows = telemetry(spark, sf).select("event_id", "ts", "host")
     good, dead, mark = (work_path(spark, n) for n in ("good", "dead", "mark"))
 
     def handle(batch, number):
-        if not batch.where("ts >= timestamp'2024-01-11' and ts < timestamp'2024-01-21'").isEmpty():
+        if not batch.where(f"ts >= timestamp'{REFUSED[0]}' and ts < timestamp'{REFUSED[1]}'").isEmpty():
             raise ValueError("delivery refused")
         jobs.written(batch, good, number)
 
-    jobs.run_batches(stream_of(spark, rows, "tel"), jobs.guarded(handle, dead), mark)
+    delivered(spark, rows, "tel", lambda stream: jobs.run_batches(stream, jobs.guarded(handle, dead), mark),
+              [f"timestamp'{day}'" for day in REFUSED])
     return spark.read.parquet(good).selectExpr("event_id", "'stored' as state").unionByName(
         spark.read.parquet(dead).selectExpr("cast(get_json_object(record, '$.event_id') as bigint) as event_id", "reason as state"))
 
@@ -86,7 +114,7 @@ def stream_baseline(spark, sf):
         "named_struct('kind', 'host', 'entity', host, 'value', process_name, 'volume', cast(bytes_out as double)))) as e").selectExpr(
         "event_id", "ts", "hour", "e.*").where("entity is not null")
     out, mark = work_path(spark, "deviations"), work_path(spark, "mark")
-    jobs.run_to_table(jobs.baselines(stream_of(spark, rows, "profile")), out, mark)
+    delivered(spark, rows, "profile", lambda stream: jobs.run_to_table(jobs.baselines(stream), out, mark))
     return spark.read.parquet(out).selectExpr("event_id", "entity", "kind", "round(score, 3) as score", "round(confidence, 4) as confidence")
 
 
@@ -96,7 +124,7 @@ section.add("stream_baseline", stream_baseline, f"""{t.with_(t.TEL, t.USERS, t.H
 def stream_risk(spark, sf):
     rows = light(spark, sf).where("hybrid_score > 0").selectExpr("event_id", "ts", "entity", f"{INCREMENT} as increment")
     out, mark = work_path(spark, "risk"), work_path(spark, "mark")
-    jobs.run_to_table(jobs.risk(stream_of(spark, rows, "scored")), out, mark)
+    delivered(spark, rows, "scored", lambda stream: jobs.run_to_table(jobs.risk(stream), out, mark))
     return spark.read.parquet(out).selectExpr("event_id", "entity", "round(previous, 3) as previous", "round(score, 3) as score")
 
 
@@ -107,7 +135,8 @@ def stream_volume_rule(spark, sf):
     rule = cat.VOLUME[0]
     rows = telemetry(spark, sf).where(cat.predicate(rule)).selectExpr("event_id", "ts", "to_json(struct(src_ip, user), map('ignoreNullFields', 'false')) as group")
     out, mark = work_path(spark, "volume"), work_path(spark, "mark")
-    jobs.run_to_table(jobs.volume_rule(stream_of(spark, rows, "matches"), *t.VOLUME_WINDOWS[rule.rule_id]), out, mark)
+    delivered(spark, rows, "matches", lambda stream: jobs.run_to_table(
+        jobs.volume_rule(stream, *t.VOLUME_WINDOWS[rule.rule_id]), out, mark))
     return spark.read.parquet(out).select("event_id", "kind", "related")
 
 
@@ -118,8 +147,8 @@ def stream_dedup(spark, sf):
     """Every event is delivered twice within its delivery; the store also sees the same batch again."""
     rows = telemetry(spark, sf).select("event_id", "ts", "host")
     store, mark = work_path(spark, "store"), work_path(spark, "mark")
-    stream = jobs.deduplicated(stream_of(spark, rows.unionByName(rows), "twice"))
-    jobs.run_to_table(stream, store, mark)
+    delivered(spark, rows.unionByName(rows), "twice", lambda stream: jobs.run_to_table(
+        jobs.deduplicated(stream), store, mark))
     stored = spark.read.parquet(store)
     again = append_incidents(stored, rows, "event_id")
     return stored.groupBy("host").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids")).unionByName(
@@ -132,8 +161,8 @@ section.add("stream_dedup", stream_dedup, f"{_TEL} SELECT host, count(*) AS n, c
 def stream_cti(spark, sf):
     rows = telemetry(spark, sf).select("event_id", "ts", "src_ip", "dst_ip", "md5")
     out, mark = work_path(spark, "matches"), work_path(spark, "mark")
-    stream = stream_of(spark, rows, "tel")
-    jobs.run_batches(stream, jobs.with_intel(lambda: cti.live_values(intel_tables(spark, sf)[0], t.AS_OF), out), mark)
+    handle = jobs.with_intel(lambda: cti.live_values(intel_tables(spark, sf)[0], t.AS_OF), out)
+    delivered(spark, rows, "tel", lambda stream: jobs.run_batches(stream, handle, mark))
     return spark.read.parquet(out).select("event_id", "observable", "indicator_id")
 
 

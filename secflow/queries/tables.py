@@ -194,7 +194,7 @@ cp AS (SELECT coalesce(dst_port::VARCHAR, '') AS v, count(*) AS n FROM trn GROUP
 tmp0 AS (SELECT *, row_number() OVER (PARTITION BY {h} ORDER BY ts, event_id) AS rn,
   epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY {h} ORDER BY ts, event_id)) AS since, {h} AS hh FROM tel),
 tmp AS (SELECT *, rn - min(rn) OVER (PARTITION BY hh ORDER BY epoch_us(ts) RANGE BETWEEN {FEATURE_WINDOW * 1000000 - 1} PRECEDING AND CURRENT ROW) AS burst,
-  coalesce(greatest(since / 1e6, 0), {FEATURE_WINDOW})::DOUBLE AS since_prev FROM tmp0),
+  CASE WHEN since IS NULL THEN {FEATURE_WINDOW} ELSE greatest(since / 1e6, 0) END::DOUBLE AS since_prev FROM tmp0),
 feat AS MATERIALIZED (SELECT event_id, ts, label, attack_cat, ln(1 + coalesce(bytes_out, 0)) AS bytes_out_log, ln(1 + coalesce(bytes_in, 0)) AS bytes_in_log,
   CASE WHEN coalesce(bytes_out, 0) + coalesce(bytes_in, 0) = 0 THEN 0.5 ELSE coalesce(bytes_out, 0) / (coalesce(bytes_out, 0) + coalesce(bytes_in, 0)) END::DOUBLE AS bytes_ratio,
   CASE WHEN dst_port IS NULL OR dst_port IN (0, 80, 443, 22, 53, 25, 3389, 445, 139, 21, 23, 3306, 8080) THEN 0 ELSE 1 END::DOUBLE AS is_rare_port,

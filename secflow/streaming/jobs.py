@@ -8,26 +8,45 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from secflow.plans import detection as det
-from secflow.plans.behaviour import FULL_CONFIDENCE, MIN_EVENTS, MIN_SAMPLES, VOLUME_HISTORY
 from secflow.plans.cti import observables
-from secflow.plans.risk import CEILING, DECAY_PER_HOUR
 from secflow.settings import small_side
 from secflow.sources import flows, normalize, ocsf
+from secflow.streaming.processors import KEEP, Baseline, Keyed, Risk, VolumeWindow
+
+#: State with lists, maps, timers and a time to live needs the store outside the heap. A key with a timer asks for
+#: one more batch after each batch, which would never let a drained stream end; timers then wait for the next rows.
+DRAINED = {"spark.sql.streaming.stateStore.providerClass":
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 def read_lines(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.option("maxFilesPerTrigger", files).text(path)
 
 
-def read_events(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def read_events(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """Parquet files below ``path``, folders of deliveries included; ``files`` bounds a micro-batch."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+
+
+@contextmanager
+def drained(spark: SparkSession) -> Iterator[None]:
+    """The settings DRAINED for the queries that are started inside."""
+    before = {key: spark.conf.get(key, None) for key in DRAINED}
+    for key, value in DRAINED.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -38,8 +57,9 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-             .outputMode("append").trigger(availableNow=True).start())
+    with drained(stream.sparkSession):
+        query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+                 .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
 
 
@@ -97,101 +117,27 @@ def with_intel(load: Callable[[], DataFrame], out: str) -> Callable[[DataFrame,
     return handle
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(["ts", "event_id"])
+# --- keyed state ------------------------------------------------------------------------------------------
+def _keyed(events: DataFrame, keys: list[str], processor: Keyed) -> DataFrame:
+    return events.groupBy(*keys).transformWithStateInPandas(processor, processor.OUT, "append", "ProcessingTime")
 
 
-# --- keyed state ------------------------------------------------------------------------------------------
-def risk(events: DataFrame) -> DataFrame:
+def risk(events: DataFrame, keep: str = KEEP) -> DataFrame:
     """Entity risk over micro-batches (columns event_id, ts, entity, increment)."""
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        score, last = state.get if state.exists else (0.0, None)
-        rows = _ordered(batches)
-        before, after = [], []
-        for micros, add in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["increment"]):
-            hours = 0.0 if last is None else max(0.0, (micros - last) / 3.6e9)
-            before.append(score)
-            score = min(CEILING, max(0.0, score - DECAY_PER_HOUR * hours) + add)
-            after.append(score)
-            last = int(micros)
-        state.update((float(score), last))
-        yield rows[["event_id", "entity"]].assign(previous=before, score=after)
-
-    return events.groupBy("entity").applyInPandasWithState(
-        update, "event_id bigint, entity string, previous double, score double", "score double, last bigint", "append",
-        GroupStateTimeout.NoTimeout)
-
-
-def volume_rule(matches: DataFrame, count: int, seconds: int, delay: str = "1 day") -> DataFrame:
-    """Volume rule over micro-batches (columns event_id, ts, group). A key keeps at most count - 1
-    matches, all inside the window. A row behind the watermark is put out as ``late`` for the
-    quarantine: an event-time timeout would make Spark drop such rows without a trace."""
-    span = seconds * 1_000_000
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, ids = (list(x) for x in state.get) if state.exists else ([], [])
-        limit = state.getCurrentWatermarkMs() * 1000
-        out = []
-        rows = _ordered(batches)
-        for micros, event in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["event_id"]):
-            if micros < limit:
-                out.append((key[0], int(event), "late", ""))
-                continue
-            keep = [i for i, t in enumerate(times) if micros - t <= span]
-            times, ids = [times[i] for i in keep] + [int(micros)], [ids[i] for i in keep] + [int(event)]
-            if len(times) >= count:
-                out.append((key[0], int(event), "hit", ",".join(str(i) for i in ids[:-1])))
-                times, ids = [], []
-        state.update((times, ids))
-        yield pd.DataFrame(out, columns=["group", "event_id", "kind", "related"])
-
-    return matches.withWatermark("ts", delay).groupBy("group").applyInPandasWithState(
-        update, "group string, event_id bigint, kind string, related string", "times array<bigint>, ids array<bigint>",
-        "append", GroupStateTimeout.NoTimeout)
-
-
-def baselines(events: DataFrame) -> DataFrame:
+    return _keyed(events, ["entity"], Risk(keep))
+
+
+def volume_rule(matches: DataFrame, count: int, seconds: int, delay: str = "1 day", keep: str = KEEP) -> DataFrame:
+    """Volume rule over micro-batches (columns event_id, ts, group): hits, and late and untimed rows for the quarantine."""
+    return _keyed(matches, ["group"], VolumeWindow(count, seconds, delay, keep))
+
+
+def baselines(events: DataFrame, keep: str = KEEP) -> DataFrame:
     """Behaviour per entity over micro-batches: judge an event by what came before, then learn it.
 
-    Columns event_id, ts, kind (user or host), entity, hour, value (address or process), volume. The
-    state holds hour counts, the distinct values and the last 500 volumes.
+    Columns event_id, ts, kind (user or host), entity, hour, value (address or process), volume.
     """
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, entity = key
-        if state.exists:
-            n, hours, values, volumes = state.get
-            hours, known, volumes = list(hours), set(values), list(volumes)
-        else:
-            n, hours, known, volumes = 0, [0] * 24, set(), []
-        out = []
-        rows = _ordered(batches)
-        for event, hour, value, volume in zip(rows["event_id"], rows["hour"], rows["value"], rows["volume"]):
-            sure = min(n / FULL_CONFIDENCE, 1.0)
-            fresh = value is not None and value not in known
-            if n >= MIN_EVENTS:
-                if kind == "user" and hours[hour] < max(0.02 * n, 1):
-                    out.append((event, entity, "unusual_hour", 70.0, sure))
-                if fresh:
-                    out.append((event, entity, "unknown_ip" if kind == "user" else "unknown_process",
-                                65.0 if kind == "user" else 55.0, sure))
-                if kind == "host" and volume == volume and volume is not None and len(volumes) >= MIN_SAMPLES:
-                    past = pd.Series(volumes, dtype=float)
-                    std = past.std(ddof=0)
-                    z = (volume - past.mean()) / std if std > 0 else 0.0
-                    if z >= 3:
-                        out.append((event, entity, "unusual_volume", min(50.0 + 10.0 * (z - 3.0), 100.0), sure))
-            n += 1
-            hours[hour] += 1
-            if value is not None:
-                known.add(value)
-            if volume == volume and volume is not None:
-                volumes = (volumes + [float(volume)])[-VOLUME_HISTORY:]
-        state.update((int(n), [int(h) for h in hours], sorted(known), volumes))
-        yield pd.DataFrame(out, columns=["event_id", "entity", "kind", "score", "confidence"])
-
-    return events.groupBy("kind", "entity").applyInPandasWithState(
-        update, "event_id bigint, entity string, kind string, score double, confidence double",
-        "n bigint, hours array<bigint>, known array<string>, volumes array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(events, ["kind", "entity"], Baseline(keep))
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", delay: str = "2 days") -> DataFrame:
