@@ -73,17 +73,18 @@ def token_ids(text: str, json_path: str, ranks_path: str, pattern: str) -> np.nd
 
 def pieces(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, length: int = LENGTH,
            with_ids: bool = False) -> DataFrame:
-    """doc_id, tokens (closing id included), crcs (one per piece) and, if asked for, ids of every row."""
+    """doc_id, tokens (closing id included) and parts of every row: per piece its crc and, if asked for, its ids."""
 
     def run(texts: list[str]) -> dict[str, list]:
         ids = [np.append(token_ids(t, json_path, ranks_path, pattern), np.uint32(CLOSING)).astype("<u4")
                for t in texts]
-        got = {"tokens": [len(x) for x in ids],
-               "crcs": [[zlib.crc32(x[a:a + length].tobytes()) for a in range(0, len(x), length)] for x in ids]}
-        return got | ({"ids": [x.astype(np.int32) for x in ids]} if with_ids else {})
+        cut = [[x[a:a + length] for a in range(0, len(x), length)] for x in ids]
+        return {"tokens": [len(x) for x in ids],
+                "parts": [[{"crc": zlib.crc32(x.tobytes())} | ({"ids": x.astype(np.int32)} if with_ids else {})
+                           for x in parts] for parts in cut]}
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "tokens long, crcs array<long>" + (", ids array<int>" if with_ids else "")
+    schema = f"tokens long, parts array<struct<crc: bigint{', ids: array<int>' if with_ids else ''}>>"
     return map_text(kept, "text", run, schema, {"doc_id": "long"})
 
 
@@ -123,9 +124,11 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, length:
 
     kind = "row long, start long, sequence_id long, offset long"
     placed = dealt.groupBy("dealt").applyInPandas(place, kind)
-    whole = rows.join(placed, "row")
-    at = (F.col("start") / length).cast("int") + 1
+    # One row per piece before the join, so that a piece carries its own ids and no more.
+    each = (rows.select("row", "doc_id", "tokens", F.posexplode("parts").alias("piece", "part"))
+            .withColumn("start", F.col("piece").cast("long") * length))
+    whole = each.join(placed, ["row", "start"])
     return whole.select(
         "doc_id", "start", F.least(F.lit(length), F.col("tokens") - F.col("start")).cast("long").alias("length"),
-        F.element_at("crcs", at).alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset",
-        *([F.slice("ids", (F.col("start") + 1).cast("int"), F.lit(length)).alias("ids")] if with_ids else []))
+        F.col("part.crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset",
+        *([F.col("part.ids").alias("ids")] if with_ids else []))
