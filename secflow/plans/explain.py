@@ -34,7 +34,8 @@ def explain_incidents(clusters: DataFrame, incidents: DataFrame, predictions: Da
         "concat(n_findings, ' findings between ', date_format(start_ts, 'yyyy-MM-dd HH:mm'), ' and ', "
         "date_format(end_ts, 'HH:mm'), ' UTC. Techniques: ', if(size(techniques) = 0, 'none', array_join(techniques, ', ')), '.') as reasoning",
         "coalesce(rationale, 'Not enough progression for a prediction.') as prediction",
-        "0.6D * mean_confidence + 0.4D * coalesce(_p, 0.4D) as confidence")
+        # Sums of the same findings in another order differ in their last digits.
+        "round(0.6D * mean_confidence + 0.4D * coalesce(_p, 0.4D), 10) as confidence")
 
 
 def evidence_lines(clusters: DataFrame, events: DataFrame) -> DataFrame:

@@ -68,7 +68,8 @@ def lifecycle(changes: DataFrame, block: int | None = None) -> DataFrame:
         coded, ["incident_id"], inputs=["target", "resolvable", "bad_severity", "asked_resolution"], step=step,
         start=0.0, keep=["incident_id", "seq", "owner", "severity"],
         outputs={"state_before": "string", "state_after": "string", "error": "string", "resolution": "string"},
-        describe=describe, advance=lambda s, e: e[int(s)], block=block)
+        describe=describe, advance=lambda s, e: e[int(s)], compose=lambda first, then: [then[int(s)] for s in first],
+        block=block)
 
 
 def final_states(replayed: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ CHUNK, OVERLAP = 500, 50
 TERMS = 20_000
 #: Documents that are multiplied at a time, and terms per row of partial sums.
 DOCS_AT_ONCE, TERMS_AT_ONCE = 64, 1024
+#: Rows of sums of a block that one task adds at the end.
+LANES = 64
 TOKEN = "[\\\\p{L}\\\\p{N}_.-]{2,}"
 
 
@@ -149,9 +151,27 @@ def _partial(basis: np.ndarray):
     return run
 
 
-def _added(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(x) for x in frame["sums"]], axis=0)
-    return pd.DataFrame({"block": [frame["block"].iloc[0]], "sums": [total.tobytes()]})
+def _add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add sums of equal block as they come in; memory holds one sum for each block."""
+    sums: dict[int, np.ndarray] = {}
+    for frame in frames:
+        for block, raw in zip(frame["block"], frame["sums"], strict=True):
+            part = np.frombuffer(raw)
+            sums[block] = sums[block] + part if block in sums else part
+    if sums:
+        yield pd.DataFrame({"block": list(sums), "sums": [x.tobytes() for x in sums.values()]})
+
+
+def summed(partials: DataFrame, lanes: int = LANES) -> DataFrame:
+    """One row (block, sums) per block from the sums of all partitions, in two steps.
+
+    The partitions' rows are dealt into ``lanes`` for each block first, so a task adds a lane's share as it
+    streams in and the last step adds ``lanes`` rows a block, however many partitions there were.
+    """
+    kind = "block int, sums binary"
+    dealt = partials.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
+    first = dealt.repartition("block", "lane").select("block", "sums").mapInPandas(_add_up, kind)
+    return first.repartition("block").mapInPandas(_add_up, kind)
 
 
 def latent_vectors(docs: DataFrame, dims: int = 128, limit: int = TERMS, extra: int = 12, rounds: int = 3) -> DataFrame:
@@ -169,7 +189,7 @@ def latent_vectors(docs: DataFrame, dims: int = 128, limit: int = TERMS, extra:
     basis = np.random.default_rng(3).normal(size=(n, width))
     for _ in range(rounds if n else 0):
         sums = rows.mapInPandas(_partial(np.linalg.qr(basis)[0]), "block int, sums binary")
-        got = sums.groupBy("block").applyInPandas(_added, "block int, sums binary").collect()  # terms x width numbers
+        got = summed(sums).collect()  # terms x width numbers
         basis = np.zeros((n, width))
         for block, raw in got:
             part = np.frombuffer(raw).reshape(-1, width)
@@ -184,7 +204,7 @@ def latent_vectors(docs: DataFrame, dims: int = 128, limit: int = TERMS, extra:
                 total += y.T @ y
         yield pd.DataFrame({"block": [0], "sums": [total.tobytes()]})
 
-    small = rows.mapInPandas(gram, "block int, sums binary").groupBy("block").applyInPandas(_added, "block int, sums binary").first()
+    small = summed(rows.mapInPandas(gram, "block int, sums binary")).first()
     turn = np.linalg.eigh(np.frombuffer(small[1]).reshape(width, width))[1][:, ::-1][:, :dims] if small and n else q[:0]
     toward = q @ turn if n else q
 

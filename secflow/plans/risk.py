@@ -44,13 +44,16 @@ def risk_history(scored: DataFrame, block: int | None = None) -> DataFrame:
     def advance(state: float, effect: list) -> float:
         return _clamp(state + effect[0], effect[1], effect[2])
 
+    def compose(first: list, then: list) -> list:
+        return [first[0] + then[0], *(_clamp(x + then[0], then[1], then[2]) for x in first[1:])]
+
     def step(score: float, add: float, hours: float):
         after = min(CEILING, max(0.0, score - DECAY_PER_HOUR * hours) + add)
         return after, (score, after)
 
     return block_scan(spaced, ["entity"], inputs=["increment", "hours"], step=step, start=0.0,
                       keep=["event_id", "ts", "entity"], outputs={"previous": "double", "score": "double"},
-                      describe=describe, advance=advance, block=block)
+                      describe=describe, advance=advance, compose=compose, block=block)
 
 
 def alerts(history: DataFrame) -> DataFrame:

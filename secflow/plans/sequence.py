@@ -61,7 +61,7 @@ def markov_predictions(histories: DataFrame, probabilities: DataFrame, k: int =
     ranked = probabilities.groupBy("origin").agg(
         F.expr(f"sort_array(collect_list(case when target <> '{END}' then named_struct('np', -p, 'tactic', target) end))"
                ).alias("ranked"),
-        F.max(F.expr(f"case when target = '{END}' then p end")).alias("p_end"))
+        F.max(F.expr(f"case when target = '{END}' then p end")).alias("p_end"), F.sum("n").alias("n_seen"))
     origin = F.expr(f"get({CHAIN}, cast(deepest as int))")
     joined = with_deepest(histories).withColumn("origin", origin).join(F.broadcast(ranked), "origin", "left")
     keep = f"x -> {position('x.tactic')} > deepest and not array_contains(tactics, x.tactic)"
@@ -144,23 +144,49 @@ def reweighted(predictions: DataFrame) -> DataFrame:
         f"{FACTOR}, 1D), 'i', i, 'tactic', x.tactic))), x -> named_struct('tactic', x.tactic, 'p', -x.np))"))
 
 
-def incident_predictions(incidents: DataFrame, flagged: DataFrame, k: int = 2) -> DataFrame:
-    """Next tactics of each incident from its deepest one, with context, confidence and a rationale."""
+#: A model that stops with at least this probability says so.
+SAY_STOP = 0.3
+MODEL, ORDER = "transitions seen", "canonical order"
+
+
+def incident_predictions(incidents: DataFrame, flagged: DataFrame, probabilities: DataFrame | None = None,
+                         k: int = 2) -> DataFrame:
+    """Next tactics of each incident from its deepest one, with context, confidence and a rationale.
+
+    With ``probabilities`` the transitions of the deepest tactic decide, and the confidence is the probability of the
+    best guess; a tactic that no training sequence left falls back to the canonical order, as does everything
+    without a model, and the confidence then follows the length and order of the progression. One join with
+    fifteen rows brings both the ranking and the probability of stopping.
+    """
     known = incidents.withColumn("tactics", F.expr(
         f"filter(transform(tactics, t -> if(t = 'defense-evasion', 'stealth', t)), t -> {position('t')} >= 0)")
     ).where("size(tactics) > 0")
     context = (known.join(flagged.where("cti_confirmed").select("entity", F.lit(True).alias("cti_flagged")), "entity", "left")
                .withColumn("cti_flagged", F.expr("coalesce(cti_flagged, false)"))
-               .withColumn("entity_type", F.expr(entity_type("entity"))))
-    ranked = reweighted(canonical_predictions(context.drop("deepest"), k))
+               .withColumn("entity_type", F.expr(entity_type("entity"))).drop("deepest"))
+    if probabilities is None:
+        both = canonical_predictions(context, k).withColumns({"n_seen": F.lit(0), "p_end": F.lit(0.0)})
+    else:
+        learnt = markov_predictions(context, probabilities, k).withColumnRenamed("predicted", "learnt").drop("deepest")
+        both = canonical_predictions(learnt, k).withColumn(
+            "predicted", F.expr("if(n_seen > 0, learnt, predicted)")).drop("learnt", "origin")
+    ranked = reweighted(both.withColumn("model", F.expr(f"if(n_seen > 0, '{MODEL}', '{ORDER}')"))
+                        .withColumn("p_end", F.expr("if(n_seen > 0, p_end, 0D)")))
     rising = f"aggregate(sequence(1, size(tactics)), true, (a, i) -> a and (i < 2 or {position('get(tactics, i - 1)')} >= {position('get(tactics, i - 2)')}))"
+    why = ("array_compact(array(if(entity_type = 'server', 'server', null), if(risk >= 75, 'high severity', null), "
+           "if(velocity >= 5, 'fast', null), if(cti_flagged, 'known campaign', null)))")
     return ranked.withColumns({
         "current_tactic": F.expr(f"get({CHAIN}, cast(deepest as int))"),
-        "confidence": F.expr(f"least(0.55D + 0.1D * least(size(tactics), 3) + if({rising}, 0.1D, 0D), 0.95D)"),
+        "confidence": F.expr(
+            f"if(model = '{MODEL}', coalesce(get(predicted, 0).p, 0D), "
+            f"least(0.55D + 0.1D * least(size(tactics), 3) + if({rising}, 0.1D, 0D), 0.95D))"),
+        "context": F.expr(why),
     }).withColumn("rationale", F.expr(
         "concat('Progression ', array_join(tactics, ' > '), '; deepest ', current_tactic, ' (', deepest + 1, '/15); ', "
-        "if(size(predicted) = 0, 'no later phase is left', concat('next ', array_join(transform(predicted, "
-        f"x -> concat(x.tactic, ' (', {percent_text('x.p')}, ')')), ' or '))))"))
+        "if(size(predicted) = 0, 'no later phase is left', concat('by ', model, ' next ', array_join(transform(predicted, "
+        f"x -> concat(x.tactic, ' (', {percent_text('x.p')}, ')')), ' or '), "
+        f"if(p_end >= {SAY_STOP}D, concat('; stops here with ', {percent_text('p_end')}), ''), "
+        "if(size(context) = 0, '', concat('; weighed up: ', array_join(context, ', '))))))"))
 
 
 def lists_from_incidents(incidents: DataFrame) -> DataFrame:

@@ -95,7 +95,11 @@ _DEEP = "hd AS MATERIALIZED (SELECT *, (SELECT max(list_position({0}, x)) FROM (
 
 def _markov_sql(source: str, keys: str, k: int = 3, deep: str = "hd") -> str:
     return f"""{_DEEP.format(_TAC, source)},
-mk AS (SELECT {keys}, target, p, row_number() OVER (PARTITION BY {keys} ORDER BY p DESC, target) AS r FROM {deep} JOIN prob ON prob.origin = {_TAC}[deepest + 1]
+{_ranked_sql(keys, k, deep)}"""
+
+
+def _ranked_sql(keys: str, k: int, deep: str = "hd") -> str:
+    return f"""mk AS (SELECT {keys}, target, p, row_number() OVER (PARTITION BY {keys} ORDER BY p DESC, target) AS r FROM {deep} JOIN prob ON prob.origin = {_TAC}[deepest + 1]
   AND list_position({_TAC}, target) - 1 > deepest AND NOT list_contains(tactics, target)),
 mkl AS MATERIALIZED (SELECT {keys}, list(struct_pack(tactic := target, p := p) ORDER BY r) AS predicted FROM mk WHERE r <= {k} GROUP BY ALL)"""
 
@@ -181,28 +185,33 @@ replace(array_to_string(tactics, ','), 'defense-evasion', 'stealth') AS tactics
 
 # --- incident predictions -----------------------------------------------------------------------------
 def predictions(spark, sf):
-    return sq.incident_predictions(incidents(spark, sf), flagged(spark, sf))
+    return sq.incident_predictions(incidents(spark, sf), flagged(spark, sf), probabilities(spark, sf))
 
 
 def _incident_sql():
-    single = [t.IOC, t.POINTS, t.LIGHT, "flg AS (SELECT entity, bool_or(cti_confirmed) AS cti FROM light GROUP BY 1)"]
+    single = [t.SEQ_STEPS, t.markov_sql(), t.IOC, t.POINTS, t.LIGHT, "flg AS (SELECT entity, bool_or(cti_confirmed) AS cti FROM light GROUP BY 1)"]
     return t.incident_base(*single, f"""hd AS MATERIALIZED (SELECT * REPLACE (list_transform(tactics, lambda x: CASE x WHEN 'defense-evasion' THEN 'stealth' ELSE x END) AS tactics), coalesce(cti, FALSE) AS flag,
   CASE WHEN entity LIKE 'SRV-%' OR entity LIKE 'DB-%' THEN 'server' WHEN entity LIKE 'WKS-%' OR entity LIKE 'PC-%' THEN 'workstation' ELSE 'unknown' END AS etype
   FROM inc LEFT JOIN flg USING (entity) WHERE len(tactics) > 0)""", _canon_sql("hd", "incident_id", 2),
+        _ranked_sql("incident_id", 2), f"""ch AS MATERIALIZED (SELECT hd.incident_id, n_seen > 0 AS learnt, CASE WHEN n_seen > 0 THEN p_end ELSE 0 END AS p_end,
+  CASE WHEN n_seen > 0 THEN mkl.predicted ELSE cn.predicted END AS predicted FROM hd LEFT JOIN cn USING (incident_id) LEFT JOIN mkl USING (incident_id)
+  JOIN (SELECT origin, sum(n) AS n_seen, max(p) FILTER (WHERE target = '<END>') AS p_end FROM prob GROUP BY 1) o ON o.origin = {_TAC}[deepest + 1])""",
         """rw AS (SELECT incident_id, list(struct_pack(tactic := tactic, p := p) ORDER BY p DESC, i) AS predicted FROM (
   SELECT incident_id, x.tactic AS tactic, i, least(1, x.p * CASE WHEN etype = 'server' AND x.tactic IN ('exfiltration', 'impact', 'command-and-control', 'collection') THEN 1.3 ELSE 1 END::DOUBLE
     * CASE WHEN risk >= 75 AND x.tactic IN ('exfiltration', 'impact', 'command-and-control', 'collection') THEN 1.2 ELSE 1 END::DOUBLE * CASE WHEN velocity >= 5 THEN 1.15 ELSE 1 END::DOUBLE
     * CASE WHEN flag AND x.tactic IN ('lateral-movement', 'command-and-control', 'exfiltration') THEN 1.4 ELSE 1 END::DOUBLE)::DOUBLE AS p
-  FROM (SELECT incident_id, unnest(predicted) AS x, generate_subscripts(predicted, 1) AS i FROM cn) JOIN hd USING (incident_id)) GROUP BY 1)""",
-        f"""pr AS MATERIALIZED (SELECT hd.*, predicted, {_TAC}[deepest + 1] AS current_tactic,
-  least(0.55::DOUBLE + 0.1::DOUBLE * least(len(tactics), 3) + CASE WHEN list_sort(list_transform(tactics, lambda x: list_position({_TAC}, x))) = list_transform(tactics, lambda x: list_position({_TAC}, x)) THEN 0.1::DOUBLE ELSE 0 END, 0.95)::DOUBLE AS confidence
-  FROM hd LEFT JOIN rw USING (incident_id))""")
+  FROM (SELECT incident_id, unnest(predicted) AS x, generate_subscripts(predicted, 1) AS i FROM ch) JOIN hd USING (incident_id)) GROUP BY 1)""",
+        f"""pr AS MATERIALIZED (SELECT hd.*, rw.predicted, learnt, p_end, {_TAC}[deepest + 1] AS current_tactic,
+  CASE WHEN learnt THEN coalesce(rw.predicted[1].p, 0) ELSE least(0.55::DOUBLE + 0.1::DOUBLE * least(len(tactics), 3) + CASE WHEN list_sort(list_transform(tactics, lambda x: list_position({_TAC}, x))) = list_transform(tactics, lambda x: list_position({_TAC}, x)) THEN 0.1::DOUBLE ELSE 0 END, 0.95)::DOUBLE END AS confidence
+  FROM hd JOIN ch USING (incident_id) LEFT JOIN rw USING (incident_id))""")
 
 
 _PRED = _incident_sql()
 _PCT = "CASE WHEN x.p >= 0.1 THEN printf('%.0f%%', x.p * 100) WHEN x.p >= 0.01 THEN printf('%.1f%%', x.p * 100) ELSE printf('%.2f%%', x.p * 100) END"
 _RATIONALE = f"""'Progression ' || array_to_string(tactics, ' > ') || '; deepest ' || current_tactic || ' (' || (deepest + 1) || '/15); ' ||
-  CASE WHEN predicted IS NULL THEN 'no later phase is left' ELSE 'next ' || array_to_string(list_transform(predicted, lambda x: x.tactic || ' (' || {_PCT} || ')'), ' or ') END"""
+  CASE WHEN predicted IS NULL THEN 'no later phase is left' ELSE 'by ' || CASE WHEN learnt THEN '{sq.MODEL}' ELSE '{sq.ORDER}' END || ' next ' || array_to_string(list_transform(predicted, lambda x: x.tactic || ' (' || {_PCT} || ')'), ' or ') ||
+  CASE WHEN p_end >= 0.3 THEN '; stops here with ' || printf('%.0f%%', p_end * 100) ELSE '' END || CASE WHEN etype = 'server' OR risk >= 75 OR velocity >= 5 OR flag THEN '; weighed up: ' || array_to_string(list_filter([
+    CASE WHEN etype = 'server' THEN 'server' END, CASE WHEN risk >= 75 THEN 'high severity' END, CASE WHEN velocity >= 5 THEN 'fast' END, CASE WHEN flag THEN 'known campaign' END], lambda x: x IS NOT NULL), ', ') ELSE '' END END"""
 section.add("incident_predict", lambda spark, sf: predictions(spark, sf).selectExpr(
     "incident_id", "current_tactic", "array_join(transform(predicted, x -> x.tactic), ',') as next", "round(confidence, 4) as confidence", "rationale"),
     f"""{_PRED} SELECT incident_id, current_tactic, coalesce(array_to_string(list_transform(predicted, lambda x: x.tactic), ','), '') AS next,
@@ -265,7 +274,7 @@ printf('Combined score %.1f/100 (%s).', hybrid_score, CASE WHEN n_rules > 0 AND
 def explain_incident(spark, sf):
     rows = incidents(spark, sf)
     clusters = inc.clustered(found(spark, sf), t.GAP)
-    return ex.explain_incidents(clusters, rows, sq.incident_predictions(rows, flagged(spark, sf))).selectExpr(
+    return ex.explain_incidents(clusters, rows, sq.incident_predictions(rows, flagged(spark, sf), probabilities(spark, sf))).selectExpr(
         "incident_id", "summary", "reasoning", "prediction", "round(confidence, 3) as confidence")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from secflow.functions import scalars as s
 from secflow.operators.lookups import first_in_window
+from secflow.plans import anomaly
 from secflow.plans import behaviour as b
 from secflow.plans import catalogue as cat
 from secflow.plans import cti
@@ -14,11 +15,13 @@ from secflow.plans import scoring as sc
 from secflow.queries import tables as t
 from secflow.queries.detection import TECH, hits
 from secflow.queries.registry import Section
-from secflow.settings import checkpointed
+from secflow.settings import checkpointed, work_path
 from secflow.sources import intel
 from secflow.sources.telemetry import telemetry
 
 section = Section()
+#: Events that the anomaly model is fitted on.
+TRAIN = "label = 0 and event_id % 2 = 0"
 
 
 def intel_tables(spark, sf):
@@ -35,9 +38,9 @@ def public_view(events):
     return events.withColumn("src_ip", F.expr("replace(src_ip, '203.0.113.', '8.8.8.')"))
 
 
-def parts(spark, sf):
+def parts(spark, sf, events=None):
     """Signals of every kind, each aggregated by event."""
-    events = telemetry(spark, sf)
+    events = telemetry(spark, sf) if events is None else events
     found = checkpointed(det.all_hits(events, t.VOLUME_WINDOWS))
     behaviour = checkpointed(b.behaviour_scores(events))
     signals = (found.select("event_id").unionByName(behaviour.select("event_id"))
@@ -46,8 +49,8 @@ def parts(spark, sf):
     return events, found, behaviour, live
 
 
-def evidence(spark, sf):
-    events, found, behaviour, live = parts(spark, sf)
+def evidence(spark, sf, events=None):
+    events, found, behaviour, live = parts(spark, sf, events)
     sequences = det.all_sequences(found, t.SEQUENCE_WINDOWS)
     return sc.evidence(events, sc.rule_evidence(found), sc.sequence_evidence(sequences), behaviour,
                        cti.event_points(events, context(spark, sf), t.AS_OF), cti.reputation_points(live))
@@ -57,6 +60,19 @@ _EV = t.evidence_base()
 section.add("hybrid_score", lambda spark, sf: evidence(spark, sf).selectExpr(
     "event_id", "entity", "detection_status", "rules", "sequences", "n_cti", "round(hybrid_score, 3) as hybrid_score"),
     f"{_EV} SELECT event_id, entity, detection_status, rules, sequences, n_cti, round(hybrid_score, 3) AS hybrid_score FROM ev")
+
+
+def hybrid_score_model(spark, sf):
+    """The combined score with the score of a fitted and stored forest; no SQL form, as the forest has none."""
+    events, folder = telemetry(spark, sf), work_path(spark, "model")
+    anomaly.fit(events, TRAIN, folder, t.FEATURE_WINDOW)
+    scored = checkpointed(anomaly.with_scores(events, anomaly.load(spark, folder)))
+    return evidence(spark, sf, scored).selectExpr(
+        "event_id", "entity", "detection_status", "rules", "sequences", "n_cti", "round(anomaly_score, 6) as anomaly_score",
+        "round(hybrid_score, 3) as hybrid_score")
+
+
+section.add("hybrid_score_model", hybrid_score_model)
 section.add("join_signals", lambda spark, sf: evidence(spark, sf).selectExpr(
     "event_id", "n_rules", "rules", "sequences", "round(behaviour_score, 3) as behaviour_score", "cti_points",
     "round(reputation_points, 3) as reputation_points"),

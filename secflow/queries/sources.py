@@ -10,14 +10,16 @@ from secflow.queries.operations import STORE
 from secflow.queries.registry import Section
 from secflow.plans import operations as ops
 from secflow.plans import sequence as sq
+from secflow.plans import anomaly, chain
 from secflow.plans import catalogue as cat
 from secflow.plans import cti
 from secflow.plans import detection as det
 from secflow.plans import scoring as sc
 from secflow.plans.behaviour import profiles
 from secflow.queries.campaigns import lists
-from secflow.settings import work_path
-from secflow.sources import flows, ocsf, prepared, sinks
+from secflow.queries.scoring import context as intel_context
+from secflow.settings import checkpointed, work_path
+from secflow.sources import flows, intel, ocsf, prepared, sinks
 from secflow.sources import normalize as n
 from secflow.sources.telemetry import telemetry
 
@@ -72,10 +74,11 @@ section.add("norm_sysmon_xml", lambda spark, sf: shown(n.sysmon_xml(telemetry(sp
     f"""{_TEL} SELECT event_id, epoch_us(ts) AS micros, CASE k % 4 WHEN 2 THEN 'file' WHEN 3 THEN 'network' ELSE 'process' END AS category, host, "user", process_name FROM tel WHERE source = 'sysmon'""")
 
 # --- system logs ----------------------------------------------------------------------------------------
-_MSG = ("case k % 5 when 0 then concat('Failed password for invalid user ', user, ' from ', src_ip, ' port 22') when 1 then concat('Accepted password for ', user, ' from ', src_ip) "
+_MSG = ("case k % 5 when 0 then concat('Failed password for invalid user ', user, ' from ', src_ip, if(k % 10 = 0, ':51234 ssh2', ' port 22')) "
+        "when 1 then concat(if(k % 3 = 0, 'Message from daemon: ', ''), 'Accepted password for ', user, ' from ', src_ip) "
         "when 2 then 'Connection closed' when 3 then 'unit started' else 'pam check' end")
 _PROG = "element_at(array('sshd', 'cron', 'systemd', 'sudo'), cast(k % 4 + 1 as int))"
-_SQL_MSG = """CASE k % 5 WHEN 0 THEN 'Failed password for invalid user ' || "user" || ' from ' || src_ip || ' port 22' WHEN 1 THEN 'Accepted password for ' || "user" || ' from ' || src_ip WHEN 2 THEN 'Connection closed' WHEN 3 THEN 'unit started' ELSE 'pam check' END"""
+_SQL_MSG = """CASE k % 5 WHEN 0 THEN 'Failed password for invalid user ' || "user" || ' from ' || src_ip || CASE WHEN k % 10 = 0 THEN ':51234 ssh2' ELSE ' port 22' END WHEN 1 THEN CASE WHEN k % 3 = 0 THEN 'Message from daemon: ' ELSE '' END || 'Accepted password for ' || "user" || ' from ' || src_ip WHEN 2 THEN 'Connection closed' WHEN 3 THEN 'unit started' ELSE 'pam check' END"""
 _SQL_PROG = "['sshd', 'cron', 'systemd', 'sudo'][k % 4 + 1]"
 _SQL_CLASS = """CASE WHEN k % 5 < 2 OR k % 4 IN (0, 3) THEN 'authentication' WHEN k % 5 = 2 THEN 'network' ELSE 'process' END AS category,
 CASE WHEN k % 5 = 0 THEN 'failure' WHEN k % 5 = 1 THEN 'success' ELSE 'unknown' END AS outcome, CASE WHEN k % 5 < 2 THEN src_ip END AS src_ip"""
@@ -391,3 +394,26 @@ def pipeline_end_to_end(spark, sf):
 
 section.add("pipeline_end_to_end", pipeline_end_to_end, f"""{t.with_(t.TEL, f"h AS ({t.hits_sql(cat.PER_EVENT)})", "g AS (SELECT event_id, array_to_string(list_sort(list_distinct(list(rule_id))), ',') AS rules, count(*) AS n_rules FROM h GROUP BY 1)")}
 SELECT event_id, host, source, coalesce(rules, '') AS rules, coalesce(n_rules, 0) AS n_rules, len(list_distinct(list_filter([src_ip, CASE WHEN source IN ('netflow', 'firewall', 'sysmon') THEN dst_ip END, CASE WHEN source = 'sysmon' THEN md5 END], lambda x: x IS NOT NULL))) AS observables FROM tel LEFT JOIN g USING (event_id)""")
+
+
+def raw_to_incidents(spark, sf):
+    """Raw records to features, forest, behaviour, indicators, score and incidents; no SQL form, as the forest has none.
+
+    One row per event with its score, and one per incident.
+    """
+    events, folder = checkpointed(from_raw(spark, sf)), work_path(spark, "model")
+    # The raw records have no labels: the forest learns from every other record.
+    anomaly.fit(events, "event_id % 2 = 0", folder, t.FEATURE_WINDOW)
+    evidence, incidents, _ = chain.scored(
+        events, anomaly.load(spark, folder), intel_context(spark, sf), intel.reputation(spark, sf, t.REPUTATION_TTL),
+        chain.Options(t.AS_OF, t.VOLUME_WINDOWS, t.SEQUENCE_WINDOWS, t.GAP))
+    kept = events.select("event_id", "_keep_id").groupBy("event_id").agg(F.min("_keep_id").alias("kept"))
+    rows = evidence.join(kept, "event_id").selectExpr(
+        "'event' as kind", "cast(kept as string) as id", "entity", "detection_status as status", "rules as detail",
+        "round(hybrid_score, 3) as score")
+    return rows.unionByName(incidents.selectExpr(
+        "'incident' as kind", "incident_id as id", "entity", "array_join(tactics, ',') as status",
+        "array_join(techniques, ',') as detail", "cast(risk as double) as score"))
+
+
+section.add("raw_to_incidents", raw_to_incidents)

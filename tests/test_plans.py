@@ -54,6 +54,30 @@ def test_markov_rows_sum_to_one_and_never_go_back(spark):
         assert all(sq.TACTICS.index(x.tactic) > r.deepest for x in r.predicted)
 
 
+def test_incidents_follow_the_transitions_and_fall_back_to_the_order(spark):
+    from secflow.schema import TACTICS
+    lists = spark.createDataFrame([(i, ["execution", "impact"]) for i in range(9)] + [(20, ["execution"]), (21, ["execution"])],
+                                  "seq_id bigint, tactics array<string>")
+    probabilities = sq.transition_probabilities(sq.transition_counts(lists))
+    schema = "incident_id string, entity string, tactics array<string>, deepest bigint, risk bigint, velocity double"
+    rows = spark.createDataFrame([("a", "x", ["execution"], 3, 10, 0.0), ("b", "x", ["discovery"], 9, 10, 0.0),
+                                  ("c", "x", [TACTICS[-1]], 14, 10, 0.0), ("d", "x", [], -1, 0, 0.0)], schema)
+    flagged = spark.createDataFrame([("x", False)], "entity string, cti_confirmed boolean")
+    got = {r.incident_id: r for r in sq.incident_predictions(rows, flagged, probabilities).collect()}
+    assert set(got) == {"a", "b", "c"}
+    p = 9.5 / (11 + 0.5 * 16)
+    assert got["a"].model == sq.MODEL and got["a"].predicted[0].tactic == "impact"
+    assert got["a"].confidence == pytest.approx(p) and got["a"].p_end == pytest.approx(2.5 / 19)
+    assert "stops here" not in got["a"].rationale
+    assert got["b"].model == sq.ORDER and got["b"].predicted[0].tactic == "lateral-movement" and got["b"].p_end == 0
+    assert got["b"].confidence == pytest.approx(0.75)
+    assert got["c"].predicted == [] and "no later phase" in got["c"].rationale
+    often = sq.transition_probabilities(sq.transition_counts(lists.where("seq_id >= 20")))
+    assert "stops here with" in sq.incident_predictions(rows, flagged, often).where("incident_id = 'a'").first().rationale
+    plain = {r.incident_id: r.model for r in sq.incident_predictions(rows, flagged).collect()}
+    assert set(plain.values()) == {sq.ORDER}
+
+
 def test_response_order(spark):
     df = spark.createDataFrame([("i", "h", ["credential-access", "exfiltration"], 80)], "incident_id string, entity string, tactics array<string>, risk int")
     rows = verdicts(plan(df)).orderBy("sort_key").collect()

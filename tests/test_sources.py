@@ -36,6 +36,17 @@ def test_syslog_year_before(spark):
     assert [tuple(r) for r in rejects.collect()] == [("no log line", "unrecognised line")]
 
 
+def test_addresses_with_ports_and_a_second_from(spark):
+    events, rejects = n.syslog(lines(
+        spark, "Jan 10 10:00:00 h sshd[1]: Failed password for root from 203.0.113.9:51234 ssh2",
+        "Jan 10 10:00:01 h sshd[1]: Message from daemon: Failed password for bob from 10.0.0.5",
+        "Jan 10 10:00:02 h sshd[1]: Failed password for invalid user eve from 10.0.0.6 port 22",
+        "Jan 10 10:00:03 h sshd[1]: Message from daemon: from nowhere"), "2024-01-15 00:00:00")
+    got = {r.command_line: (r.user, r.src_ip) for r in events.collect()}
+    assert rejects.count() == 0
+    assert sorted(got.values(), key=str) == [("bob", "10.0.0.5"), ("eve", "10.0.0.6"), ("root", "203.0.113.9"), (None, None)]
+
+
 def test_auditd_quotes(spark):
     row = one(n.auditd(lines(spark, 'type=SYSCALL msg=audit(1709287200.500:42): exe="/bin/my tool" auid=1000 success=no exit=-13 key=(null)'))[0])
     assert (row.process_name, row.user, row.outcome, row.properties["return_code"]) == ("/bin/my tool", "1000", "failure", "-13")

@@ -8,6 +8,7 @@ import pytest
 from helpers import at, by_key, random_rows
 from pyspark.sql import functions as F
 
+from secflow.operators import blocks
 from secflow.plans import audit, operations, risk
 from secflow.plans.detection import sequence_hits, volume_hits
 
@@ -111,3 +112,12 @@ def test_audit_chain_tampering(spark):
            .where("not (run = 'c' and idx = 5)").where("not (run = 'd' and idx = 3)"))
     got = {r.run: (r.bad_index, r.reason) for r in audit.verify_chain(bad, anchor).collect()}
     assert got == {"a": (None, None), "b": (2, "changed entry"), "c": (None, "truncated"), "d": (4, "broken link")}
+
+
+def test_a_tree_of_descriptions_gives_the_same(spark, monkeypatch):
+    """Runs of two blocks are composed, and runs of those, so that keys have trees of several levels."""
+    monkeypatch.setattr(blocks, "FAN", 2)
+    test_volume_rule(spark, 3, 5)
+    test_sequences(spark, 3, "600")
+    test_risk(spark, 3)
+    test_lifecycle(spark, 3)
