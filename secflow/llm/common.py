@@ -137,9 +137,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         new = checkpointed(step.join(jump, "to", "left")
                            .select("node", F.least("to", F.coalesce("far", "to")).alias("root"),
                                    (F.col("root") != F.least("to", F.coalesce("far", "to"))).alias("moved")))
-        moved = new.where("moved").limit(1).count()
         labels = new.drop("moved")
-        if not moved:
+        if new.where("moved").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
