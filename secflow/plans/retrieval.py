@@ -15,6 +15,8 @@ from secflow.settings import checkpointed, small_side
 # Fixed values.
 CHUNK, OVERLAP = 500, 50
 TERMS = 20_000
+#: Pivots of the vector groups; members and queries that meet in one task.
+PIVOTS, MEMBERS, QUERIES = 64, 20_000, 2_000
 #: Documents that are multiplied at a time, and terms per row of partial sums.
 DOCS_AT_ONCE, TERMS_AT_ONCE = 64, 1024
 #: Rows of sums of a block that one task adds at the end.
@@ -96,18 +98,101 @@ def label_centroids(vectors: DataFrame) -> DataFrame:
     return means.groupBy("label").agg(F.expr("transform(sort_array(collect_list(struct(i, x))), e -> e.x)").alias("query"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Cosine top-k for a bounded set of queries (columns label, query).
+def _angles(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(v @ pivots.T, -1, 1))
 
-    The queries ride along as one array; each task keeps its own best k per query before the shuffle.
+
+def _unit(vector: str) -> str:
+    length = f"sqrt(aggregate({vector}, 0D, (s, x) -> s + x * x))"
+    return f"transform({vector}, x -> x / {length})"
+
+
+def _meet(k: int):
+    """Best k members for each query of one block of a group: by score to six digits, then id."""
+    def run(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if members.empty or asked.empty:
+            return pd.DataFrame(columns=["query", "vec_id", "score"])
+        ids = members["vec_id"].to_numpy()
+        scores = np.floor(np.stack(asked["v"]) @ np.stack(members["v"]).T * 1e6 + 0.5) / 1e6
+        out = []
+        for query, row in zip(asked["query"], scores, strict=True):
+            enough = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+            best = enough[np.lexsort((ids[enough], -row[enough]))][:k]
+            out.append(pd.DataFrame({"query": query, "vec_id": ids[best], "score": row[best]}))
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, block: int = MEMBERS,
+            asked_at_once: int = QUERIES) -> DataFrame:
+    """Exact cosine top-k for any number of queries (columns label, query): query, vec_id, score, rank.
+
+    Vectors are grouped by their nearest pivot and stored with their angle to it. A query first meets the groups
+    that may hold its nearest vectors and have k members together; after that only groups that the triangle
+    inequality on angles allows to hold something better than its k-th. Groups and their queries meet in blocks of
+    bounded size, so neither side is broadcast; only the pivots and one row per group go to all tasks. Vectors and
+    queries of length zero have no direction and take no part.
     """
-    packed = queries.agg(F.sort_array(F.collect_list(F.struct("label", "query"))).alias("_qs"))
-    dot = "aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, z) -> s + z)"
-    cosine = f"{dot.format(a='v', b='q.query')} / (sqrt({dot.format(a='v', b='v')}) * sqrt({dot.format(a='q.query', b='q.query')}))"
-    rows = with_scalar(vectors.selectExpr("vec_id", "transform(embedding, x -> double(x)) as v"), packed)
-    scored = rows.selectExpr("vec_id", "v", "explode(_qs) as q").selectExpr(
-        "q.label as query", "vec_id", f"round({cosine}, 6) as score")
-    return first_rows(scored, ["query"], [F.col("score").desc(), F.col("vec_id")], k)
+    spark = vectors.sparkSession
+    kind = dict(queries.dtypes)["label"]
+    some = vectors.selectExpr("vec_id", "transform(embedding, x -> double(x)) as v").where(
+        "aggregate(v, 0D, (s, x) -> s + x * x) > 0").selectExpr("vec_id", f"{_unit('v')} as v")
+    asked = queries.where("aggregate(query, 0D, (s, x) -> s + x * x) > 0").selectExpr("label as query", f"{_unit('query')} as v")
+    chosen = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # at most ``pivots`` rows
+    empty = spark.createDataFrame([], f"query {kind}, vec_id bigint, score double, rank bigint")
+    if not chosen:
+        return empty
+    at = np.array([r["v"] for r in chosen])
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                apart = _angles(np.stack(frame["v"]), at)
+                yield frame.assign(grp=apart.argmin(1), angle=apart.min(1))
+
+    members = checkpointed(some.mapInPandas(assign, "vec_id bigint, v array<double>, grp int, angle double"))
+    groups = {r["grp"]: (r["n"], r["far"]) for r in members.groupBy("grp").agg(
+        F.count("*").alias("n"), F.max("angle").alias("far")).collect()}  # at most ``pivots`` rows
+    names = np.array(sorted(groups))
+    size, far = (np.array([groups[g][i] for g in names]) for i in (0, 1))
+
+    def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query with each group, the nearest it may come to it, and whether it is looked at first."""
+        for frame in frames:
+            if not len(frame):
+                continue
+            low = np.maximum(0, _angles(np.stack(frame["v"]), at[names]) - far)
+            order = np.argsort(low, axis=1, kind="stable")
+            before = np.cumsum(size[order], axis=1) - size[order]
+            first = np.empty(low.shape, bool)
+            np.put_along_axis(first, order, before < k, axis=1)
+            many = len(names)
+            yield pd.DataFrame({"query": frame["query"].repeat(many).to_numpy(), "v": frame["v"].repeat(many).to_numpy(),
+                                "grp": np.tile(names, len(frame)), "most": np.cos(low).ravel(), "first": first.ravel()})
+
+    pairs = checkpointed(asked.mapInPandas(visits, f"query {kind}, v array<double>, grp int, most double, first boolean"))
+    blocks = spark.createDataFrame([(int(g), int(-(-n // block))) for g, (n, _) in groups.items()], "grp int, blocks int")
+
+    def found(visited: DataFrame) -> DataFrame:
+        lanes = visited.groupBy("grp").agg(F.ceil(F.count("*") / asked_at_once).cast("int").alias("lanes"))
+        plan = F.broadcast(blocks.join(lanes, "grp"))  # one row for each group
+        left = members.join(plan, "grp").select(
+            "grp", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("b"),
+            F.explode(F.expr("sequence(0, lanes - 1)")).alias("lane"), "vec_id", "v")
+        right = visited.join(plan, "grp").select(
+            "grp", F.explode(F.expr("sequence(0, blocks - 1)")).alias("b"),
+            F.pmod(F.xxhash64("query"), "lanes").cast("int").alias("lane"), "query", "v")
+        return left.groupBy("grp", "b", "lane").cogroup(right.groupBy("grp", "b", "lane")).applyInPandas(
+            _meet(k), f"query {kind}, vec_id bigint, score double")
+
+    best = [F.col("score").desc(), F.col("vec_id")]
+    head = checkpointed(first_rows(found(pairs.where("first")), ["query"], best, k))
+    least = head.where(F.col("rank") == k).select("query", F.col("score").alias("least"))
+    # A bound a little below the k-th score may still round up to it.
+    more = pairs.where("not first").join(least, "query", "left").where("least is null or most >= least - 2e-6D")
+    both = head.drop("rank").unionByName(found(more.drop("least")))
+    return first_rows(both.withColumn("score", F.round("score", 6)), ["query"], best, k)
 
 
 def query_text(events: DataFrame, hits: DataFrame) -> DataFrame:

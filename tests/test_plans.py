@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__ as registry
 from secflow.plans import evaluation as ev
 from secflow.plans import forest
+from secflow.plans import retrieval as rt
 from secflow.plans import sequence as sq
 from secflow.plans.response import plan, verdicts
 
@@ -126,3 +127,31 @@ def test_latent_vectors_equal_the_svd(spark):
     want = u[:, :3] * s[:3]
     mine = np.stack([got[i] for i in weights.index])
     assert np.allclose(mine @ mine.T, want @ want.T, atol=1e-3) and not got[60].any() and not got[61].any()
+
+
+@pytest.mark.parametrize(("count", "k"), [(3, 5), (120, 2), (0, 3)])
+def test_nearest_vectors_equal_all_pairs(spark, count, k):
+    rng = np.random.default_rng(5)
+    ways = rng.normal(size=(6, 8))
+    vec = np.concatenate([ways[rng.integers(0, 6, 300)] + 0.1 * rng.normal(size=(300, 8)), np.zeros((1, 8))]).astype(np.float32)
+    vec[100:200] = vec[7]  # a third of all vectors is one
+    asked = np.concatenate([vec[rng.integers(0, 300, count)], np.zeros((1, 8), np.float32)])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "vec_id bigint, embedding array<float>")
+    queries = spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(asked)], "label int, query array<double>")
+    got = {}
+    for r in rt.nearest(vectors, queries, k, pivots=7, block=40, asked_at_once=50).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["vec_id"], r["score"]))
+    unit = vec[:300].astype(float) / np.linalg.norm(vec[:300].astype(float), axis=1)[:, None]
+    assert len(got) == count
+    for i, q in enumerate(asked[:count].astype(float)):
+        scores = np.round(unit @ (q / np.linalg.norm(q)), 6)
+        want = sorted(range(300), key=lambda j: (-scores[j], j))[:k]
+        assert [x[1] for x in sorted(got[i])] == want
+    assert rt.nearest(vectors.limit(0), queries, k).count() == 0
+
+
+def test_sums_in_lanes_add_up(spark):
+    rows = [(i % 3, np.full(4, float(i)).tobytes()) for i in range(200)]
+    df = spark.createDataFrame(rows, "block int, sums binary").repartition(40)
+    got = {r["block"]: np.frombuffer(r["sums"])[0] for r in rt.summed(df, lanes=5).collect()}
+    assert got == {b: float(sum(i for i in range(200) if i % 3 == b)) for b in range(3)}
