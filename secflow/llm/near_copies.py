@@ -7,11 +7,13 @@ reach ``LIKE``; groups are the components of the links.
 
 Search: every member is compared with one centre of its bucket first, and links are joined to components. In
 buckets whose members are not all of one component yet, more members become centres, in growing shares until
-all of them were, so each pair of a bucket is compared unless both are in one component already.
+all of them were, so each pair of a bucket is compared unless both are in one component already or their
+distances from the first centre differ by more than a link allows (the Jaccard distance is a metric).
 
 Scale: equal sequences of words are one class, so exact copies cost one row. Only keys and class numbers move in the
-search; texts move once for each pair compared. Members of a hot bucket are dealt out by ``attach``. A bucket
-of m texts that are alike but all below ``LIKE`` costs up to m^2 / 2 comparisons; no pair is left out for that.
+search; shingle sets are made once for each candidate and move once for each pair compared. A hot bucket or centre
+is one key of a sort-merge join whose other side has one row for it, which Spark splits as it runs. A bucket of m
+texts that are alike but all below ``LIKE`` costs up to m^2 / 2 comparisons; no pair is left out for that.
 """
 
 from __future__ import annotations
@@ -19,18 +21,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from secflow.llm.common import ROW_KEY, attach, components, map_text, row_key
+from secflow.llm.common import ROW_KEY, components, map_text, row_key
 from secflow.llm.simhash import LOWER, heads
 from secflow.settings import checkpointed
 
 WORDS, SEED, LIKE, BANDS, ROWS = 5, 42, 0.8, 32, 7
 #: Expected centres of a bucket in the second round; each further round has GROWTH times as many, at most MOST.
-CENTRES, GROWTH, MOST = 32, 8, 2048
+CENTRES, GROWTH, MOST = 16, 16, 2048
 _draw = np.random.default_rng(7)
 FLIP, TIMES = (_draw.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(one) for one in (0, 1))
 MIX, SALT = (_draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (ROWS, BANDS))
@@ -77,85 +79,104 @@ def classes_of(docs: DataFrame) -> DataFrame:
                     {"row": ROW_KEY})
 
 
-def _alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pairs (a, b) whose texts reach LIKE; a few shingle sets are kept, as centres come again and again."""
-    held: dict[int, np.ndarray] = {}
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, like) from rows (a, b, hashes) sorted by pair, two rows for each pair."""
+    first: tuple | None = None
+    for batch in batches:
+        keys = list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True))
+        out = []
+        for key, hashes in zip(keys, batch.column("hashes"), strict=True):
+            found = np.frombuffer(hashes.as_buffer(), "<u8")
+            if first is None:
+                first = (key, found.copy())
+                continue
+            out.append((*key, similarity(first[1], found)))
+            first = None
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+            columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "like"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b and like, the similarity of their sets, for distinct pairs; ``sets`` has fp and hashes of each class.
+
+    A pair is dealt out as its two ends, so no set goes through the driver; a centre with very many pairs is one
+    key of a sort-merge join, which Spark splits by the pairs' side while it runs.
+    """
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp")).join(sets, "fp")
+    return (ends.select("a", "b", "hashes").repartition("a", "b").sortWithinPartitions("a", "b")
+            .mapInArrow(_compare, "a long, b long, like double"))
 
-    def of(fp: int, text: str | None) -> np.ndarray:
-        if fp not in held:
-            if len(held) >= 64:
-                del held[next(iter(held))]
-            held[fp] = shingles(words_of(text or ""))
-        return held[fp]
 
-    for frame in frames:
-        linked = [similarity(of(a, s), of(b, t)) >= LIKE for a, s, b, t in zip(
-            frame["a"], frame["text_a"], frame["b"], frame["text_b"], strict=True)]
-        yield frame.loc[np.array(linked, bool), ["a", "b"]]
+def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """fp and hashes (the sorted shingle set) of each row of ``classes`` (fp, least)."""
 
+    def run(texts: list[str]) -> dict[str, list]:
+        return {"hashes": [shingles(words_of(t)).astype("<u8").tobytes() for t in texts]}
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The stored pairs (a, b) of classes whose shingle sets reach LIKE; ``texts`` has fp and text of each class."""
-    out = pairs
-    for end, far in (("a", "b"), ("b", "a")):
-        counts = checkpointed(pairs.groupBy(end).agg(F.count("*").alias("n_rows")))
-        side = counts.join(texts.select(F.col("fp").alias(end), F.col("text").alias(f"text_{end}")), end)
-        out = attach(out, side, end, [f"text_{end}"], far)
-    return out.mapInPandas(_alike, "a long, b long")
+    rows = docs.select(row_key().alias("row"), "text").join(classes.select("fp", F.col("least").alias("row")), "row")
+    return map_text(rows, "text", run, "hashes binary", {"fp": "long"}).dropDuplicates(["fp"])
 
 
 def _ordered(one: str, other: str) -> list:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def _near_in_size(one: str, other: str):  # noqa: ANN202
+def _near_in_size(one: Column, other: Column) -> Column:
     """Sets of more different sizes cannot reach LIKE."""
     return F.least(one, other) >= F.lit(LIKE - 1e-9) * F.greatest(one, other)
 
 
 def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root): the components of all candidate pairs that reach LIKE, for every class with such a link.
+    """(node, root): the components of all candidate pairs that reach LIKE, for every class with a candidate.
 
     ``classes`` is stored: fp, least (row of ``docs``, see ``row_key``), n and bands.
     """
     each = classes.select("fp", "n", F.explode("bands").alias("bucket"))
-    chosen = F.min(F.struct(F.xxhash64("bucket", "fp").alias("by"), "fp", "n")).alias("centre")
-    buckets = checkpointed(each.groupBy("bucket").agg(F.count("*").alias("n_rows"), chosen).where("n_rows > 1")
-                           .withColumn("m", F.col("n_rows")))
-    members = checkpointed(attach(each, buckets, "bucket", ["m", "centre"], "fp").where("m is not null"))
-    some = classes.join(members.select("fp").distinct(), "fp").select("fp", F.col("least").alias("row"))
-    texts = checkpointed(docs.select(row_key().alias("row"), "text").join(some, "row")
-                         .dropDuplicates(["fp"]).select("fp", "text"))
-    pairs = members.select("fp", "n", F.col("centre.fp").alias("other"), F.col("centre.n").alias("other_n"))
-    tried = checkpointed(pairs.where("fp <> other").where(_near_in_size("n", "other_n"))
-                         .select(*_ordered("fp", "other")).distinct())
-    found = checkpointed(verified(tried, texts))
-    largest = buckets.agg(F.max("m")).first()[0] or 0
+    # The same class tends to be the centre of all buckets of a group, so that its pairs are found once.
+    centre = F.min(F.struct(F.xxhash64("fp", F.lit(SEED)).alias("by"), "fp")).alias("c")
+    buckets = each.groupBy("bucket").agg(F.count("*").alias("m"), centre).where("m > 1")
+    members = checkpointed(each.join(buckets.select("bucket", "m", F.col("c.fp").alias("centre")), "bucket"))
+    sets = checkpointed(sets_of(docs, classes.join(members.select("fp").distinct(), "fp", "left_semi")))
+    tried = members.where("fp <> centre").select(*_ordered("fp", "centre")).distinct()
+    checked = checkpointed(compared(tried, sets))
+    found = components(checked.where(F.col("like") >= LIKE))
+    roots = checkpointed(members.select(F.col("fp").alias("node")).distinct().join(found, "node", "left")
+                         .select("node", F.coalesce("root", "node").alias("root")))
+    likes = checked.select("a", "b", (1 - F.col("like")).alias("far"))
+    tried = checked.select("a", "b")
+    # Distances from the centre tell which pairs cannot be near: 1 - similarity obeys the triangle inequality.
+    named = checkpointed(
+        members.where("m > 2").select("bucket", "fp", "n", "m", *_ordered("fp", "centre"))
+        .join(likes, ["a", "b"], "left").join(roots.withColumnRenamed("node", "fp"), "fp")
+        .select("bucket", "fp", "n", "m", F.coalesce("far", F.lit(0.0)).alias("far"), "root"))
+    # The place of a class is the same share of every bucket, so that buckets of one group name the same centres.
+    place = F.pmod(F.xxhash64("fp", F.lit(SEED + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("m")
     done, share = 0, CENTRES
     while True:
-        roots = components(found)
-        if done >= largest:
-            return roots
         # Of smaller buckets every member was a centre.
-        named = checkpointed(members.where(F.col("m") > done).select("bucket", "fp", "n", "m")
-                             .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                             .withColumn("root", F.coalesce("root", "fp")))
-        mixed = checkpointed(named.groupBy("bucket").agg(
-            F.count("*").alias("n_rows"), F.min("root").alias("low"), F.max("root").alias("high"))
-            .where("low <> high and n_rows > 2").select("bucket", "n_rows"))
-        if not mixed.limit(1).count():
-            return roots
-        place = F.pmod(F.xxhash64("fp", "bucket", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("m")
-        centres = checkpointed(
-            named.where((place >= done) & (place < done + share)).join(mixed, "bucket").groupBy("bucket")
-            .agg(F.first("n_rows").alias("n_rows"), F.collect_list(F.struct("fp", "n", "root")).alias("centres")))
-        fresh = (attach(named, centres, "bucket", ["centres"], "fp").where("centres is not null")
-                 .withColumn("c", F.explode(F.filter("centres", lambda c: c["root"] != F.col("root"))))
-                 .select("fp", "n", F.col("c.fp").alias("other"), F.col("c.n").alias("other_n"))
-                 .where(_near_in_size("n", "other_n")).select(*_ordered("fp", "other")).distinct())
-        fresh = checkpointed(fresh.join(tried, ["a", "b"], "left_anti"))
-        found = checkpointed(found.union(verified(fresh, texts)))
-        tried = tried.union(fresh)
+        left = named.where(F.col("m") > done)
+        mixed = checkpointed(left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+                             .where("low <> high").select("bucket"))
+        if mixed.isEmpty():
+            return roots.select("node", "root")
+        centres = (left.where((place >= done) & (place < done + share)).join(mixed, "bucket").groupBy("bucket")
+                   .agg(F.collect_list(F.struct("fp", "n", "far", "root")).alias("centres")))
+        near = (left.join(centres, "bucket").withColumn("c", F.explode(F.filter("centres", lambda c: (
+            c["root"] != F.col("root")) & (F.abs(c["far"] - F.col("far")) <= 1 - LIKE + 1e-9)
+            & _near_in_size(c["n"], F.col("n")))))
+            .select(*_ordered("fp", "c.fp"), *[x.alias(n) for x, n in (
+                (F.when(F.col("fp") < F.col("c.fp"), F.col("root")).otherwise(F.col("c.root")), "ra"),
+                (F.when(F.col("fp") < F.col("c.fp"), F.col("c.root")).otherwise(F.col("root")), "rb"))]).distinct())
+        fresh = checkpointed(near.join(tried, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            checked = checkpointed(compared(fresh.select("a", "b"), sets))
+            joined = components(checked.where(F.col("like") >= LIKE).join(fresh, ["a", "b"]).select(
+                F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            if not joined.isEmpty():
+                roots, named = (checkpointed(df.join(joined, "root", "left").withColumn(
+                    "root", F.coalesce("to", "root")).drop("to")) for df in (roots, named))
+            tried = tried.union(checked.select("a", "b"))
         done, share = done + share, min(MOST, share * GROWTH)
 
 
