@@ -17,8 +17,6 @@ MIN_EVENTS = 10
 FULL_CONFIDENCE = 50.0
 VOLUME_HISTORY = 500
 MIN_SAMPLES = 5
-#: Values of a kind that a profile's summary lists.
-PROFILE_LIST = 50
 #: The chunk of samples of earlier deliveries, before all chunks of time.
 BEFORE = -(1 << 60)
 
@@ -222,8 +220,9 @@ def behaviour_scores(events: DataFrame, known: Known | None = None) -> DataFrame
 def profiles(events: DataFrame) -> DataFrame:
     """Baseline table: hours, addresses and processes per user and per host.
 
-    A summary row holds exact counts and the PROFILE_LIST values that were seen first; the values themselves are the
-    rows of ``profile_values``, so no array grows with the data.
+    A row lists every value, by the time it was first seen (without a time: last), then by value. Counted per (entity,
+    hour), and made distinct per value, before anything is collected: an array holds distinct values, never one entry
+    per event. ``profile_values`` has the same values as rows.
     """
     both = events.selectExpr(
         "ts", "hour(ts) as hour",
@@ -234,20 +233,16 @@ def profiles(events: DataFrame) -> DataFrame:
              .agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
              .groupBy("type", "entity").agg(
                  F.sum("n").alias("n_events"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"),
-                 F.map_from_entries(F.sort_array(F.collect_list(F.struct("hour", "n")))).alias("hours")))
+                 F.map_from_entries(F.sort_array(F.collect_list(
+                     F.when(F.col("hour").isNotNull(), F.struct("hour", "n"))))).alias("hours")))
 
-    known = checkpointed(profile_values(events))
+    def values(name: str, alias: str) -> list[Column]:
+        mine = F.when(F.col("kind") == name, F.struct(F.col("first_seen").isNull(), "first_seen", "value"))
+        return [F.count(mine).alias(f"n_{alias}"),
+                F.transform(F.sort_array(F.collect_list(mine)), lambda x: x["value"]).alias(alias)]
 
-    def values(name: str, alias: str) -> DataFrame:
-        mine = known.where(F.col("kind") == name)
-        shown = first_rows(mine, ["type", "entity"], [F.col("first_seen"), F.col("value")], PROFILE_LIST)
-        lists = shown.groupBy("type", "entity").agg(F.expr(
-            f"transform(sort_array(collect_list(struct(rank, value))), x -> x.value) as {alias}"))
-        return mine.groupBy("type", "entity").agg(F.count("*").alias(f"n_{alias}")).join(lists, ["type", "entity"])
-
-    full = (hours.join(values("ip", "ips"), ["type", "entity"], "left")
-            .join(values("process", "processes"), ["type", "entity"], "left"))
-    return full.fillna(0, ["n_ips", "n_processes"])
+    lists = profile_values(events).groupBy("type", "entity").agg(*values("ip", "ips"), *values("process", "processes"))
+    return hours.join(lists, ["type", "entity"], "left").fillna(0, ["n_ips", "n_processes"])
 
 
 def profile_values(events: DataFrame) -> DataFrame:

@@ -78,8 +78,8 @@ _PROFILE = t.with_(
     "hs AS (SELECT type, entity, string_agg(h || ':' || n, ',' ORDER BY h) AS hours FROM hrs GROUP BY ALL)",
     """vals AS MATERIALIZED (SELECT type, entity, kind, value, min(ts) AS first_seen, count(*) AS n FROM (
   SELECT type, entity, ts, 'ip' AS kind, ip AS value FROM e UNION ALL SELECT type, entity, ts, 'process', process_name FROM e) WHERE value IS NOT NULL GROUP BY ALL)""",
-    f"""lists AS MATERIALIZED (SELECT type, entity, kind, count(*) AS n_values, string_agg(value, ',' ORDER BY rn) FILTER (WHERE rn <= {b.PROFILE_LIST}) AS shown
-  FROM (SELECT *, row_number() OVER (PARTITION BY type, entity, kind ORDER BY first_seen, value) AS rn FROM vals) GROUP BY ALL)""")
+    """lists AS MATERIALIZED (SELECT type, entity, kind, count(*) AS n_values, string_agg(value, ',' ORDER BY first_seen, value) AS shown
+  FROM vals GROUP BY ALL)""")
 section.add("baseline_profile", lambda spark, sf: _flat_profile(b.profiles(telemetry(spark, sf))),
             f"""{_PROFILE} SELECT s.*, coalesce(i.n_values, 0) AS n_ips, coalesce(p.n_values, 0) AS n_processes, coalesce(i.shown, '') AS ips, coalesce(p.shown, '') AS processes
 FROM (SELECT type, entity, count(*) AS n_events, min(ts) AS first_seen, max(ts) AS last_seen, any_value(hours) AS hours FROM e JOIN hs USING (type, entity) GROUP BY type, entity) s

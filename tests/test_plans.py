@@ -155,3 +155,29 @@ def test_sums_in_lanes_add_up(spark):
     df = spark.createDataFrame(rows, "block int, sums binary").repartition(40)
     got = {r["block"]: np.frombuffer(r["sums"])[0] for r in rt.summed(df, lanes=5).collect()}
     assert got == {b: float(sum(i for i in range(200) if i % 3 == b)) for b in range(3)}
+
+
+def test_a_profile_lists_every_value(spark):
+    from helpers import at
+
+    from secflow.plans.behaviour import profiles
+    rows = [(at(i // 2) if i else None, "u", "h", f"10.0.0.{i}", f"10.1.0.{i % 60}", f"p{i % 70}.exe") for i in range(120)]
+    rows += [(at(500), "v", None, None, None, None), (at(501), None, "g", "10.0.0.1", "10.1.0.1", None)]
+    events = spark.createDataFrame(rows, "ts timestamp, user string, host string, src_ip string, dst_ip string, process_name string")
+    got = {(r.type, r.entity): r for r in profiles(events).collect()}
+    assert len(got) == 4
+
+    def listed(values):
+        first = {}
+        for ts, value in values:
+            key = (ts is None, ts or at(0), value)
+            first[value] = min(first.get(value, key), key)
+        return sorted(first, key=first.get)
+
+    mine = rows[:120]
+    for kind, column in (("user", 3), ("host", 4)):
+        r = got[kind, kind[0]]
+        assert r.ips == listed((x[0], x[column]) for x in mine) and r.processes == listed((x[0], x[5]) for x in mine)
+        assert (r.n_ips, r.n_processes, r.n_events) == (len(r.ips), 70, 120) and len(r.ips) == (120 if kind == "user" else 60)
+    assert (got["user", "v"].n_ips, got["user", "v"].n_processes) == (0, 0)
+    assert (got["host", "g"].n_ips, got["host", "g"].ips, got["host", "g"].n_processes) == (1, ["10.1.0.1"], 0)
