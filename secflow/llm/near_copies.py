@@ -5,20 +5,32 @@ key with probability 1 - (1 - s^ROWS)^BANDS: 0.9995 at 0.8, 1 - 4e-9 at 0.9. Tex
 members of a bucket. A pair of candidates is linked only if its whole shingle sets, made from both texts,
 reach ``LIKE``; groups are the components of the links.
 
-Search: every member is compared with one centre of its bucket first, and links are joined to components. In
-buckets whose members are not all of one component yet, more members become centres, in growing shares until
-all of them were, so each pair of a bucket is compared unless both are in one component already or their
-distances from the first centre differ by more than a link allows (the Jaccard distance is a metric).
+Search: a class weighs the sum of the sizes of its buckets; the heaviest of a bucket is its centre. The reference of a
+bucket is the heaviest centre that its centre meets, so buckets of one family share a reference. Every member is compared
+with the references of its buckets, and links are joined to components. What is left are pairs (a, b) of one reference
+c and two components, which need |a & b| >= LIKE / (1 + LIKE) * (|a| + |b|). A pair like that
+
+* shares a shingle outside c. With those outside c first, the first common shingle stands in both prefixes of
+  |x| - LIKE * |x| + 1 shingles; or
+* shares shingles of c only. Then both have LIKE of their shingles in c, the first common one stands in the rest of both
+  prefixes, one of the two is not linked to c, and the other is smaller than c if it is linked to c.
+
+So pairs are looked for among classes with a common shingle of their prefixes (a set). A text changed too much to be
+linked to its reference meets only those with the same changes. Pairs whose heaviest reference is the same are looked for
+there only. In sets whose members are not all of one component, members become centres in growing shares until all
+of them were; pairs that cannot be linked by size, distance from c or what they share with c at most are not compared.
 
 Scale: equal sequences of words are one class, so exact copies cost one row. Only keys and class numbers move in the
-search; shingle sets are made once for each candidate and move once for each pair compared. A hot bucket or centre
-is one key of a sort-merge join whose other side has one row for it, which Spark splits as it runs. A bucket of m
-texts that are alike but all below ``LIKE`` costs up to m^2 / 2 comparisons; no pair is left out for that.
+search; shingle sets are made once for each candidate and move once for each pair compared. A group of m copies of a
+text costs m comparisons however much they were changed, and a prefix of a fifth of its shingles for each. A hot bucket
+or centre is one key of a sort-merge join whose other side has one row for it, which Spark splits as it runs. A set of m
+texts that share changes, but are all below ``LIKE``, costs up to m^2 / 2 comparisons; no pair is left out for that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +43,7 @@ from secflow.llm.simhash import LOWER, heads
 from secflow.settings import checkpointed
 
 WORDS, SEED, LIKE, BANDS, ROWS = 5, 42, 0.8, 32, 7
-#: Expected centres of a bucket in the second round; each further round has GROWTH times as many, at most MOST.
+#: Expected centres of a set in the first round; each further round has GROWTH times as many, at most MOST.
 CENTRES, GROWTH, MOST = 16, 16, 2048
 _draw = np.random.default_rng(7)
 FLIP, TIMES = (_draw.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(one) for one in (0, 1))
@@ -79,33 +91,51 @@ def classes_of(docs: DataFrame) -> DataFrame:
                     {"row": ROW_KEY})
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, like) from rows (a, b, hashes) sorted by pair, two rows for each pair."""
-    first: tuple | None = None
-    for batch in batches:
-        keys = list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True))
-        out = []
-        for key, hashes in zip(keys, batch.column("hashes"), strict=True):
-            found = np.frombuffer(hashes.as_buffer(), "<u8")
-            if first is None:
-                first = (key, found.copy())
-                continue
-            out.append((*key, similarity(first[1], found)))
-            first = None
-        columns = zip(*out, strict=True) if out else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "like"])
+def relation(centre: np.ndarray, found: np.ndarray) -> tuple:
+    """Size, shingles in ``centre``, similarity to it, and the prefix: its part outside and, where of use, inside."""
+    n, inner = len(found), np.isin(found, centre, assume_unique=True)
+    inside, like = int(inner.sum()), similarity(centre, found)
+    prefix = n - math.ceil(LIKE * n - 1e-9) + 1
+    useful = inside >= LIKE * n - 1e-9 and (like < LIKE or n < len(centre))
+    rest = prefix - (n - inside) if useful else 0
+    return n, inside, like, found[~inner][:prefix].view(np.int64), found[inner][:max(0, rest)].view(np.int64)
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b and like, the similarity of their sets, for distinct pairs; ``sets`` has fp and hashes of each class.
+def in_pairs(pairs: DataFrame, sets: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple], columns: str) -> DataFrame:
+    """a, b and what ``find`` gives for their sets, for distinct pairs; ``sets`` has fp and hashes of each class.
 
     A pair is dealt out as its two ends, so no set goes through the driver; a centre with very many pairs is one
     key of a sort-merge join, which Spark splits by the pairs' side while it runs.
     """
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp")).join(sets, "fp")
-    return (ends.select("a", "b", "hashes").repartition("a", "b").sortWithinPartitions("a", "b")
-            .mapInArrow(_compare, "a long, b long, like double"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    full = f"a long, b long, {columns}"
+    arrow = to_arrow_schema(StructType.fromDDL(full))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: np.ndarray | None = None
+        for batch in batches:
+            out = []
+            for a, b, hashes in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("hashes"),
+                                    strict=True):
+                found = np.frombuffer(hashes.as_buffer(), "<u8")
+                if first is None:
+                    first = found.copy()
+                    continue
+                out.append((a, b, *find(first, found)))
+                first = None
+            values = zip(*out, strict=True) if out else [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(values, arrow, strict=True)], schema=arrow)
+
+    ends = pairs.select("a", "b", F.posexplode(F.array("a", "b")).alias("side", "fp")).join(sets, "fp")
+    return (ends.select("a", "b", "side", "hashes").repartition("a", "b").sortWithinPartitions("a", "b", "side")
+            .mapInArrow(run, full))
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b and like, the similarity of their sets, for distinct pairs."""
+    return in_pairs(pairs, sets, lambda a, b: (similarity(a, b),), "like double")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -127,29 +157,60 @@ def _near_in_size(one: Column, other: Column) -> Column:
     return F.least(one, other) >= F.lit(LIKE - 1e-9) * F.greatest(one, other)
 
 
+def _enough(c: Column, n: Column, inside: Column) -> Column:
+    """Whether two classes of a set may have enough in common: inside their reference, and outside where the set is."""
+    outside = F.when(F.col("bucket.outside"), F.least(c["n"] - c["inside"], n - inside)).otherwise(F.lit(0))
+    return (1 + LIKE) * (F.least(c["inside"], inside) + outside) >= LIKE * (c["n"] + n) - 1e-9
+
+
+def references(classes: DataFrame) -> DataFrame:
+    """ref, fp and home: the classes that share a reference, itself among them, and the heaviest reference of each."""
+    each = classes.select("fp", F.explode("bands").alias("bucket"))
+    members = checkpointed(each.join(each.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "bucket"))
+    weights = members.groupBy("fp").agg(F.sum("m").alias("weight"))
+    heavy = F.struct("weight", F.xxhash64("fp", F.lit(SEED)).alias("by"), "fp")
+    centres = members.join(weights, "fp").groupBy("bucket").agg(F.max(heavy).alias("c"))
+    met = checkpointed(members.select("bucket", "fp").join(centres, "bucket"))
+    homes = met.groupBy("fp").agg(F.max("c").alias("heaviest"))
+    buckets = (met.select("bucket", F.col("c.fp").alias("fp")).distinct().join(homes, "fp")
+               .select("bucket", F.col("heaviest").alias("r")))
+    placed = met.select("bucket", "fp").join(buckets, "bucket").select("r", "fp").distinct()
+    whole = placed.union(placed.select("r", F.col("r.fp"))).distinct()
+    best = whole.groupBy("fp").agg(F.max("r").alias("best"))
+    return whole.join(best, "fp").select(F.col("r.fp").alias("ref"), "fp", F.col("best.fp").alias("home"))
+
+
+def shared_prefixes(stars: DataFrame, roots: DataFrame, placed: DataFrame) -> DataFrame:
+    """The members of all sets (see the head) that hold more than one component: bucket (ref, shingle, outside), m
+    members, fp, n, inside, far from the reference, home and root."""
+    homes = placed.select("fp", "home").distinct()
+    told = (stars.withColumnsRenamed({"a": "ref", "b": "fp"}).join(homes, "fp")
+            .join(roots.withColumnRenamed("node", "fp"), "fp"))
+    mixed = F.min("root") < F.max("root")
+    open_ = told.groupBy("ref").agg(mixed.alias("mixed")).where("mixed").select("ref")
+    rows = told.join(open_, "ref").select(
+        "fp", "n", "inside", (1 - F.col("like")).alias("far"), "home", "root", "ref", F.explode(F.concat(
+            F.transform("outer", lambda x: F.struct(x.alias("shingle"), F.lit(True).alias("outside"))),
+            F.transform("inner", lambda x: F.struct(x.alias("shingle"), F.lit(False).alias("outside"))))).alias("s"))
+    rows = rows.select(F.struct("ref", "s.shingle", "s.outside").alias("bucket"), "fp", "n", "inside", "far", "home", "root")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("m"), mixed.alias("mixed")).where("mixed").drop("mixed")
+    return rows.join(sizes, "bucket")
+
+
 def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root): the components of all candidate pairs that reach LIKE, for every class with a candidate.
 
     ``classes`` is stored: fp, least (row of ``docs``, see ``row_key``), n and bands.
     """
-    each = classes.select("fp", "n", F.explode("bands").alias("bucket"))
-    # The same class tends to be the centre of all buckets of a group, so that its pairs are found once.
-    centre = F.min(F.struct(F.xxhash64("fp", F.lit(SEED)).alias("by"), "fp")).alias("c")
-    buckets = each.groupBy("bucket").agg(F.count("*").alias("m"), centre).where("m > 1")
-    members = checkpointed(each.join(buckets.select("bucket", "m", F.col("c.fp").alias("centre")), "bucket"))
-    sets = checkpointed(sets_of(docs, classes.join(members.select("fp").distinct(), "fp", "left_semi")))
-    tried = members.where("fp <> centre").select(*_ordered("fp", "centre")).distinct()
-    checked = checkpointed(compared(tried, sets))
-    found = components(checked.where(F.col("like") >= LIKE))
-    roots = checkpointed(members.select(F.col("fp").alias("node")).distinct().join(found, "node", "left")
+    placed = checkpointed(references(classes))
+    sets = checkpointed(sets_of(docs, classes.join(placed.select("fp").distinct(), "fp", "left_semi")))
+    stars = checkpointed(in_pairs(placed.where("fp <> ref").select(F.col("ref").alias("a"), F.col("fp").alias("b")), sets,
+                                  relation, "n long, inside long, like double, outer array<long>, inner array<long>"))
+    found = components(stars.where(F.col("like") >= LIKE))
+    roots = checkpointed(placed.select(F.col("fp").alias("node")).distinct().join(found, "node", "left")
                          .select("node", F.coalesce("root", "node").alias("root")))
-    likes = checked.select("a", "b", (1 - F.col("like")).alias("far"))
-    tried = checked.select("a", "b")
-    # Distances from the centre tell which pairs cannot be near: 1 - similarity obeys the triangle inequality.
-    named = checkpointed(
-        members.where("m > 2").select("bucket", "fp", "n", "m", *_ordered("fp", "centre"))
-        .join(likes, ["a", "b"], "left").join(roots.withColumnRenamed("node", "fp"), "fp")
-        .select("bucket", "fp", "n", "m", F.coalesce("far", F.lit(0.0)).alias("far"), "root"))
+    tried = stars.select(*_ordered("a", "b")).distinct()
+    named = checkpointed(shared_prefixes(stars, roots, placed))
     # The place of a class is the same share of every bucket, so that buckets of one group name the same centres.
     place = F.pmod(F.xxhash64("fp", F.lit(SEED + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("m")
     done, share = 0, CENTRES
@@ -161,10 +222,11 @@ def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
         if mixed.isEmpty():
             return roots.select("node", "root")
         centres = (left.where((place >= done) & (place < done + share)).join(mixed, "bucket").groupBy("bucket")
-                   .agg(F.collect_list(F.struct("fp", "n", "far", "root")).alias("centres")))
+                   .agg(F.collect_list(F.struct("fp", "n", "inside", "far", "home", "root")).alias("centres")))
         near = (left.join(centres, "bucket").withColumn("c", F.explode(F.filter("centres", lambda c: (
-            c["root"] != F.col("root")) & (F.abs(c["far"] - F.col("far")) <= 1 - LIKE + 1e-9)
-            & _near_in_size(c["n"], F.col("n")))))
+            c["root"] != F.col("root")) & ((c["home"] != F.col("home")) | (c["home"] == F.col("bucket.ref")))
+            & (F.abs(c["far"] - F.col("far")) <= 1 - LIKE + 1e-9) & _near_in_size(c["n"], F.col("n"))
+            & _enough(c, F.col("n"), F.col("inside")))))
             .select(*_ordered("fp", "c.fp"), *[x.alias(n) for x, n in (
                 (F.when(F.col("fp") < F.col("c.fp"), F.col("root")).otherwise(F.col("c.root")), "ra"),
                 (F.when(F.col("fp") < F.col("c.fp"), F.col("c.root")).otherwise(F.col("root")), "rb"))]).distinct())

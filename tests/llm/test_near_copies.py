@@ -99,3 +99,42 @@ def test_a_group_without_one_common_centre_and_odd_rows(spark, monkeypatch):
     groups = brute_groups(texts)
     assert kept(spark, texts) == sorted(set(groups))
     assert corpus_pipeline.one_of_each(spark, text_cases.documents(spark, []), "").count() == 0
+
+
+def changed(rng, text, n):
+    words = text.split()
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.randrange(10 ** 9)}"
+    return " ".join(words)
+
+
+def test_prefixes_of_pairs_above_the_limit_meet():
+    rng, met = np.random.default_rng(2), 0
+    for _ in range(3000):
+        centre = np.sort(rng.choice(400, rng.integers(60, 140), replace=False)).astype(np.uint64)
+        whole = np.concatenate([centre, rng.choice(np.arange(400, 900), rng.integers(0, 30), replace=False)]).astype(np.uint64)
+        kept = rng.permutation(whole)[:rng.integers(40, len(whole) + 1)]
+        a, b = (np.unique(np.concatenate([kept[rng.random(len(kept)) > 0.05], rng.integers(900, 2000, 3, np.uint64)]))
+                for _ in range(2))
+        (na, ia, la, oa, wa), (nb, ib, lb, ob, wb) = (near_copies.relation(centre, x) for x in (a, b))
+        if near_copies.similarity(a, b) < 0.8 or (la >= 0.8 and lb >= 0.8):
+            continue
+        met += 1
+        outside = len(np.intersect1d(np.setdiff1d(a, centre), np.setdiff1d(b, centre)))
+        assert len(np.intersect1d(oa, ob) if outside else np.intersect1d(wa, wb))
+        assert 1.8 * (min(ia, ib) + (min(na - ia, nb - ib) if outside else 0)) >= 0.8 * (na + nb) - 1e-9
+    assert met > 300
+
+
+def test_a_large_group_of_changed_copies_costs_few_comparisons(spark, monkeypatch):
+    seen, plain = [], near_copies.in_pairs
+    monkeypatch.setattr(near_copies, "in_pairs", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    rng = random.Random(11)
+    text = text_cases.prose(rng, 150)
+    other = changed(rng, text, 8)  # a second family, its centre not linked to the first
+    texts = [text, other] + [changed(rng, text, rng.randrange(1, 12)) for _ in range(250)]
+    texts += [changed(rng, other, rng.randrange(1, 4)) for _ in range(40)]
+    texts += [" ".join(text.split()[:n]) for n in range(60, 150, 6)]
+    groups = brute_groups(texts)
+    assert kept(spark, texts) == sorted(set(groups)) and 20 < len(set(groups)) < 280
+    assert sum(seen) < 8 * len(texts)
