@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from secflow.settings import checkpointed
+from secflow.settings import checkpointed, checkpointed_lean
 
 #: Rows whose crc32(doc_id as text) mod 4 is this are never learned from.
 HELD_OUT = 2
@@ -126,17 +126,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round gives a node the smallest label among its neighbours and then the label of that label, so
     chains shorten by more than half. Labels are stored after each round; nothing is collected but a count.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                          .select("node", F.least("node", "m").alias("root")))
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = checkpointed(edges.where("a <> b").select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct())
+    labels = checkpointed_lean(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+                               .select("node", F.least("node", "m").alias("root")))
+    if both.isEmpty():
+        return labels
     for _ in range(rounds):
         near = (both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near")))
         step = (labels.join(near, labels.node == near.a)
                 .select("node", "root", F.least("root", "near").alias("to")))
         jump = labels.select(F.col("node").alias("to"), F.col("root").alias("far"))
-        new = checkpointed(step.join(jump, "to", "left")
-                           .select("node", F.least("to", F.coalesce("far", "to")).alias("root"),
-                                   (F.col("root") != F.least("to", F.coalesce("far", "to"))).alias("moved")))
+        new = checkpointed_lean(step.join(jump, "to", "left")
+                                .select("node", F.least("to", F.coalesce("far", "to")).alias("root"),
+                                        (F.col("root") != F.least("to", F.coalesce("far", "to"))).alias("moved")))
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
             return labels

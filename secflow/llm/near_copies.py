@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from secflow.llm.common import ROW_KEY, components, map_text, row_key
 from secflow.llm.simhash import LOWER, heads
-from secflow.settings import checkpointed
+from secflow.settings import checkpointed, checkpointed_lean
 
 WORDS, SEED, LIKE, BANDS, ROWS = 5, 42, 0.8, 32, 7
 #: Expected centres of a set in the first round; each further round has GROWTH times as many, at most MOST.
@@ -164,28 +164,33 @@ def _enough(c: Column, n: Column, inside: Column) -> Column:
 
 
 def references(classes: DataFrame) -> DataFrame:
-    """ref, fp and home: the classes that share a reference, itself among them, and the heaviest reference of each."""
+    """fp, refs and home: the references of each class with a candidate, itself if it is one, and the heaviest of them.
+
+    A class has at most BANDS buckets, so between the joins by bucket they are lists of their class.
+    """
     each = classes.select("fp", F.explode("bands").alias("bucket"))
-    members = checkpointed(each.join(each.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "bucket"))
-    weights = members.groupBy("fp").agg(F.sum("m").alias("weight"))
-    heavy = F.struct("weight", F.xxhash64("fp", F.lit(SEED)).alias("by"), "fp")
-    centres = members.join(weights, "fp").groupBy("bucket").agg(F.max(heavy).alias("c"))
-    met = checkpointed(members.select("bucket", "fp").join(centres, "bucket"))
-    homes = met.groupBy("fp").agg(F.max("c").alias("heaviest"))
-    buckets = (met.select("bucket", F.col("c.fp").alias("fp")).distinct().join(homes, "fp")
-               .select("bucket", F.col("heaviest").alias("r")))
-    placed = met.select("bucket", "fp").join(buckets, "bucket").select("r", "fp").distinct()
-    whole = placed.union(placed.select("r", F.col("r.fp"))).distinct()
-    best = whole.groupBy("fp").agg(F.max("r").alias("best"))
-    return whole.join(best, "fp").select(F.col("r.fp").alias("ref"), "fp", F.col("best.fp").alias("home"))
-
-
-def shared_prefixes(stars: DataFrame, roots: DataFrame, placed: DataFrame) -> DataFrame:
+    members = each.join(each.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "bucket")
+    weighed = checkpointed_lean(members.groupBy("fp").agg(F.sum("m").alias("weight"),
+                                                          F.collect_list("bucket").alias("buckets")))
+    held = weighed.select("fp", F.struct("weight", F.xxhash64("fp", F.lit(SEED)).alias("by"), "fp").alias("heavy"),
+                          F.explode("buckets").alias("bucket"))
+    centres = held.groupBy("bucket").agg(F.max("heavy").alias("c"))
+    # The centre of a bucket is a member of it, so what it meets is in its own row.
+    met = checkpointed_lean(held.select("bucket", "fp").join(centres, "bucket").groupBy("fp").agg(
+        F.max("c").alias("r"), F.collect_list("bucket").alias("buckets"),
+        F.collect_list(F.when(F.col("c.fp") == F.col("fp"), F.col("bucket"))).alias("led")))
+    led = met.select(F.explode("led").alias("bucket"), "r")
+    placed = met.select("fp", F.explode("buckets").alias("bucket")).join(led, "bucket").select("fp", "r")
+    whole = placed.union(met.where(F.size("led") > 0).select("r.fp", "r"))
+    return whole.groupBy("fp").agg(F.collect_set("r.fp").alias("refs"), F.max("r").alias("best")).select(
+        "fp", "refs", F.col("best.fp").alias("home"))
+
+
+def shared_prefixes(stars: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of all sets (see the head) that hold more than one component: bucket (ref, shingle, outside), m
     members, fp, n, inside, far from the reference, home and root."""
-    homes = placed.select("fp", "home").distinct()
-    told = (stars.withColumnsRenamed({"a": "ref", "b": "fp"}).join(homes, "fp")
-            .join(roots.withColumnRenamed("node", "fp"), "fp"))
+    told = checkpointed_lean(stars.withColumnsRenamed({"a": "ref", "b": "fp"})
+                             .join(roots.withColumnRenamed("node", "fp"), "fp"))
     mixed = F.min("root") < F.max("root")
     open_ = told.groupBy("ref").agg(mixed.alias("mixed")).where("mixed").select("ref")
     rows = told.join(open_, "ref").select(
@@ -202,41 +207,43 @@ def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``classes`` is stored: fp, least (row of ``docs``, see ``row_key``), n and bands.
     """
-    placed = checkpointed(references(classes))
-    sets = checkpointed(sets_of(docs, classes.join(placed.select("fp").distinct(), "fp", "left_semi")))
-    stars = checkpointed(in_pairs(placed.where("fp <> ref").select(F.col("ref").alias("a"), F.col("fp").alias("b")), sets,
-                                  relation, "n long, inside long, like double, outer array<long>, inner array<long>"))
+    placed = checkpointed_lean(references(classes))
+    sets = checkpointed_lean(sets_of(docs, classes.join(placed, "fp", "left_semi")))
+    pairs = placed.select(F.explode("refs").alias("a"), F.col("fp").alias("b")).where("a <> b")
+    stars = checkpointed_lean(in_pairs(pairs, sets, relation,
+                                       "n long, inside long, like double, outer array<long>, inner array<long>"))
     found = components(stars.where(F.col("like") >= LIKE))
-    roots = checkpointed(placed.select(F.col("fp").alias("node")).distinct().join(found, "node", "left")
-                         .select("node", F.coalesce("root", "node").alias("root")))
+    roots = checkpointed_lean(placed.withColumnRenamed("fp", "node").join(found, "node", "left")
+                              .select("node", F.coalesce("root", "node").alias("root"), "home"))
     tried = stars.select(*_ordered("a", "b")).distinct()
-    named = checkpointed(shared_prefixes(stars, roots, placed))
+    named = checkpointed(shared_prefixes(stars, roots))
     # The place of a class is the same share of every bucket, so that buckets of one group name the same centres.
     place = F.pmod(F.xxhash64("fp", F.lit(SEED + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("m")
     done, share = 0, CENTRES
     while True:
         # Of smaller buckets every member was a centre.
         left = named.where(F.col("m") > done)
-        mixed = checkpointed(left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                             .where("low <> high").select("bucket"))
-        if mixed.isEmpty():
+        drawn = F.when((place >= done) & (place < done + share), F.struct("fp", "n", "inside", "far", "home", "root"))
+        centres = checkpointed_lean(left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                                               F.collect_list(drawn).alias("centres"))
+                                    .where("low <> high").select("bucket", "centres"))
+        if centres.isEmpty():
             return roots.select("node", "root")
-        centres = (left.where((place >= done) & (place < done + share)).join(mixed, "bucket").groupBy("bucket")
-                   .agg(F.collect_list(F.struct("fp", "n", "inside", "far", "home", "root")).alias("centres")))
         near = (left.join(centres, "bucket").withColumn("c", F.explode(F.filter("centres", lambda c: (
             c["root"] != F.col("root")) & ((c["home"] != F.col("home")) | (c["home"] == F.col("bucket.ref")))
             & (F.abs(c["far"] - F.col("far")) <= 1 - LIKE + 1e-9) & _near_in_size(c["n"], F.col("n"))
             & _enough(c, F.col("n"), F.col("inside")))))
             .select(*_ordered("fp", "c.fp"), *[x.alias(n) for x, n in (
                 (F.when(F.col("fp") < F.col("c.fp"), F.col("root")).otherwise(F.col("c.root")), "ra"),
-                (F.when(F.col("fp") < F.col("c.fp"), F.col("c.root")).otherwise(F.col("root")), "rb"))]).distinct())
-        fresh = checkpointed(near.join(tried, ["a", "b"], "left_anti"))
+                (F.when(F.col("fp") < F.col("c.fp"), F.col("c.root")).otherwise(F.col("root")), "rb"))])
+            .dropDuplicates(["a", "b"]))
+        fresh = checkpointed_lean(near.join(tried, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
-            checked = checkpointed(compared(fresh.select("a", "b"), sets))
+            checked = checkpointed_lean(compared(fresh.select("a", "b"), sets))
             joined = components(checked.where(F.col("like") >= LIKE).join(fresh, ["a", "b"]).select(
                 F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
             if not joined.isEmpty():
-                roots, named = (checkpointed(df.join(joined, "root", "left").withColumn(
+                roots, named = (checkpointed_lean(df.join(joined, "root", "left").withColumn(
                     "root", F.coalesce("to", "root")).drop("to")) for df in (roots, named))
             tried = tried.union(checked.select("a", "b"))
         done, share = done + share, min(MOST, share * GROWTH)
@@ -249,9 +256,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     hash stays, of wholly repeated rows one; null ids come last. An empty table gives an empty result.
     """
     rows = checkpointed(classes_of(docs))
-    classes = checkpointed(rows.groupBy("fp").agg(F.min(F.struct("row", "n", "bands")).alias("one"),
-                                                  F.count("*").alias("n_rows"))
-                           .select("fp", F.col("one.row").alias("least"), "one.n", "one.bands", "n_rows"))
+    classes = checkpointed_lean(rows.groupBy("fp").agg(F.min(F.struct("row", "n", "bands")).alias("one"),
+                                                       F.count("*").alias("n_rows"))
+                                .select("fp", F.col("one.row").alias("least"), "one.n", "one.bands", "n_rows"))
     roots = linked(classes, docs)
     kept = heads(rows.select("row", "fp"), classes.select("fp", "least", "n_rows"), roots).where("row = head")
     whole = docs.select(row_key().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))

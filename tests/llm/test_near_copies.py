@@ -6,8 +6,11 @@ import re
 import corpus_pipeline
 import numpy as np
 import text_cases
+from pyspark.sql import functions as F
+from test_settings import left_over, shuffle_files
 
 from secflow.llm import near_copies
+from secflow.settings import checkpointed
 
 
 def plain_set(text):
@@ -138,3 +141,37 @@ def test_a_large_group_of_changed_copies_costs_few_comparisons(spark, monkeypatc
     groups = brute_groups(texts)
     assert kept(spark, texts) == sorted(set(groups)) and 20 < len(set(groups)) < 280
     assert sum(seen) < 8 * len(texts)
+
+
+def test_references_are_those_of_the_definition(spark):
+    rng = random.Random(4)
+    held = {fp: rng.sample(range(40), rng.randrange(0, 5)) for fp in range(60)} | {99: [500], 100: []}
+    classes = spark.createDataFrame(list(held.items()), "fp long, bands array<long>")
+    members = {b: [fp for fp in held if b in held[fp]] for own in held.values() for b in own}
+    members = {b: fps for b, fps in members.items() if len(fps) > 1}
+    weight = {fp: sum(len(members.get(b, ())) for b in own) for fp, own in held.items()}
+    by = {r["fp"]: r["by"] for r in classes.select("fp", F.xxhash64("fp", F.lit(near_copies.SEED)).alias("by")).collect()}
+    heavy = {fp: (weight[fp], by[fp], fp) for fp in held}
+    centre = {b: max(fps, key=heavy.get) for b, fps in members.items()}
+    home = {fp: max((centre[b] for b in own if b in members), key=heavy.get, default=None) for fp, own in held.items()}
+    refs = {}
+    for b, fps in members.items():
+        for fp in (*fps, home[centre[b]]):
+            refs.setdefault(fp, set()).add(home[centre[b]])
+    got = {r["fp"]: (sorted(r["refs"]), r["home"]) for r in near_copies.references(classes).collect()}
+    assert got == {fp: (sorted(rs), max(rs, key=heavy.get)) for fp, rs in refs.items()}
+    assert 99 not in got and any(len(rs) > 1 for rs in refs.values())
+
+
+def test_the_search_leaves_few_shuffle_files(spark):
+    rng = random.Random(12)
+    text = text_cases.prose(rng, 150)
+    texts = [text] + [changed(rng, text, rng.randrange(1, 12)) for _ in range(40)]
+    docs = text_cases.documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    rows = checkpointed(near_copies.classes_of(docs).withColumnRenamed("row", "least"))
+    before = shuffle_files(spark)
+    roots = near_copies.linked(rows, docs)
+    left = {re.search(r"shuffle_\d+", f)[0] for f in left_over(spark, before, 3)}
+    assert len(left) < 12, sorted(left)
+    alone = len(texts) - roots.count()  # without a candidate
+    assert roots.select("root").distinct().count() + alone == len(set(brute_groups(texts))) and alone < 10
