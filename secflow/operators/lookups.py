@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from secflow.operators.timeline import prefix, time_bucket
-from secflow.settings import block_rows, chunk_seconds, small_side
+from secflow.settings import MICROS, block_rows, checkpointed, chunk_seconds, small_side
 
 
 def as_of(events: DataFrame, snapshots: DataFrame, key: str, at: str, kinds: Sequence[str], kind: str,
@@ -37,27 +37,33 @@ def first_in_window(events: DataFrame, marks: DataFrame, seconds: int, host: str
 
     A mark applies when hosts are equal or when either side has none. Marks and events meet in lanes: one per
     host, one for marks without a host and all events with one, one for events without a host and all marks.
-    A lane is cut into time buckets as wide as the window, so a mark reaches its own bucket and the next one,
+    An event stands where its window opens and takes the first mark from there on, if that is in reach. A lane is
+    cut into time buckets as wide as the window, so that mark is in the event's bucket or is the earliest of the next,
     and a bucket with many events is cut further by a hash of the event; marks, the short side, go to each cut.
+    Within a cut one running minimum from the end of the bucket serves all events, however many marks a window holds.
     """
+    spark, width = events.sparkSession, seconds * MICROS
     no_mark_host = F.coalesce(F.col(host), F.lit("")) == ""
+    bucket = F.expr(f"_at div {width}")
     mark_rows = marks.select(
         F.explode(F.array(F.when(no_mark_host, F.lit("*shared")).otherwise(F.col(host)), F.lit("*any"))).alias("_lane"),
-        F.col("ts"), F.lit(-1).cast("bigint").alias("event_id"),
-        F.struct("ts", mark_id, payload).alias("_mark"))
-    event_rows = events.select(
+        F.unix_micros("ts").alias("_at"), F.lit(None).cast("bigint").alias("event_id"),
+        F.struct("ts", mark_id, payload).alias("_mark")).withColumn("_bucket", bucket)
+    events_in = events.select(
         F.explode(F.when(no_mark_host, F.array(F.lit("*any"))).otherwise(F.array(F.col(host), F.lit("*shared"))))
-        .alias("_lane"), F.col("ts"), F.col("event_id").cast("bigint").alias("event_id"), F.lit(None).alias("_mark"))
-    width = seconds * 1_000_000
-    events_in = event_rows.withColumn("_bucket", F.expr(f"unix_micros(ts) div {width}"))
-    cuts = events_in.groupBy("_lane", "_bucket").agg(F.count("*").alias("_n")).select(
-        "_lane", "_bucket", F.expr(f"_n div {block_rows(events.sparkSession)} + 1").alias("_cuts"))
-    cuts = small_side(cuts)
+        .alias("_lane"), (F.unix_micros("ts") - width).alias("_at"), F.col("event_id").cast("bigint").alias("event_id"),
+        F.lit(None).alias("_mark")).withColumn("_bucket", bucket)
+    cuts = small_side(checkpointed(events_in.where("_bucket is not null").groupBy("_lane", "_bucket").agg(
+        F.count("*").alias("_n")).select("_lane", "_bucket", F.expr(f"_n div {block_rows(spark)} + 1").alias("_cuts"))))
     dealt = events_in.join(cuts, ["_lane", "_bucket"]).withColumn("_cut", F.expr("pmod(xxhash64(event_id), _cuts)"))
-    reach = mark_rows.withColumn("_bucket", F.explode(F.expr(
-        f"array(unix_micros(ts) div {width}, unix_micros(ts) div {width} + 1)")))
-    spread = reach.join(cuts, ["_lane", "_bucket"]).withColumn("_cut", F.explode(F.expr("sequence(0L, _cuts - 1)")))
-    window = Window.partitionBy("_lane", "_bucket", "_cut").orderBy(F.unix_micros("ts")).rangeBetween(-width, 0)
-    seen = dealt.unionByName(spread).withColumn("_first", F.min("_mark").over(window))
-    return (seen.where("event_id >= 0").groupBy("event_id")
-            .agg(F.min("_first").alias("_first")).select("event_id", F.col(f"_first.{payload}").alias(payload)))
+    earliest = mark_rows.groupBy("_lane", "_bucket").agg(F.min("_mark").alias("_mark")).select(
+        "_lane", F.unix_micros("_mark.ts").alias("_at"), F.lit(None).cast("bigint").alias("event_id"), "_mark",
+        (F.col("_bucket") - 1).alias("_bucket"))
+    spread = mark_rows.unionByName(earliest).join(cuts, ["_lane", "_bucket"]).withColumn(
+        "_cut", F.explode(F.expr("sequence(0L, _cuts - 1)")))
+    onward = Window.partitionBy("_lane", "_bucket", "_cut").orderBy(F.col("_at").desc()).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.unionByName(spread).withColumn("_first", F.min("_mark").over(onward)).where("_mark is null")
+    reached = F.when(F.unix_micros("_first.ts") <= F.col("_at") + width, F.col("_first"))
+    return (seen.groupBy("event_id").agg(F.min(reached).alias("_first"))
+            .select("event_id", F.col(f"_first.{payload}").alias(payload)))

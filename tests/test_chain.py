@@ -120,3 +120,15 @@ def test_interval_lookup_equals_all_pairs_with_cut_lanes(spark):
         _, ts, host = events[event_id]
         fit = [m for m in marks if (not host or not m[2] or host == m[2]) and timedelta(0) <= ts - m[1] <= timedelta(seconds=20)]
         assert technique == (min(fit, key=lambda m: (m[1], m[0]))[3] if fit else None)
+
+
+def test_interval_lookup_does_not_walk_a_window_of_marks_for_each_event(spark):
+    start = datetime(2024, 3, 1)
+    events = spark.createDataFrame([(i - 3, start + timedelta(seconds=i), "a") for i in range(6)],
+                                   "event_id long, ts timestamp, host string")
+    marks = spark.createDataFrame([(j, start + timedelta(seconds=j), "a", f"T{j}") for j in range(0, 6, 2)],
+                                  "exec_no long, ts timestamp, host string, technique string")
+    got = lookups.first_in_window(events, marks, 3)
+    # A frame with two moving ends is computed anew for each row; one that only grows is carried on.
+    assert "specifiedwindowframe(RangeFrame, -" not in got._jdf.queryExecution().toString()
+    assert dict(map(tuple, got.collect())) == {-3: "T0", -2: "T0", -1: "T0", 0: "T0", 1: "T2", 2: "T2"}
