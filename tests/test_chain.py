@@ -132,3 +132,12 @@ def test_interval_lookup_does_not_walk_a_window_of_marks_for_each_event(spark):
     # A frame with two moving ends is computed anew for each row; one that only grows is carried on.
     assert "specifiedwindowframe(RangeFrame, -" not in got._jdf.queryExecution().toString()
     assert dict(map(tuple, got.collect())) == {-3: "T0", -2: "T0", -1: "T0", 0: "T0", 1: "T2", 2: "T2"}
+
+
+def test_label_queries_carry_the_first_mark_on(spark):
+    import __spark_entry__ as registry
+
+    for name in ("label_interval_join", "range_label"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in plan
+        assert "specifiedwindowframe(RangeFrame, -" not in plan
