@@ -26,8 +26,12 @@ def _host(events: DataFrame) -> DataFrame:
 
 
 def _in_window(seconds: int):  # noqa: ANN202
-    span = seconds * MICROS - 1
-    return lambda rows, ranged: (F.col("_row") - F.min("_row").over(ranged.rangeBetween(-span, 0))).cast("bigint")
+    """Rows before this one less those that the window has left behind: a count that only grows along the chunk."""
+    def count(_, ranged):  # noqa: ANN001, ANN202
+        gone = F.count(F.lit(1)).over(ranged.rangeBetween(Window.unboundedPreceding, -seconds * MICROS))
+        return F.when(F.col("_micros").isNull(), 0).otherwise(F.col("_row") - 1 - gone).cast("bigint")
+
+    return count
 
 
 def burst(events: DataFrame, seconds: int) -> DataFrame:

@@ -110,9 +110,14 @@ def _r(x: str, digits: int) -> str:
     return f"CASE WHEN round({x}, {digits}) = 0 THEN cast(0 AS double) ELSE round({x}, {digits}) END"
 
 
+def _plain(x: str, digits: int) -> str:
+    """The same as ``_r``, but rounded once: adding zero makes a negative zero a plain one."""
+    return f"round({x}, {digits}) + 0D"
+
+
 _R4 = ", ".join(f"{_r(n, 4)} AS {n}" for n in ft.FEATURES)
 section.add("ml_features", lambda spark, sf: features(spark, sf).selectExpr(
-    "event_id", *[f"{_r(n, 4)} as {n}" for n in ft.FEATURES]), f"{_FEAT} SELECT event_id, {_R4} FROM feat")
+    "event_id", *[f"{_plain(n, 4)} as {n}" for n in ft.FEATURES]), f"{_FEAT} SELECT event_id, {_R4} FROM feat")
 
 
 def standardized(spark, sf):
@@ -125,7 +130,7 @@ _NORM = ", ".join(f"(f.{n} - m_{n}) / CASE WHEN s_{n} < 1e-5 THEN 1 ELSE s_{n} E
 NORMED = f"""st AS (SELECT {_STATS} FROM feat WHERE label = 0 AND event_id % 2 = 0),
 normed AS MATERIALIZED (SELECT event_id, ts, label, attack_cat, {_NORM} FROM feat f CROSS JOIN st)"""
 section.add("ml_standardize", lambda spark, sf: standardized(spark, sf).selectExpr(
-    "event_id", *[f"{_r(n, 3)} as {n}" for n in ft.FEATURES]),
+    "event_id", *[f"{_plain(n, 3)} as {n}" for n in ft.FEATURES]),
     f"{t.with_(t.TEL, t.features_sql(), NORMED)} SELECT event_id, {', '.join(f'{_r(n, 3)} AS {n}' for n in ft.FEATURES)} FROM normed")
 _PAIRS = ", ".join(f"{{'d': round(abs({n}), 6), 'n': '{n}'}}" for n in ft.FEATURES)
 

@@ -6,8 +6,10 @@ import pytest
 from helpers import by_key, random_rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from secflow.operators.lookups import as_of, first_in_window
 from secflow.operators.timeline import over_rows, over_time, sessions, timed_index, timed_prefix
+from secflow.plans import behaviour as b
 
 DDL = "event_id bigint, ts timestamp, key string"
 
@@ -89,3 +91,31 @@ def test_first_mark_in_window(chunked):
         fit = [(m[1], m[0], m[3]) for m in marks if 0 <= (event[1] - m[1]).total_seconds() <= 600
                and (not event[2] or not m[2] or m[2] == event[2])]
         assert got.get(event[0]) == (min(fit)[2] if fit else None)
+
+
+def plan_of(df) -> str:  # noqa: ANN001
+    return df._jdf.queryExecution().toString()
+
+
+def test_bursts_are_counted_by_a_frame_that_only_grows(chunked):
+    rows = random_rows(12, 60)
+    events = frame(chunked, rows).selectExpr("event_id", "ts", "key as host", "'1.2.3.4' as src_ip").unionByName(
+        chunked.createDataFrame([(900, None, "hot", "1.2.3.4")], "event_id bigint, ts timestamp, host string, src_ip string"))
+    got = b.host_timeline(events, 600)
+    assert "specifiedwindowframe(RangeFrame, -" not in plan_of(got)
+    counts = {r.event_id: r.events_in_window for r in got.collect()}
+    assert counts.pop(900) == 0
+    for mine in by_key(rows).values():
+        for i, row in enumerate(mine):
+            assert counts[row[0]] == sum((row[1] - r[1]).total_seconds() < 600 for r in mine[:i])
+
+
+def test_feature_queries_have_no_frame_that_moves_at_both_ends(spark):
+    for name in ("ml_standardize", "topk_features"):
+        assert "specifiedwindowframe(RangeFrame, -" not in plan_of(registry.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_error_samples_make_the_features_once(spark):
+    got = registry.queries()["ml_error_samples"](spark, "/root/testdata/sf0.001")
+    assert "parquet" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("cell = 'TN'").count() == 10 and got.where("cell <> 'TN'").count() > 10
