@@ -150,9 +150,10 @@ FROM ev WHERE label = 0 AND hybrid_score >= 50 GROUP BY ALL""")
 
 def ml_error_samples(spark, sf):
     rows = normed(spark, sf).selectExpr("event_id", "label", *[f"round({n}, 6) as {n}" for n in ft.FEATURES])
-    named = rows.join(scored(spark, sf).select("event_id", "score"), "event_id").selectExpr(
+    # Read for the errors and for the calm rows, so the features are made once.
+    named = checkpointed(rows.join(scored(spark, sf).select("event_id", "score"), "event_id").selectExpr(
         "event_id", "score", "case when score >= 0.6 then if(label = 1, 'TP', 'FP') else if(label = 1, 'FN', 'TN') end as cell",
-        f"array_join(transform({ft.top_features()}, x -> x.name), ',') as top3")
+        f"array_join(transform({ft.top_features()}, x -> x.name), ',') as top3"))
     calm = first_rows(named.where("cell = 'TN'"), ["cell"], [F.col("event_id")], 10).drop("rank")
     return named.where("cell <> 'TN'").unionByName(calm)
 
