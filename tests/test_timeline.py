@@ -119,3 +119,14 @@ def test_error_samples_make_the_features_once(spark):
     got = registry.queries()["ml_error_samples"](spark, "/root/testdata/sf0.001")
     assert "parquet" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.where("cell = 'TN'").count() == 10 and got.where("cell <> 'TN'").count() > 10
+
+
+def test_top_features_of_a_busy_host(chunked):
+    """The three largest deviations read the burst; its count equals a loop where one host has every event."""
+    events = frame(chunked, random_rows(13, 50, keys=1)).selectExpr(
+        "event_id - 40 as event_id", "ts", "'one' as host", "'1.2.3.4' as src_ip")
+    got = {r.event_id: r.events_in_window for r in b.burst(events, 3600).collect()}
+    rows = sorted(events.select("ts", "event_id").collect())
+    for i, row in enumerate(rows):
+        assert got[row.event_id] == sum((row.ts - r.ts).total_seconds() < 3600 for r in rows[:i])
+    assert "specifiedwindowframe(RangeFrame, -" not in plan_of(b.burst(events, 3600))
