@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 TREES = 200
 SAMPLE = 256
 MIN_ROWS = 5
+#: Rows that walk through a tree together; their values and positions stay in a core's cache.
+ROWS_AT_ONCE = 4096
 NODE = "tree int, node int, feature int, cut double, low int, high int, depth double"
 
 
@@ -85,31 +87,49 @@ def score(rows: DataFrame, model: tuple[pd.DataFrame, float], names: list[str])
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", forest_score double"
     if forest.empty or expected == 0:
         return rows.withColumn("forest_score", F.lit(0.0))
-    # All trees in one set of arrays; child numbers become positions.
-    base = forest.groupby("tree")["node"].transform("size").groupby(forest["tree"]).first().cumsum().shift(fill_value=0)
-    offset = forest["tree"].map(base).to_numpy()
-    packed = {"roots": base.to_numpy(), "feature": forest["feature"].to_numpy(), "cut": forest["cut"].to_numpy(),
-              "low": forest["low"].to_numpy() + offset, "high": forest["high"].to_numpy() + offset,
-              "depth": forest["depth"].to_numpy()}
+    packed = _packed(forest)
     shared = rows.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
         m = shared.value
         for pdf in batches:
             x = pdf[names].to_numpy(dtype=float)
-            total = np.zeros(len(x))
-            every = np.arange(len(x))
-            for root in m["roots"]:
-                at = np.full(len(x), root)
-                live = every
-                while len(live):
-                    f = m["feature"][at[live]]
-                    live, f = live[f >= 0], f[f >= 0]
-                    if len(live) == 0:
-                        break
-                    here = at[live]
-                    at[live] = np.where(x[live, f] < m["cut"][here], m["low"][here], m["high"][here])
-                total += m["depth"][at]
+            total = np.concatenate([_depths(m, x[a:a + ROWS_AT_ONCE]) for a in range(0, max(len(x), 1), ROWS_AT_ONCE)])
             yield pdf.assign(forest_score=np.power(2.0, -total / len(m["roots"]) / expected))
 
     return rows.mapInPandas(run, ddl)
+
+
+def _packed(forest: pd.DataFrame) -> dict:
+    """All trees in one set of arrays; child numbers become positions, and a leaf is its own child on both sides."""
+    base = forest.groupby("tree")["node"].transform("size").groupby(forest["tree"]).first().cumsum().shift(fill_value=0)
+    offset = forest["tree"].map(base).to_numpy()
+    leaf, here = forest["feature"].to_numpy() < 0, np.arange(len(forest))
+    low, high = (np.where(leaf, here, forest[side].to_numpy() + offset) for side in ("low", "high"))
+    roots = base.to_numpy().astype(np.intp)
+    # Steps from the root to the deepest leaf of each tree.
+    steps, at = np.zeros(len(roots), dtype=int), [(roots, np.arange(len(roots)))]
+    while at:
+        nodes, of = at.pop()
+        inner = ~leaf[nodes]
+        nodes, of = nodes[inner], of[inner]
+        if len(nodes):
+            steps[np.unique(of)] += 1
+            at.append((np.concatenate([low[nodes], high[nodes]]), np.concatenate([of, of])))
+    return {"roots": roots, "steps": steps, "feature": np.where(leaf, 0, forest["feature"].to_numpy()).astype(np.intp),
+            "cut": forest["cut"].to_numpy(dtype=float), "child": np.stack([high, low], axis=1).ravel().astype(np.intp),
+            "depth": forest["depth"].to_numpy(dtype=float)}
+
+
+def _depths(m: dict, x: np.ndarray) -> np.ndarray:
+    """Sum over the trees of the depths that the rows end at; a missing value goes to the high side."""
+    n = len(x)
+    columns, row = np.ascontiguousarray(x.T).ravel(), np.arange(n)
+    total = np.zeros(n)
+    for root, steps in zip(m["roots"], m["steps"], strict=True):
+        at = np.full(n, root)
+        for _ in range(steps):
+            value = columns.take(m["feature"].take(at) * n + row)
+            at = m["child"].take(2 * at + (value < m["cut"].take(at)))
+        total += m["depth"].take(at)
+    return total

@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import at
 
 from secflow.plans import anomaly
 from secflow.plans import features as ft
+from secflow.plans import forest
 from secflow.plans import scoring as sc
 
 
@@ -83,3 +85,33 @@ def test_the_combined_score_changes_with_the_forest(spark, events, tmp_path):
 def test_too_few_rows_score_nothing(spark, events, tmp_path):
     anomaly.fit(events.limit(3), "true", str(tmp_path / "few"))
     assert anomaly.scores(events, anomaly.load(spark, str(tmp_path / "few"))).agg({"anomaly_score": "max"}).first()[0] == 0
+
+
+def test_all_rows_of_a_block_walk_the_trees_as_single_rows_do():
+    rng = np.random.default_rng(6)
+    nodes = pd.DataFrame([  # a deep tree, a tree that is one leaf, and one with two leaves
+        (0, 0, 1, 0.5, 1, 4, 0.0), (0, 1, 0, -0.2, 2, 3, 1.0), (0, 2, -1, 0.0, -1, -1, 2.5), (0, 3, -1, 0.0, -1, -1, 2.0),
+        (0, 4, -1, 0.0, -1, -1, 1.0), (1, 0, -1, 0.0, -1, -1, 3.0), (2, 0, 0, 0.1, 1, 2, 0.0), (2, 1, -1, 0.0, -1, -1, 1.25),
+        (2, 2, -1, 0.0, -1, -1, 1.75)], columns=["tree", "node", "feature", "cut", "low", "high", "depth"])
+    x = rng.normal(size=(50, 2))
+    x[3, 0], x[4, 1] = np.nan, np.nan
+    packed = forest._packed(nodes)
+    assert packed["steps"].tolist() == [2, 0, 1]
+    table = {(int(t), int(n)): r for t, n, *r in nodes.itertuples(index=False)}
+
+    def walk(row, tree):  # noqa: ANN001, ANN202
+        f, cut, low, high, depth = table[tree, 0]
+        while f >= 0:
+            f, cut, low, high, depth = table[tree, int(low if row[int(f)] < cut else high)]
+        return depth
+
+    assert forest._depths(packed, x).tolist() == [sum(walk(row, t) for t in range(3)) for row in x]
+
+
+def test_ablation_scores_each_row_once_for_a_forest(spark):
+    import __spark_entry__ as registry
+
+    got = registry.queries()["ml_feature_ablation"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "parquet" not in plan
+    assert sorted(r.features for r in got.collect()) == ["all", "without_time"]
