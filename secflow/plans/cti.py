@@ -28,9 +28,16 @@ def live_values(indicators: DataFrame, as_of_ts: str) -> DataFrame:
             .selectExpr("indicator_id", "labels", f"explode(array_distinct({s.ioc_values('pattern')})) as observable"))
 
 
-def cti_hits(events: DataFrame, indicators: DataFrame, as_of_ts: str) -> DataFrame:
-    """One row per (event, observable, indicator)."""
-    return observables(events).join(small_side(live_values(indicators, as_of_ts)), "observable")
+def cti_hits(events: DataFrame, indicators: DataFrame, as_of_ts: str, counted: bool = False) -> DataFrame:
+    """One row per (event, observable, indicator).
+
+    ``counted``: one per (observable, indicator) with the number ``n`` of the events. Events are then counted per
+    observable before they meet the indicators, so no pair of an event and an indicator is formed.
+    """
+    seen = observables(events)
+    if counted:
+        seen = seen.groupBy("observable").agg(F.count("*").alias("n"))
+    return seen.join(small_side(live_values(indicators, as_of_ts)), "observable")
 
 
 def related(relationships: DataFrame, targets: DataFrame, target_id: str, value: str, name: str) -> DataFrame:

@@ -110,7 +110,8 @@ section.add("join_cti_ioc", lambda spark, sf: cti.cti_hits(
 
 def join_cti_context(spark, sf):
     indicators, relationships, actors, patterns = intel_tables(spark, sf)
-    found = cti.cti_hits(telemetry(spark, sf), indicators, t.AS_OF).groupBy("indicator_id").agg(F.count("*").alias("n_hits"))
+    found = cti.cti_hits(telemetry(spark, sf), indicators, t.AS_OF, counted=True).groupBy("indicator_id").agg(
+        F.sum("n").alias("n_hits"))
     return found.join(cti.indicator_context(indicators, relationships, actors, patterns), "indicator_id").selectExpr(
         "indicator_id", "n_hits", "array_join(actors, ',') as actors", "array_join(patterns, ',') as patterns")
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as registry
+from secflow.plans import cti
 from secflow.plans import evaluation as ev
 from secflow.plans import forest
 from secflow.plans import retrieval as rt
@@ -181,3 +182,16 @@ def test_a_profile_lists_every_value(spark):
         assert (r.n_ips, r.n_processes, r.n_events) == (len(r.ips), 70, 120) and len(r.ips) == (120 if kind == "user" else 60)
     assert (got["user", "v"].n_ips, got["user", "v"].n_processes) == (0, 0)
     assert (got["host", "g"].n_ips, got["host", "g"].ips, got["host", "g"].n_processes) == (1, ["10.1.0.1"], 0)
+
+
+def test_events_are_counted_per_value_before_they_meet_indicators(spark):
+    events = spark.createDataFrame([(i, "1.1.1.1" if i % 2 else "2.2.2.2", "1.1.1.1", None) for i in range(40)],
+                                   "event_id bigint, src_ip string, dst_ip string, md5 string")
+    indicators = spark.createDataFrame([(f"i{j}", "[ipv4-addr:value = '1.1.1.1' OR ipv4-addr:value = '2.2.2.2']", ["c2"], False, None)
+                                        for j in range(30)],
+                                       "indicator_id string, pattern string, labels array<string>, revoked boolean, valid_until timestamp")
+    pairs = cti.cti_hits(events, indicators, "2024-02-01").groupBy("indicator_id").count().collect()
+    met = cti.cti_hits(events, indicators, "2024-02-01", counted=True)
+    assert met.count() == 60
+    got = {r.indicator_id: r.n for r in met.groupBy("indicator_id").agg({"n": "sum"}).toDF("indicator_id", "n").collect()}
+    assert got == {r.indicator_id: r["count"] for r in pairs} == {f"i{j}": 60 for j in range(30)}
