@@ -163,7 +163,7 @@ def stream_cti(spark, sf):
     out, mark = work_path(spark, "matches"), work_path(spark, "mark")
     handle = jobs.with_intel(lambda: cti.live_values(intel_tables(spark, sf)[0], t.AS_OF), out)
     delivered(spark, rows, "tel", lambda stream: jobs.run_batches(stream, handle, mark))
-    return spark.read.parquet(out).select("event_id", "observable", "indicator_id")
+    return jobs.matches(spark, out).select("event_id", "observable", "indicator_id")
 
 
 section.add("stream_cti", stream_cti, f"{t.with_(t.TEL, t.IOC)} SELECT event_id, observable, indicator_id FROM obs JOIN live USING (observable)")

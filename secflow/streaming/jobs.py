@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from secflow.plans import detection as det
 from secflow.plans.cti import observables
-from secflow.settings import small_side
+from secflow.settings import checkpointed, small_side
 from secflow.sources import flows, normalize, ocsf
 from secflow.streaming.processors import KEEP, Baseline, Keyed, Risk, VolumeWindow
 
@@ -111,12 +111,31 @@ def detect(events_store: str, incident_store: str) -> Callable[[DataFrame, int],
 
 
 def with_intel(load: Callable[[], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
-    """Join each micro-batch with the indicator table, which is read again every time."""
+    """Join each micro-batch with the indicator table, which is read again every time.
+
+    Many indicators may name one value. An event is stored once for each value that any of them names, with the version
+    of the table it met, and each version of the table is stored once; ``matches`` reads both as one row for each pair.
+    """
     def handle(batch: DataFrame, number: int) -> None:
-        written(observables(batch).join(small_side(load()), "observable"), out, number)
+        live = checkpointed(load())
+        sums = live.agg(F.count("*"), F.sum(F.xxhash64(*sorted(live.columns)).cast("decimal(38,0)"))).first()
+        version = f"v{sums[0]}_{sums[1] or 0}".replace("-", "m")
+        live.write.mode("overwrite").parquet(f"{out}/indicators/version={version}")
+        named = live.select("observable").distinct()
+        written(observables(batch).join(small_side(named), "observable").withColumn("version", F.lit(version)),
+                f"{out}/events", number)
     return handle
 
 
+def matches(spark: SparkSession, out: str) -> DataFrame:
+    """What ``with_intel`` stored: one row per (event, observable, indicator of the version that the event met).
+
+    The events are dealt out by their id first: a few of them may have most of the rows.
+    """
+    events = spark.read.parquet(f"{out}/events").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+    return events.join(small_side(spark.read.parquet(f"{out}/indicators")), ["version", "observable"]).drop("version")
+
+
 # --- keyed state ------------------------------------------------------------------------------------------
 def _keyed(events: DataFrame, keys: list[str], processor: Keyed) -> DataFrame:
     return events.groupBy(*keys).transformWithStateInPandas(processor, processor.OUT, "append", "ProcessingTime")

@@ -140,3 +140,23 @@ def test_deliveries_hold_every_row_once(spark, tmp_path, parts):
     assert sorted(r["event_id"] for r in got.collect()) == [*range(50), 99]
     assert got.select("batch").distinct().count() <= parts
     assert got.where("event_id = 99").first()["batch"] == got.agg(F.max("batch")).first()[0]
+
+
+def test_matches_store_an_event_once_for_a_value_and_keep_the_table_it_met(spark, tmp_path):
+    events = spark.createDataFrame([(i, "1.1.1.1" if i % 2 else "9.9.9.9", "2.2.2.2", None) for i in range(20)],
+                                   "event_id bigint, src_ip string, dst_ip string, md5 string")
+    tables = iter([[(f"a{j}", ["c2"], v) for j in range(30) for v in ("1.1.1.1", "2.2.2.2")], [("b", ["spam"], "2.2.2.2")]] * 2)
+    handle = jobs.with_intel(lambda: spark.createDataFrame(
+        next(tables), "indicator_id string, labels array<string>, observable string"), str(tmp_path))
+    batches = [events.where(f"event_id div 5 = {i}") for i in range(4)]
+    for number, batch in enumerate(batches):
+        handle(batch, number)
+    next_again = iter([[("b", ["spam"], "2.2.2.2")]])
+    jobs.with_intel(lambda: spark.createDataFrame(  # delivered again: replaces its own rows only
+        next(next_again), "indicator_id string, labels array<string>, observable string"), str(tmp_path))(batches[3], 3)
+    assert spark.read.parquet(f"{tmp_path}/events").count() == 2 * 5 + 2 * (5 + 2)
+    assert spark.read.parquet(f"{tmp_path}/indicators").count() == 61
+    got = sorted(map(tuple, jobs.matches(spark, str(tmp_path)).select("event_id", "observable", "indicator_id").collect()))
+    assert got == sorted([(i, v, f"a{j}") for i in range(20) if i // 5 % 2 == 0 for j in range(30)
+                          for v in (["1.1.1.1", "2.2.2.2"] if i % 2 else ["2.2.2.2"])]
+                         + [(i, "2.2.2.2", "b") for i in range(20) if i // 5 % 2 == 1])
