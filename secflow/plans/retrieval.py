@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ CHUNK, OVERLAP = 500, 50
 TERMS = 20_000
 #: Pivots of the vector groups; members and queries that meet in one task.
 PIVOTS, MEMBERS, QUERIES = 64, 20_000, 2_000
-#: Documents that are multiplied at a time, and terms per row of partial sums.
-DOCS_AT_ONCE, TERMS_AT_ONCE = 64, 1024
+#: Entries (a term of a document) that are multiplied at a time, and terms per row of partial sums.
+ENTRIES_AT_ONCE, TERMS_AT_ONCE = 8192, 1024
 #: Rows of sums of a block that one task adds at the end.
 LANES = 64
 TOKEN = "[\\\\p{L}\\\\p{N}_.-]{2,}"
@@ -204,34 +205,41 @@ def query_text(events: DataFrame, hits: DataFrame) -> DataFrame:
                     "if(coalesce(dst_port, 0) <> 0, concat('port ', dst_port), null)) as query")
 
 
-def _sparse(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first entry of each document, term numbers, weights) of rows with at least one term each."""
-    sizes = frame["terms"].map(len).to_numpy()
-    flat = [t for row in frame["terms"] for t in row]
-    return np.cumsum(np.r_[0, sizes[:-1]]), np.array([t["i"] for t in flat]), np.array([t["w"] for t in flat])
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of whole documents, each with at least one entry: (first, one past the last, first entry of each document,
+    term numbers, weights). A run has at most ENTRIES_AT_ONCE entries, or one document."""
+    ends = batch.column("i").offsets.to_numpy()
+    ends = ends - ends[0]
+    at, w = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("i", "w"))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + ENTRIES_AT_ONCE, side="right")) - 1)
+        yield a, b, ends[a:b] - ends[a], at[ends[a]:ends[b]], w[ends[a]:ends[b]]
+        a = b
 
 
-def _times(frame: pd.DataFrame, basis: np.ndarray) -> np.ndarray:
-    """Documents times basis, block by block of documents."""
-    starts, at, w = _sparse(frame)
+def _times(starts: np.ndarray, at: np.ndarray, w: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Documents of a block times basis."""
     return np.add.reduceat(basis[at] * w[:, None], starts, axis=0)
 
 
+def _sums(numbers: list[int], sums: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(sums, pa.binary())], ["block", "sums"])
+
+
 def _partial(basis: np.ndarray):
     """Per partition and block of terms, the sum of A'(A basis)."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(basis.shape)
-        for frame in frames:
-            for a in range(0, len(frame), DOCS_AT_ONCE):
-                part = frame.iloc[a:a + DOCS_AT_ONCE]
-                starts, at, w = _sparse(part)
-                made = np.add.reduceat(basis[at] * w[:, None], starts, axis=0)
-                back = w[:, None] * np.repeat(made, np.diff(np.r_[starts, len(at)]), axis=0)
+        for batch in batches:
+            for _, _, starts, at, w in _blocks(batch):
+                made = _times(starts, at, w, basis)
                 order = np.argsort(at, kind="stable")
+                of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(at)]))[order]
                 first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
-                total[at[order][first]] += np.add.reduceat(back[order], first, axis=0)
-        blocks = range(0, len(basis), TERMS_AT_ONCE)
-        yield pd.DataFrame({"block": list(blocks), "sums": [total[b:b + TERMS_AT_ONCE].tobytes() for b in blocks]})
+                total[at[order][first]] += np.add.reduceat(made[of] * w[order][:, None], first, axis=0)
+        for b in range(0, len(basis), TERMS_AT_ONCE):
+            yield _sums([b], [total[b:b + TERMS_AT_ONCE].tobytes()])
 
     return run
 
@@ -268,12 +276,14 @@ def latent_vectors(docs: DataFrame, dims: int = 128, limit: int = TERMS, extra:
     """
     weights, terms = tfidf(docs, limit)
     index = checkpointed(terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i")))
+    # Term numbers and weights as two flat arrays: Arrow hands them to numpy as they are, with no object per entry.
     rows = checkpointed(weights.join(F.broadcast(index), "term").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("i", "w"))).alias("terms")))
+        F.sort_array(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "w"))).alias("terms")).select(
+        "doc_id", F.col("terms.i").alias("i"), F.col("terms.w").alias("w")))
     n, width = index.count(), min(dims + extra, index.count())
     basis = np.random.default_rng(3).normal(size=(n, width))
     for _ in range(rounds if n else 0):
-        sums = rows.mapInPandas(_partial(np.linalg.qr(basis)[0]), "block int, sums binary")
+        sums = rows.select("i", "w").mapInArrow(_partial(np.linalg.qr(basis)[0]), "block int, sums binary")
         got = summed(sums).collect()  # terms x width numbers
         basis = np.zeros((n, width))
         for block, raw in got:
@@ -281,22 +291,26 @@ def latent_vectors(docs: DataFrame, dims: int = 128, limit: int = TERMS, extra:
             basis[block:block + len(part)] = part
     q = np.linalg.qr(basis)[0] if n else basis
 
-    def gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
-        for frame in frames:
-            for a in range(0, len(frame), DOCS_AT_ONCE):
-                y = _times(frame.iloc[a:a + DOCS_AT_ONCE], q)
+        for batch in batches:
+            for _, _, *entries in _blocks(batch):
+                y = _times(*entries, q)
                 total += y.T @ y
-        yield pd.DataFrame({"block": [0], "sums": [total.tobytes()]})
+        yield _sums([0], [total.tobytes()])
 
-    small = summed(rows.mapInPandas(gram, "block int, sums binary")).first()
+    small = summed(rows.select("i", "w").mapInArrow(gram, "block int, sums binary")).first()
     turn = np.linalg.eigh(np.frombuffer(small[1]).reshape(width, width))[1][:, ::-1][:, :dims] if small and n else q[:0]
     toward = q @ turn if n else q
 
-    @F.pandas_udf("array<double>")
-    def project(terms: pd.Series) -> pd.Series:
-        return pd.Series(list(_times(pd.DataFrame({"terms": terms}), toward)) if len(terms) else [], dtype=object)
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, *entries in _blocks(batch):
+                y = _times(*entries, toward)
+                ends = pa.array(np.arange(0, y.size + 1, y.shape[1]), pa.int32())
+                vectors = pa.ListArray.from_arrays(ends, pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], vectors], ["doc_id", "vector"])
 
     zero = F.array_repeat(F.lit(0.0), toward.shape[1])
-    vectors = rows.select("doc_id", project("terms").alias("vector"))
+    vectors = rows.mapInArrow(project, f"doc_id {dict(docs.dtypes)['doc_id']}, vector array<double>")
     return docs.select("doc_id").join(vectors, "doc_id", "left").select("doc_id", F.coalesce("vector", zero).alias("vector"))

@@ -195,3 +195,19 @@ def test_events_are_counted_per_value_before_they_meet_indicators(spark):
     assert met.count() == 60
     got = {r.indicator_id: r.n for r in met.groupBy("indicator_id").agg({"n": "sum"}).toDF("indicator_id", "n").collect()}
     assert got == {r.indicator_id: r["count"] for r in pairs} == {f"i{j}": 60 for j in range(30)}
+
+
+def test_documents_are_multiplied_in_blocks_of_bounded_size():
+    import pyarrow as pa
+
+    sizes = [3, rt.ENTRIES_AT_ONCE + 5, 1, *[rt.ENTRIES_AT_ONCE // 4] * 9, 2]
+    at = [list(range(n)) for n in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(
+        [[i / 7 for i in x] for x in at], pa.list_(pa.float64()))], ["i", "w"])
+    for part, first in ((batch, 0), (batch.slice(2), 2)):
+        blocks = list(rt._blocks(part))
+        assert [b[0] for b in blocks[1:]] == [b[1] for b in blocks[:-1]] and blocks[-1][1] == len(sizes) - first
+        assert all(len(i) <= rt.ENTRIES_AT_ONCE or b - a == 1 for a, b, _, i, _ in blocks)
+        basis = np.arange(2.0 * max(sizes)).reshape(-1, 2)
+        got = np.concatenate([rt._times(*b[2:], basis) for b in blocks])
+        assert np.allclose(got, [(np.arange(n) / 7) @ basis[:n] for n in sizes[first:]])
