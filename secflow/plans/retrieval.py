@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from secflow.plans.detection import first_rows, with_scalar
-from secflow.settings import checkpointed, small_side
+from secflow.settings import checkpointed, lean, small_side
 
 # Fixed values.
 CHUNK, OVERLAP = 500, 50
@@ -227,9 +228,10 @@ def _sums(numbers: list[int], sums: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(sums, pa.binary())], ["block", "sums"])
 
 
-def _partial(basis: np.ndarray):
+def _partial(shared: Broadcast):
     """Per partition and block of terms, the sum of A'(A basis)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis = shared.value
         total = np.zeros(basis.shape)
         for batch in batches:
             for _, _, starts, at, w in _blocks(batch):
@@ -280,33 +282,40 @@ def latent_vectors(docs: DataFrame, dims: int = 128, limit: int = TERMS, extra:
     rows = checkpointed(weights.join(F.broadcast(index), "term").groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "w"))).alias("terms")).select(
         "doc_id", F.col("terms.i").alias("i"), F.col("terms.w").alias("w")))
+    # A task sends sums of the same size for any share of the documents, so a round has a few tasks for each core.
+    context = docs.sparkSession.sparkContext
+    few = rows.select("i", "w").coalesce(2 * context.defaultParallelism)
     n, width = index.count(), min(dims + extra, index.count())
     basis = np.random.default_rng(3).normal(size=(n, width))
     for _ in range(rounds if n else 0):
-        sums = rows.select("i", "w").mapInArrow(_partial(np.linalg.qr(basis)[0]), "block int, sums binary")
-        got = summed(sums).collect()  # terms x width numbers
+        shared = context.broadcast(np.linalg.qr(basis)[0])
+        got = lean(summed(few.mapInArrow(_partial(shared), "block int, sums binary"))).collect()  # terms x width numbers
+        shared.destroy()  # each executor has a copy on disk
         basis = np.zeros((n, width))
         for block, raw in got:
             part = np.frombuffer(raw).reshape(-1, width)
             basis[block:block + len(part)] = part
     q = np.linalg.qr(basis)[0] if n else basis
+    shared = context.broadcast(q)
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
             for _, _, *entries in _blocks(batch):
-                y = _times(*entries, q)
+                y = _times(*entries, shared.value)
                 total += y.T @ y
         yield _sums([0], [total.tobytes()])
 
-    small = summed(rows.select("i", "w").mapInArrow(gram, "block int, sums binary")).first()
+    small = (lean(summed(few.mapInArrow(gram, "block int, sums binary"))).collect() or [None])[0]
     turn = np.linalg.eigh(np.frombuffer(small[1]).reshape(width, width))[1][:, ::-1][:, :dims] if small and n else q[:0]
+    shared.destroy()
     toward = q @ turn if n else q
+    directions = context.broadcast(toward)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, *entries in _blocks(batch):
-                y = _times(*entries, toward)
+                y = _times(*entries, directions.value)
                 ends = pa.array(np.arange(0, y.size + 1, y.shape[1]), pa.int32())
                 vectors = pa.ListArray.from_arrays(ends, pa.array(y.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], vectors], ["doc_id", "vector"])

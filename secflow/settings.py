@@ -75,8 +75,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def checkpointed_lean(df: DataFrame) -> DataFrame:
-    """``checkpointed``, with the files of the shuffles that led to the rows gone at once.
+def lean(df: DataFrame) -> DataFrame:
+    """The same rows by a plan that drops the files of its shuffles when an action over it ends.
 
     Otherwise they go when the driver happens to collect its garbage. Not for plans of which a side with shuffles of its
     own may turn out useless: Spark can end such a plan while that side runs, which then fails and is tried again.
@@ -85,10 +85,14 @@ def checkpointed_lean(df: DataFrame) -> DataFrame:
     before = spark.conf.get(DROP_SHUFFLES, "false")
     spark.conf.set(DROP_SHUFFLES, "true")
     try:
-        plan = df.select("*")
+        return df.select("*")
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
-    return checkpointed(plan)
+
+
+def checkpointed_lean(df: DataFrame) -> DataFrame:
+    """``checkpointed``, with the files of the shuffles that led to the rows gone at once; see ``lean``."""
+    return checkpointed(lean(df))
 
 
 def work_path(spark: SparkSession, name: str) -> str:
