@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from secflow.plans.detection import first_rows, with_scalar
-from secflow.settings import checkpointed, lean, small_side
+from secflow.settings import checkpointed, checkpointed_lean, lean, small_side
 
 # Fixed values.
 CHUNK, OVERLAP = 500, 50
@@ -64,9 +64,9 @@ def weigh(counts: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame
     return raw.join(norms, key).selectExpr(key, "term", "w / norm as w")
 
 
-def tfidf(docs: DataFrame, limit: int = TERMS) -> tuple[DataFrame, DataFrame]:
+def tfidf(docs: DataFrame, limit: int = TERMS, store: Callable[[DataFrame], DataFrame] = checkpointed) -> tuple[DataFrame, DataFrame]:
     # Used for the vocabulary and for the weights, so the texts are cut into terms once.
-    counts = checkpointed(term_counts(docs))
+    counts = store(term_counts(docs))
     terms = idf(vocabulary(counts, limit), docs)
     return weigh(counts, terms), terms
 
@@ -276,15 +276,15 @@ def latent_vectors(docs: DataFrame, dims: int = 128, limit: int = TERMS, extra:
     partitions send sums of fixed size (terms x (dims + extra)). At the end the small matrix (A Q)'(A Q) turns
     the projections into U S. Documents without terms of the vocabulary get a zero vector.
     """
-    weights, terms = tfidf(docs, limit)
+    weights, terms = tfidf(docs, limit, checkpointed_lean)
     index = checkpointed(terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i")))
     # Term numbers and weights as two flat arrays: Arrow hands them to numpy as they are, with no object per entry.
-    rows = checkpointed(weights.join(F.broadcast(index), "term").groupBy("doc_id").agg(
+    rows = checkpointed_lean(weights.join(F.broadcast(index), "term").groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "w"))).alias("terms")).select(
         "doc_id", F.col("terms.i").alias("i"), F.col("terms.w").alias("w")))
-    # A task sends sums of the same size for any share of the documents, so a round has a few tasks for each core.
+    # A task sends sums of the same size for any share of the documents, so a round has one task for each core.
     context = docs.sparkSession.sparkContext
-    few = rows.select("i", "w").coalesce(2 * context.defaultParallelism)
+    few = rows.select("i", "w").coalesce(context.defaultParallelism)
     n, width = index.count(), min(dims + extra, index.count())
     basis = np.random.default_rng(3).normal(size=(n, width))
     for _ in range(rounds if n else 0):
